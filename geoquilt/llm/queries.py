@@ -29,6 +29,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(_table(spark, sf_dir, "documents"), n=4, threshold=Fraction(85, 100))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import deduplicated
+
+    return deduplicated(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import token_counts
 
@@ -38,6 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op6_substring_dedup": op6_substring_dedup,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}
