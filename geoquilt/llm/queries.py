@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(_table(spark, sf_dir, "documents"), n=4, threshold=Fraction(85, 100))
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_vectors import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
@@ -49,6 +55,12 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import token_counts
 
@@ -58,9 +70,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_near_vectors": op3_near_vectors,
     "op5_mix_sources": op5_mix_sources,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_warc_round_trip": op7_warc_round_trip,
+    "op8_exact_top_k": op8_exact_top_k,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op5_mix_sources": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_mix_sources": mixing.ORACLE, "op8_exact_top_k": topk.ORACLE}
