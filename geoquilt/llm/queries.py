@@ -20,7 +20,7 @@ def _tokenizer(name: str) -> str:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed_documents
 
-    return packed_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packed_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), fine_units=True)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,12 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identified
+
+    return identified(_table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
@@ -71,6 +77,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_near_vectors": op3_near_vectors,
+    "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_warc_round_trip": op7_warc_round_trip,
