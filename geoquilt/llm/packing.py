@@ -16,20 +16,20 @@ from .shared import runs, text_buffers, written
 
 
 @lru_cache(maxsize=2)
-def _codec(path: str) -> tokens.UnitCodec:
-    return tokens.UnitCodec(path)
+def _codec(path: str, fine: bool) -> tokens.UnitCodec:
+    return tokens.UnitCodec(path, fine=fine)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, fine_units: bool = False) -> DataFrame:
     """Documents as pieces of at most `capacity` ids, each document closed by end_id.
 
     Rows (doc_id, piece, start, length, ids_crc32[, ids]). Only documents over the capacity are cut; all but their last
-    piece are full. Null text is empty: the end id alone.
+    piece are full. Null text is empty: the end id alone. fine_units: see tokens.UnitCodec.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches):
-        codec = _codec(tokenizer_path)
+        codec = _codec(tokenizer_path, fine_units)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j in runs(offsets, 1 << 20):
@@ -207,13 +207,13 @@ def pack(sized: DataFrame, capacity: int = 2048, shard_items: int = 8192, island
     return full.union(kept).union(last.select("uid", number(2).alias("sequence_id"), "offset"))
 
 
-def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, **search) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, fine_units: bool = False, **search) -> DataFrame:
     """All documents packed: rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]).
 
     Each sequence holds its pieces gapless from offset 0. An empty table gives no rows; repeated rows are packed each;
     null ids stay null; other columns are not read.
     """
-    cut = written(pieces(docs, tokenizer_path, capacity, end_id, with_ids).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    cut = written(pieces(docs, tokenizer_path, capacity, end_id, with_ids, fine_units).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     places = pack(cut.select("uid", "length"), capacity, **search)
     out = cut.join(places, "uid").drop("uid")
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)

@@ -43,20 +43,56 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-class UnitCodec:
-    """Ids of units, kept by hash. Memory is bounded: beyond `most` units everything kept is forgotten."""
+#: Classes of bytes for fine units: 1 letters, 2 digits, 3 punctuation, 0 whatever may not be parted from its neighbours.
+_CLASS = np.zeros(256, np.int8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[0x30:0x3A] = 2
+_CLASS[0x61:0x7B] = 1
+_CLASS[0x27] = 0
+
+
+def fine_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words cut further where letters, digits and punctuation meet; data is lower case.
+
+    For tokenizers that drop white space, lower-case, and match runs of letters, digits and other characters apart.
+    Apostrophes and bytes beyond ASCII stay with their neighbours, but for the Latin letters of lead byte C3.
+    """
+    starts, ends, _ = textscan.words(data, offsets)
+    kind = _CLASS[data]
+    if len(data) > 1:
+        latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        kind[:-1][latin] = 1
+        kind[1:][latin] = 1
+    cuts = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    return np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
 
-    def __init__(self, path: str, most: int = 600_000, longest: int = 512):
-        self.tokenizer, self.most, self.longest = load(path), most, longest
+
+class UnitCodec:
+    """Ids of units, kept by hash. Memory is bounded: beyond `most` units everything kept is forgotten.
+
+    fine=True is for tokenizers that drop white space, lower-case, and part letters, digits and other characters: their
+    units are smaller and fewer are distinct. Such units of letters alone are one pre-token each, so many are encoded
+    as one text and told apart by the tokens that end a word.
+    """
+
+    def __init__(self, path: str, most: int = 1_500_000, fine: bool = False):
+        self.tokenizer, self.most, self.fine = load(path), most, fine
+        self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) if fine else None
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.closes[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.row: dict[int, int] = {}
+        self.rows_used = 0
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, ids: list[int]) -> int:
-        n, k = len(ids), len(self.row)
+    def _add(self, ids) -> int:
+        n, k = len(ids), self.rows_used
+        self.rows_used += 1
         while self.used + n > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         if k >= len(self.at):
@@ -68,23 +104,47 @@ class UnitCodec:
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each unit its row in at and size, and each text's first unit number (one more than texts)."""
-        starts = unit_starts(data, offsets)
-        ends = np.append(starts[1:], len(data))
+        fine = self.fine
+        if fine:
+            low = textscan.LOWER[data]
+            raw = low.tobytes()
+            fine = not any(x in raw for x in self.special)  # their strings may not be cut or change case
+        if fine:
+            data = low
+            starts, ends = fine_units(data, offsets)
+        else:
+            raw = data.tobytes()
+            starts = unit_starts(data, offsets)
+            ends = np.append(starts[1:], len(data))
         keys = textscan.span_hashes(data, starts, ends)
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.row) + len(distinct) > self.most:
             self._forget()
-        found = list(map(self.row.get, distinct.tolist()))
-        missing = [i for i, x in enumerate(found) if x is None]
-        raw = data.tobytes()
+        found = np.array(list(map(self.row.get, distinct.tolist())), np.float64)  # None becomes nan
+        missing = np.flatnonzero(np.isnan(found))
         lost = where[missing]
         texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[lost].tolist(), ends[lost].tolist())]
-        names = distinct[missing].tolist()
-        for low in range(0, len(texts), 4096):
-            for i, key, got in zip(missing[low : low + 4096], names[low : low + 4096], self.tokenizer.encode_batch_fast(texts[low : low + 4096], add_special_tokens=False)):
-                found[i] = self._add(got.ids)
-                self.row[key] = found[i]
-        return np.array(found, np.int64)[back] if len(found) else np.zeros(0, np.int64), np.searchsorted(starts, offsets)
+        if len(texts):
+            rows = np.array([self._add(x) for x in self._encoded(texts, fine)])
+            self.row.update(zip(distinct[missing].tolist(), rows.tolist()))
+            found[missing] = rows
+        return found.astype(np.int64)[back], np.searchsorted(starts, offsets)
+
+    def _encoded(self, texts: list[str], fine: bool) -> list:
+        out: list = [None] * len(texts)
+        together = [i for i, x in enumerate(texts) if x.isalpha()] if fine and self.closes.any() else []
+        for low in range(0, len(together), 64):
+            some = together[low : low + 64]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in some])], add_special_tokens=False)[0].ids, np.int32)
+            last = np.flatnonzero(self.closes[ids]) + 1
+            if len(last) == len(some) and last[-1] == len(ids):
+                for i, a, b in zip(some, [0, *last[:-1].tolist()], last.tolist()):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for low in range(0, len(rest), 4096):
+            for i, got in zip(rest[low : low + 4096], self.tokenizer.encode_batch_fast([texts[i] for i in rest[low : low + 4096]], add_special_tokens=False)):
+                out[i] = got.ids
+        return out
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text."""

@@ -18,11 +18,14 @@ def _random_texts(n, seed=3):
     return ["".join(r.choice(parts) for _ in range(r.randint(1, 60))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_units_equal_whole_texts(name):
+@pytest.mark.parametrize("name,fine", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", False), ("word_bpe_49k.json", True)])
+@pytest.mark.parametrize("special", [True, False])
+def test_units_equal_whole_texts(name, fine, special):
     path = public_tokenizers.path(name)
-    codec, t = tokens.UnitCodec(path, most=50), tokens.load(path)
-    texts = [x or "" for x in ODD] + _random_texts(600)
+    codec, t = tokens.UnitCodec(path, most=50, fine=fine), tokens.load(path)
+    texts = [x or "" for x in ODD] + _random_texts(600) + ["Don'T É×Ç÷a a1b22 =\u0338= x-é,é e\u0301é ª º ¹ ǅ ﬁ ſ", "ÀÉ,ÀÉ.a'b''c"]
+    if not special:
+        texts = [x.replace("<|endoftext|>", "<|").replace("<|startoftext|>", "|>") for x in texts]
     raw = [x.encode() for x in texts]
     offsets = np.cumsum([0, *map(len, raw)])
     ids, first = codec.ids(np.frombuffer(b"".join(raw), np.uint8), offsets)
