@@ -67,6 +67,12 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import scored
+
+    return scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import token_counts
 
@@ -82,6 +88,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_warc_round_trip": op7_warc_round_trip,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {"op5_mix_sources": mixing.ORACLE, "op8_exact_top_k": topk.ORACLE}
