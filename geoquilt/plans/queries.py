@@ -1,4 +1,348 @@
-"""The registered queries on point sets and their SQL."""
+"""The registered queries on point sets and their SQL, over whole tables.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Sites are the vectors' first three components (see sources.points.vector_sites). Floats are rounded in both engines, as
+sums depend on their order.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns, flops
+from ..functions.kernels import FAMILIES, KERNELS, Theta
+from ..operators import neighbors
+from ..operators.ordering import ordered
+from ..sources import points as sources
+from . import engine
+
+THETA = Theta(1.5, 0.1, 0.5, 0.2)
+#: Parameters for the great-circle kernels and those compared in one pass.
+GRID = [Theta(s, b, 0.5) for s in (0.5, 1.0, 1.5, 2.0) for b in (0.05, 0.1, 0.5, 2.0)]
+MATERN, POWER, NUGGET = FAMILIES
+
+
+def _sites(spark: SparkSession, sf_dir: str, earth: bool = False) -> DataFrame:
+    return sources.vector_sites(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), earth)
+
+
+def _r(c: Column | str, digits: int = 6) -> Column:
+    """Rounded, with no negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+
+
+# --- SQL pieces -------------------------------------------------------------------------------------------------------
+
+_SITES = "sites AS (SELECT vec_id AS id, (CAST(embedding[1] AS DOUBLE) + 1) / 2 AS x, (CAST(embedding[2] AS DOUBLE) + 1) / 2 AS y, 10 * CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
+_EARTH = "sites AS (SELECT vec_id AS id, 90 * CAST(embedding[1] AS DOUBLE) AS x, 180 * CAST(embedding[2] AS DOUBLE) AS y, 10 * CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
+
+
+def _coded(source: str, unit: str = "{c}") -> str:
+    """CTEs q0 (quantised) to q4 (spread) and coded, from a table with id, x, y, z."""
+    out = f"q0 AS (SELECT *, CAST(floor({unit.format(c='x')} * 65535 + 0.5) AS BIGINT) AS qx, CAST(floor({unit.format(c='y')} * 65535 + 0.5) AS BIGINT) AS qy FROM {source}), s0 AS (SELECT *, qx & 65535 AS px, qy & 65535 AS py FROM q0)"
+    for i, (shift, mask) in enumerate(columns.SPREAD, 1):
+        out += f", s{i} AS (SELECT * EXCLUDE (px, py), xor(px, px << {shift}) & {mask} AS px, xor(py, py << {shift}) & {mask} AS py FROM s{i - 1})"
+    return out + ", coded AS (SELECT *, (py << 1) + px AS code FROM s4)"
+
+
+_BOX = "(({c} - (SELECT min({c}) FROM sites)) / ((SELECT max({c}) FROM sites) - (SELECT min({c}) FROM sites)))"
+_MORTON = _coded("sites") + ", ranked AS (SELECT *, row_number() OVER (ORDER BY code, id) - 1 AS rank FROM coded)"
+_MORTON_EARTH = _coded("sites", _BOX) + ", ranked AS (SELECT *, row_number() OVER (ORDER BY code, id) - 1 AS rank FROM coded)"
+_RANDOM = "ranked AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id) - 1 AS rank FROM sites)"
+
+
+def _euclid(a: str, b: str) -> str:
+    return f"sqrt(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y))"
+
+
+def _rad(e: str) -> str:
+    return f"({e} * 3.141592653589793::DOUBLE / 180.0::DOUBLE)"
+
+
+def _haversine(a: str, b: str) -> str:
+    u, v = f"sin(({_rad(b + '.x')} - {_rad(a + '.x')}) / 2)", f"sin(({_rad(b + '.y')} - {_rad(a + '.y')}) / 2)"
+    return f"(12742.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, {u} * {u} + cos({_rad(a + '.x')}) * cos({_rad(b + '.x')}) * {v} * {v}))))"
+
+
+def _knn_sql(m: int, dist: Callable[[str, str], str]) -> str:
+    return f"""pairs AS (SELECT t.rank, c.rank AS nrank, {dist('t', 'c')} AS dist FROM ranked t JOIN ranked c ON c.rank < t.rank WHERE t.rank >= {m}),
+edges AS (SELECT rank, CAST(k AS INTEGER) AS k, nrank, dist FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY dist, nrank) AS k FROM pairs) WHERE k <= {m})"""
+
+
+def _seq_sql(m: int) -> str:
+    return f"edges AS (SELECT t.rank, CAST(c.rank - t.rank + {m} + 1 AS INTEGER) AS k, c.rank AS nrank FROM ranked t JOIN ranked c ON c.rank >= t.rank - {m} AND c.rank < t.rank WHERE t.rank >= {m})"
+
+
+# --- plain operators --------------------------------------------------------------------------------------------------
+
+
+def grid_locations(spark, sf_dir):
+    return sources.synthetic(spark, 2500, 7).select("rank", "id", _r("x", 9).alias("x"), _r("y", 9).alias("y"), "z")
+
+
+def _grid_sql() -> str:
+    at = lambda k, axis: f"({k} + 0.5 + (-0.4::DOUBLE + (0.4::DOUBLE - -0.4::DOUBLE) * ((CAST(('0x' || substr(md5('7:' || id || ':{axis}'), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE))) / 50"
+    return f"""WITH sites AS (SELECT id, {at('floor(id / 50)', 'x')} AS x, {at('(id % 50)', 'y')} AS y, 0.0::DOUBLE AS z FROM range(2500) r(id)), {_MORTON}
+SELECT rank, id, round(qx / 65535.0::DOUBLE, 9) + 0.0::DOUBLE AS x, round(qy / 65535.0::DOUBLE, 9) + 0.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM ranked"""
+
+
+def _with_code(spark, sf_dir) -> DataFrame:
+    q = _sites(spark, sf_dir).select("id", columns.quantised(F.col("x")).alias("qx"), columns.quantised(F.col("y")).alias("qy"))
+    return q.withColumn("code", columns.morton_encode(F.col("qx"), F.col("qy")))
+
+
+def morton_encode(spark, sf_dir):
+    return _with_code(spark, sf_dir)
+
+
+def morton_decode(spark, sf_dir):
+    x, y = columns.morton_decode_x(F.col("code")), columns.morton_decode_y(F.col("code"))
+    return _with_code(spark, sf_dir).select("id", x.alias("qx"), y.alias("qy"), _r(columns.dequantised(x), 9).alias("x"), _r(columns.dequantised(y), 9).alias("y"))
+
+
+def morton_order(spark, sf_dir):
+    return ordered(_sites(spark, sf_dir), "morton", quantise=True).select("rank", "id", _r("x", 9).alias("x"), _r("y", 9).alias("y"), _r("z", 9).alias("z"))
+
+
+def random_order(spark, sf_dir):
+    return ordered(_sites(spark, sf_dir), "random").select("rank", "id")
+
+
+def _steps(spark, sf_dir, metric: str) -> DataFrame:
+    """Each site with its distance to the one before in Morton order, and with itself."""
+    p = ordered(_sites(spark, sf_dir, metric == "earth"), "morton", rescale=metric == "earth")
+    w = Window.orderBy("rank")
+    before = p.select("rank", "x", "y", F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py")).where("px is not null")
+    both = before.withColumn("self", F.lit(0)).union(p.select("rank", "x", "y", "x", "y", F.lit(1)))
+    return both.select("rank", "self", columns.distance(metric, F.col("x"), F.col("y"), F.col("px"), F.col("py")).alias("d"))
+
+
+def _steps_sql(metric: str) -> str:
+    d = _haversine if metric == "earth" else _euclid
+    head = f"{_EARTH}, {_MORTON_EARTH}" if metric == "earth" else f"{_SITES}, {_MORTON}"
+    return f"WITH {head}, steps AS (SELECT t.rank, CAST(c.rank = t.rank AS INTEGER) AS self, {d('t', 'c')} AS d FROM ranked t JOIN ranked c ON c.rank = t.rank - 1 OR c.rank = t.rank)"
+
+
+def _dist(metric: str):
+    return lambda spark, sf_dir: _steps(spark, sf_dir, metric).select("rank", "self", _r("d").alias("d"))
+
+
+def _cov(name: str):
+    metric = "earth" if name.endswith("earth") else "euclidean"
+    return lambda spark, sf_dir: _steps(spark, sf_dir, metric).select("rank", "self", _r(KERNELS[name].column(F.col("d"), THETA)).alias("value"))
+
+
+def _knn(metric: str = "euclidean", order: str = "morton", grid: bool = False, m: int = 4):
+    def query(spark, sf_dir):
+        p = ordered(_sites(spark, sf_dir, metric == "earth"), order, rescale=metric == "earth")
+        edges = neighbors.knn_grid(p, m, metric) if grid else neighbors.knn_exact(p, m, metric)
+        return edges.select("rank", F.col("k").cast("int").alias("k"), "nrank", _r("dist").alias("dist"))
+
+    return query
+
+
+def seq_conditioning(spark, sf_dir):
+    return neighbors.sequential(ordered(_sites(spark, sf_dir)), 3).select("rank", F.col("k").cast("int").alias("k"), "nrank")
+
+
+def gathered_neighbors(spark, sf_dir):
+    """The gather: each edge with its neighbour's coordinates and observation, in the order of k."""
+    p = ordered(_sites(spark, sf_dir))
+    g = neighbors.gathered(p, neighbors.sequential(p, 3))
+    rows = g.select("rank", F.posexplode(F.arrays_zip("nrank", "nx", "ny", "nz")).alias("p", "v"))
+    return rows.select("rank", (F.col("p") + 1).alias("k"), F.col("v.nrank").alias("nrank"), _r("v.nx").alias("x"), _r("v.ny").alias("y"), _r("v.nz").alias("z"))
+
+
+# --- likelihoods ------------------------------------------------------------------------------------------------------
+
+
+def _config(kernel: str, m: int, how: str = "knn") -> engine.GPConfig:
+    family = MATERN if kernel.startswith("matern") else NUGGET if "nugget" in kernel else POWER
+    nu = {"matern32": 1.5, "matern52": 2.5}.get(kernel, 0.5)
+    theta = (THETA.sigma2, THETA.range, nu, THETA.nugget)[: FAMILIES[family]]
+    return engine.GPConfig(family, theta, m, how, metric="earth" if kernel.endswith("earth") else "euclidean")
+
+
+def _plan(spark, sf_dir, kernel: str, m: int, how: str = "knn") -> engine.Plan:
+    return engine.prepare(_sites(spark, sf_dir, kernel.endswith("earth")), _config(kernel, m, how))
+
+
+def _terms(kernel: str, m: int):
+    def query(spark, sf_dir):
+        rows = _plan(spark, sf_dir, kernel, m).terms()
+        scaled = _r(F.col("ll") / (1 + F.abs("ll")), 5).alias("ll_scaled")  # variances near 0 make huge terms
+        return rows.select("rank", *[_r(c, 5).alias(c) for c in ("mu", "var")], scaled, "status")
+
+    return query
+
+
+def _terms_sql(kernel: str, m: int, how: str = "knn", theta: Theta | None = None, tail: str | None = None) -> str:
+    """Closed forms for one and two neighbours: the first block's row `block(ll)` and `terms(rank, mu, var, ll)`."""
+    k, t = KERNELS[kernel], theta or THETA
+    earth = k.metric == "earth"
+    d = _haversine if earth else _euclid
+    v = repr(k.marginal(t)) + "::DOUBLE"
+    head = (f"{_EARTH}, {_MORTON_EARTH}" if earth else f"{_SITES}, {_MORTON}") + ", " + (_knn_sql(m, d) if how == "knn" else _seq_sql(m))
+    cov = lambda a, b: k.sql(d(a, b), t)
+    if m == 1:
+        body = f"""w AS (SELECT t.rank, t.z, {cov('t', 'n')} AS c, n.z AS z1 FROM edges e JOIN ranked t ON t.rank = e.rank JOIN ranked n ON n.rank = e.nrank),
+c AS (SELECT rank, z, c / {v} * z1 AS mu, {v} - c / {v} * c AS var FROM w),
+block AS (SELECT -0.5 * (ln({v}) + z * z / {v} + ln(2 * pi())) AS ll FROM ranked WHERE rank = 0)"""
+    else:
+        body = f"""w AS (SELECT t.rank, t.z, {cov('t', 'n')} AS c1, {cov('t', 'o')} AS c2, {cov('n', 'o')} AS k, n.z AS z1, o.z AS z2
+  FROM edges e JOIN edges f ON f.rank = e.rank AND e.k = 1 AND f.k = 2 JOIN ranked t ON t.rank = e.rank JOIN ranked n ON n.rank = e.nrank JOIN ranked o ON o.rank = f.nrank),
+s AS (SELECT *, ({v} * c1 - k * c2) / ({v} * {v} - k * k) AS w1, ({v} * c2 - k * c1) / ({v} * {v} - k * k) AS w2 FROM w),
+c AS (SELECT rank, z, w1 * z1 + w2 * z2 AS mu, {v} - w1 * c1 - w2 * c2 AS var FROM s),
+b AS (SELECT n.z AS z1, o.z AS z2, {cov('n', 'o')} AS k FROM ranked n JOIN ranked o ON n.rank = 0 AND o.rank = 1),
+block AS (SELECT -0.5 * (ln({v} * {v} - k * k) + ({v} * z1 * z1 - 2 * k * z1 * z2 + {v} * z2 * z2) / ({v} * {v} - k * k) + 2 * ln(2 * pi())) AS ll FROM b)"""
+    body += ", terms AS (SELECT rank, mu, var, -0.5 * ((z - mu) * (z - mu) / var + ln(var) + ln(2 * pi())) AS ll FROM c)"
+    return f"WITH {head}, {body} " + (tail or "SELECT rank, round(mu, 5) + 0.0::DOUBLE AS mu, round(var, 5) + 0.0::DOUBLE AS var, round(ll / (1 + abs(ll)), 5) + 0.0::DOUBLE AS ll_scaled, 'ok' AS status FROM terms")
+
+
+_SUM = "SELECT round((SELECT ll FROM block) + sum(ll), 4) + 0.0::DOUBLE AS loglik FROM terms"
+
+
+def _loglik(m: int, how: str = "knn"):
+    def query(spark, sf_dir):
+        return spark.createDataFrame([(_plan(spark, sf_dir, "matern12", m, how).loglik(),)], "loglik double").select(_r("loglik", 4).alias("loglik"))
+
+    return query
+
+
+def first_block(spark, sf_dir):
+    plan = _plan(spark, sf_dir, "matern12", 2)
+    term = engine.likelihood.block_term(KERNELS["matern12"], THETA, *plan._block())
+    return spark.createDataFrame([(term["ll"],)], "ll double").select(_r("ll").alias("ll"))
+
+
+def loglik_exact(spark, sf_dir):
+    sites = _sites(spark, sf_dir)
+    return spark.createDataFrame([(engine.prepare(sites, _config("matern12", max(1, sites.count()))).loglik(),)], "loglik double").select(_r("loglik", 4).alias("loglik"))
+
+
+def kl_divergence(spark, sf_dir):
+    sites = _sites(spark, sf_dir)
+    rows = [(m, engine.kl_divergence(sites, _config("matern12", m))) for m in (10, 60)]
+    return spark.createDataFrame(rows, "m int, kl double")
+
+
+def theta_grid(spark, sf_dir):
+    values = _plan(spark, sf_dir, "matern12", 1).loglik_many(GRID)
+    rows = [(i, t.sigma2, t.range, v) for i, (t, v) in enumerate(zip(GRID, values))]
+    return spark.createDataFrame(rows, "theta_id int, sigma2 double, range double, loglik double").withColumn("loglik", _r("loglik", 3))
+
+
+def mle_grid(spark, sf_dir):
+    best = theta_grid(spark, sf_dir).agg(F.max_by(F.struct("theta_id", "sigma2", "range", "loglik"), F.struct("loglik", -F.col("theta_id"))).alias("b"))
+    return best.select("b.*")
+
+
+def _theta_grid_sql() -> str:
+    rows = []
+    for i, t in enumerate(GRID):
+        inner = _terms_sql("matern12", 1, theta=t, tail=f"SELECT CAST({i} AS INTEGER) AS theta_id, {t.sigma2!r}::DOUBLE AS sigma2, {t.range!r}::DOUBLE AS range, round((SELECT ll FROM block) + sum(ll), 3) + 0.0::DOUBLE AS loglik FROM terms")
+        rows.append(f"SELECT * FROM ({inner})")
+    return " UNION ALL ".join(rows)
+
+
+def _fitted(spark, sf_dir) -> engine.FitResult:
+    config = engine.GPConfig(MATERN, (1.0, 0.1, 0.5), 10, upper=20.0, maxiter=60)
+    return engine.fit(_sites(spark, sf_dir), config)
+
+
+def mle_fit(spark, sf_dir):
+    return _fitted(spark, sf_dir).fit_log
+
+
+def opt_trace(spark, sf_dir):
+    return _fitted(spark, sf_dir).trace_log
+
+
+def perf_log(spark, sf_dir):
+    return engine.perf(spark, 2500, engine.GPConfig(MATERN, (1.5, 0.1, 0.5), 30))[1]
+
+
+def flops_model(spark, sf_dir):
+    """Operations of an evaluation over the sites for several m, from the sites' number."""
+    n = F.col("n")
+    sizes = [(m, *map(float, (flops.potrf(m), flops.trsm("L", -(-m // 32) * 32, 1), flops.dot(m)))) for m in (10, 30, 60, 300)]
+    counted = _sites(spark, sf_dir).agg(F.count("*").alias("n"))
+    rows = counted.crossJoin(spark.createDataFrame(sizes, "m int, potrf double, trsm double, dot double"))  # one row by four
+    return rows.select("m", *[_r((n - F.col("m") + 1) * f * F.col(c), 0).alias(c) for c, f in (("potrf", 1.0), ("trsm", 2.0), ("dot", 2.0))])
+
+
+_FLOPS_SQL = """WITH s AS (SELECT count(*) AS n FROM embeddings), m AS (SELECT CAST(unnest([10, 30, 60, 300]) AS INTEGER) AS m),
+f AS (SELECT m, m::DOUBLE AS d, ceil(m / 32.0) * 32 AS p FROM m)
+SELECT m, round((n - m + 1) * (d * (d * d / 6 + d / 2 + 1.0::DOUBLE / 3) + d * (d * d / 6 - 1.0::DOUBLE / 6)), 0) + 0.0::DOUBLE AS potrf,
+  round((n - m + 1) * 2.0::DOUBLE * p * p, 0) + 0.0::DOUBLE AS trsm, round((n - m + 1) * 2.0::DOUBLE * 2 * d, 0) + 0.0::DOUBLE AS dot FROM s, f
+"""
+_FLOPS_SQL = _FLOPS_SQL.replace("2.0::DOUBLE * p * p", "2.0::DOUBLE * (0.5::DOUBLE * p * (p + 1) + 0.5::DOUBLE * p * (p - 1))")
+
+
+def csv_roundtrip(spark, sf_dir):
+    """The sites written as the two text files and read back, joined by line."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="geoquilt-")).rstrip("/") + f"/csv-{uuid.uuid4().hex}"
+    sites = _sites(spark, sf_dir).orderBy("id")
+    engine.cut(sites.select(F.concat_ws(",", "x", "y").alias("xy"), F.col("z").cast("string").alias("z"))).createOrReplaceTempView("geoquilt_lines")
+    lines = spark.table("geoquilt_lines")
+    lines.select("xy").write.text(f"{base}/xy")
+    lines.select("z").write.text(f"{base}/z")
+    return sources.load_points(spark, f"{base}/xy", f"{base}/z").select(_r("x", 9).alias("x"), _r("y", 9).alias("y"), _r("z", 9).alias("z"))
+
+
+def event_sites(spark, sf_dir):
+    p = sources.event_sites(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return p.select("id", *[_r(c).alias(c) for c in "xyz"])
+
+
+_EVENTS_SQL = """WITH t AS (SELECT event_id AS id, epoch_us(ts) AS t, CAST(value AS DOUBLE) AS v FROM events), s AS (SELECT min(t) AS low, max(t) AS high FROM t)
+SELECT id, round((t - low)::DOUBLE / (high - low)::DOUBLE, 6) + 0.0::DOUBLE AS x, round(v / 600, 6) + 0.0::DOUBLE AS y, round(ln(1 + v), 6) + 0.0::DOUBLE AS z FROM t, s"""
+
+
+def loglik_events(spark, sf_dir):
+    """The whole event table as sites: grid neighbours, a nugget for coinciding sites, ten neighbours each."""
+    p = sources.event_sites(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    plan = engine.prepare(p, engine.GPConfig(NUGGET, (1.5, 0.1, 0.5, 0.2), 10))
+    return spark.createDataFrame([(plan.n, plan.loglik())], "n long, loglik double")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "grid_locations": grid_locations, "morton_encode": morton_encode, "morton_decode": morton_decode, "morton_order": morton_order, "random_order": random_order,
+    "dist_euclid": _dist("euclidean"), "dist_haversine": _dist("earth"), **{f"cov_{k}": _cov(k) for k in KERNELS},
+    "knn_euclid": _knn(), "knn_earth": _knn("earth"), "knn_random_order": _knn(order="random"), "knn_grid": _knn(grid=True), "knn_grid_earth": _knn("earth", grid=True),
+    "seq_conditioning": seq_conditioning, "gathered_neighbors": gathered_neighbors, "first_block": first_block,
+    **{f"terms_m{m}_{k}": _terms(k, m) for m in (1, 2) for k in KERNELS},
+    "loglik_m1": _loglik(1), "loglik_m2": _loglik(2), "loglik_seq_m2": _loglik(2, "sequential"), "loglik_m30": _loglik(30), "loglik_exact": loglik_exact,
+    "kl_divergence": kl_divergence, "theta_grid": theta_grid, "mle_grid": mle_grid, "mle_fit": mle_fit, "opt_trace": opt_trace, "perf_log": perf_log,
+    "flops_model": flops_model, "csv_roundtrip": csv_roundtrip, "event_sites": event_sites, "loglik_events": loglik_events,
+}
+
+_KNN_OUT = "SELECT rank, k, nrank, round(dist, 6) + 0.0::DOUBLE AS dist FROM edges"
+ORACLES: dict[str, str] = {
+    "grid_locations": _grid_sql(),
+    "morton_encode": f"WITH {_SITES}, {_coded('sites')} SELECT id, qx, qy, code FROM coded",
+    "morton_decode": f"WITH {_SITES}, {_coded('sites')} SELECT id, qx, qy, round(qx / 65535.0::DOUBLE, 9) + 0.0::DOUBLE AS x, round(qy / 65535.0::DOUBLE, 9) + 0.0::DOUBLE AS y FROM coded",
+    "morton_order": f"WITH {_SITES}, {_MORTON} SELECT rank, id, round(qx / 65535.0::DOUBLE, 9) + 0.0::DOUBLE AS x, round(qy / 65535.0::DOUBLE, 9) + 0.0::DOUBLE AS y, round(z, 9) + 0.0::DOUBLE AS z FROM ranked",
+    "random_order": f"WITH {_SITES}, {_RANDOM} SELECT rank, id FROM ranked",
+    "dist_euclid": _steps_sql("euclidean") + " SELECT rank, self, round(d, 6) + 0.0::DOUBLE AS d FROM steps",
+    "dist_haversine": _steps_sql("earth") + " SELECT rank, self, round(d, 6) + 0.0::DOUBLE AS d FROM steps",
+    **{f"cov_{k}": _steps_sql("earth" if k.endswith("earth") else "euclidean") + f" SELECT rank, self, round({KERNELS[k].sql('d', THETA)}, 6) + 0.0::DOUBLE AS value FROM steps" for k in KERNELS},
+    "knn_euclid": f"WITH {_SITES}, {_MORTON}, {_knn_sql(4, _euclid)} {_KNN_OUT}",
+    "knn_earth": f"WITH {_EARTH}, {_MORTON_EARTH}, {_knn_sql(4, _haversine)} {_KNN_OUT}",
+    "knn_random_order": f"WITH {_SITES}, {_RANDOM}, {_knn_sql(4, _euclid)} {_KNN_OUT}",
+    "knn_grid": f"WITH {_SITES}, {_MORTON}, {_knn_sql(4, _euclid)} {_KNN_OUT}",
+    "knn_grid_earth": f"WITH {_EARTH}, {_MORTON_EARTH}, {_knn_sql(4, _haversine)} {_KNN_OUT}",
+    "seq_conditioning": f"WITH {_SITES}, {_MORTON}, {_seq_sql(3)} SELECT rank, k, nrank FROM edges",
+    "gathered_neighbors": f"WITH {_SITES}, {_MORTON}, {_seq_sql(3)} SELECT e.rank, e.k, e.nrank, round(r.x, 6) + 0.0::DOUBLE AS x, round(r.y, 6) + 0.0::DOUBLE AS y, round(r.z, 6) + 0.0::DOUBLE AS z FROM edges e JOIN ranked r ON r.rank = e.nrank",
+    "first_block": _terms_sql("matern12", 2, tail="SELECT round(ll, 6) + 0.0::DOUBLE AS ll FROM block"),
+    **{f"terms_m{m}_{k}": _terms_sql(k, m) for m in (1, 2) for k in KERNELS},
+    "loglik_m1": _terms_sql("matern12", 1, tail=_SUM), "loglik_m2": _terms_sql("matern12", 2, tail=_SUM), "loglik_seq_m2": _terms_sql("matern12", 2, "sequential", tail=_SUM),
+    "theta_grid": _theta_grid_sql(), "mle_grid": f"SELECT * FROM ({_theta_grid_sql()}) ORDER BY loglik DESC, theta_id LIMIT 1",
+    "flops_model": _FLOPS_SQL,
+    "csv_roundtrip": f"WITH {_SITES} SELECT round(x, 9) + 0.0::DOUBLE AS x, round(y, 9) + 0.0::DOUBLE AS y, round(z, 9) + 0.0::DOUBLE AS z FROM sites",
+    "event_sites": _EVENTS_SQL,
+}
