@@ -1 +1 @@
-
+"""Nothing streams here: point sets are bounded and totally ordered, and a later point changes all conditioning sets."""
