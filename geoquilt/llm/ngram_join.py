@@ -9,6 +9,7 @@ pair's overlap on its own, and the sum over fragments decides.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -22,6 +23,7 @@ from .shared import components, runs, text_buffers, written
 
 _BUCKETS = 20
 _FRAGMENTS = 8
+_LEADS = 4
 
 
 def document_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -116,6 +118,7 @@ def joined(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), s
     some = sets.where("size > 0 and doc_id is not null")
     classes = some.groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("rep"))
     classes = written(classes, "classes")
+    repeats = some.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     heavy = spark.sparkContext.broadcast(_levels(profile))
 
     def prefixes(batches):
@@ -136,7 +139,8 @@ def joined(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), s
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(keep, np.int64))), pa.array(np.array(size, np.int64)), pa.ListArray.from_arrays(bounds, flat)], ["doc_id", "size", "tokens"])
 
     heads = docs.mapInArrow(prefixes, "doc_id long, size long, tokens array<long>")
-    heads = heads.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    heads = heads.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    heads = heads.dropDuplicates(["doc_id"]) if repeats else heads
     heads = written(heads, "prefixes")
 
     def token_hashes(batch: pa.RecordBatch):
@@ -151,27 +155,41 @@ def joined(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), s
             flat = np.asarray(tokens.flatten(), np.int64)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(tokens.offsets)))
             maybe = held.maybe(flat.view(np.uint64))
-            at = pa.array(doc[maybe])
-            yield pa.RecordBatch.from_arrays([pa.array(flat[maybe]), batch.column(0).take(at), batch.column(1).take(at)], ["token", "doc", "size"])
-
-    posts = written(heads.mapInArrow(postings, "token long, doc long, size long"), "postings")
+            mine = doc[maybe]
+            new = np.r_[True, mine[1:] != mine[:-1]] if len(mine) else np.zeros(0, bool)
+            nth = np.arange(len(mine)) - np.maximum.accumulate(np.where(new, np.arange(len(mine)), 0))
+            at = pa.array(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[maybe]), batch.column(0).take(at), batch.column(1).take(at), pa.array(nth < _LEADS)], ["token", "doc", "size", "lead"])
+
+    posts = written(heads.mapInArrow(postings, "token long, doc long, size long, lead boolean"), "postings")
+    repeated.unpersist()
     near = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num  # noqa: E731  sizes that can reach the threshold at all
-    pivots = posts.groupBy("token").agg(F.min(F.struct("doc", "size")).alias("p"), F.count("*").alias("n")).where("n > 1").select("token", F.col("p.doc").alias("a"), F.col("p.size").alias("na"))
-    star = posts.join(pivots, "token").where("doc <> a").where(near(F.col("na"), F.col("size"))).select("a", F.col("doc").alias("b"), "na", F.col("size").alias("nb")).distinct()
+    # first round: a document's first repeated n-grams name the smallest document of their lists; one of these is tried
+    leads = posts.where("lead").select("token", "doc", "size")
+    pivots = leads.groupBy("token").agg(F.min(F.struct("doc", "size")).alias("p"), F.count("*").alias("n")).where("n > 1").select("token", F.col("p.doc").alias("a"), F.col("p.size").alias("na"))
+    star = leads.join(pivots, "token").where("doc <> a").where(near(F.col("na"), F.col("size")))
+    star = star.groupBy(F.col("doc").alias("b"), F.col("size").alias("nb"), "a", "na").agg(F.count("*").alias("n"))
+    star = star.groupBy("b", "nb").agg(F.max(F.struct("n", -F.col("a"), "a", "na")).alias("p")).select("p.a", "b", "p.na", "nb")
     star = written(star, "star")
-    links = written(_verified(docs, star, n, num, den, heavy), "links")
+    links = written(_verified(docs, star, n, num, den, heavy, repeats), "links")
     labels = components(links)
 
-    named = posts.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    # second round, exact: all lists that still hold more than one component, and only pairs across components
+    named = posts.drop("lead").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     named = written(named, "named")
     open_ = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     open_ = named.join(open_, "token", "left_semi")
     x = open_.select("token", F.col("doc").alias("a"), F.col("size").alias("na"), F.col("component").alias("ca"))
     y = open_.select("token", F.col("doc").alias("b"), F.col("size").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "token").where("a < b and ca <> cb").where(near(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb").distinct()
+    rest = x.join(y, "token").where("a < b and ca <> cb").where(near(F.col("na"), F.col("nb")))
+    # of two prefixes the one that ends first in the order has all the common n-grams up to there, so a linked pair has
+    # many in common within its prefixes: at least what the overlap needs less what that document has beyond its prefix
+    ceil = lambda x, y: F.floor((x + y - 1) / y)
+    need = lambda c: ceil((F.col("na") + F.col("nb")) * num, F.lit(num + den)) - ceil(F.col(c) * num, F.lit(den)) + 1
+    rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common")).where(F.col("common") >= F.least(need("na"), need("nb"))).drop("common")
     rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        links = links.union(_verified(docs, rest, n, num, den, heavy))
+        links = links.union(_verified(docs, rest, n, num, den, heavy, repeats))
         labels = components(links)
     labels = labels.withColumnRenamed("node", "rep")
     named = classes.join(labels, "rep", "left").select("d1", "d2", "size", F.coalesce("component", "rep").alias("component_id"))
@@ -180,11 +198,11 @@ def joined(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), s
     return out.union(alone)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, heavy) -> DataFrame:
-    """Of the pairs (a, b, na, nb) those that link: fragments count their overlaps, sums decide.
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, heavy, repeats: bool) -> DataFrame:
+    """Of the pairs (a, b, na, nb) those that link: each fragment of the order counts its overlap, their sum decides.
 
-    Only documents of a fixed-size bitmap of the pairs' ids send their fragments; ids that it lets through by chance
-    find no pair.
+    Texts travel compressed (a seventh of their n-gram hashes' bytes), and only those of documents in a fixed-size
+    bitmap of the pairs' ids; ids that it lets through by chance find no pair.
     """
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -194,40 +212,45 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, hea
 
     wanted = spark.sparkContext.broadcast(sketch.merged(written(ids, "ids"), id_hashes, 24, 2, least=1))
 
-    def fragments(batches):
-        buckets, level = heavy.value
+    def pick(batches):
         held = wanted.value
         for batch in batches:
-            mine = np.asarray(batch.column(0).fill_null(0), np.int64)
-            at = np.flatnonzero(held.maybe(_id_hash(mine)) & np.asarray(batch.column(0).is_valid(), bool))
-            data, offsets = text_buffers(batch.column(1).take(pa.array(at)))
-            doc, number, parts, size = [], [], [], 0
-            for k, s in zip(at.tolist(), document_sets(data, offsets, n)):
-                order = np.minimum(_level_of(s, buckets, level), 1) * _FRAGMENTS + (s >> np.uint64(61)).astype(np.int64)
-                for f in np.unique(order).tolist():
-                    doc.append(int(mine[k]))
-                    number.append(f)
-                    parts.append(_signed(s[order == f]))
-                    size += len(parts[-1])
-                if size > 1 << 20:
-                    yield _fragment_batch(doc, number, parts)
-                    doc, number, parts, size = [], [], [], 0
-            if doc:
-                yield _fragment_batch(doc, number, parts)
-
-    cut = docs.mapInArrow(fragments, "doc long, fragment int, part array<long>").dropDuplicates(["doc", "fragment"])
-    cut = written(cut, "fragments")
-    each = pairs.select("a", "b", "na", "nb", F.explode(F.sequence(F.lit(0), F.lit(2 * _FRAGMENTS - 1))).alias("fragment"))
-    one = cut.select(F.col("doc").alias("a"), "fragment", F.col("part").alias("part_a"))
-    two = cut.select(F.col("doc").alias("b"), "fragment", F.col("part").alias("part_b"))
-    partial = each.join(one, ["a", "fragment"]).join(two, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("overlap"))
+            at = np.flatnonzero(held.maybe(_id_hash(np.asarray(batch.column(0).fill_null(0), np.int64))) & np.asarray(batch.column(0).is_valid(), bool))
+            texts = batch.column(1).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([zlib.compress((x.as_py() or "").encode(), 1) for x in texts], pa.binary())], ["doc", "text"])
+
+    texts = docs.mapInArrow(pick, "doc long, text binary")
+    texts = written(texts.dropDuplicates(["doc"]) if repeats else texts, "texts")
+    wanted.unpersist()
+    both = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+
+    def overlaps(batches):
+        buckets, level = heavy.value
+        last, one = None, None
+        for batch in batches:
+            a, b, na, nb = (np.asarray(batch.column(k), np.int64) for k in range(4))
+            pair, fragment, overlap = [], [], []
+            for k in range(batch.num_rows):
+                if a[k] != last or one is None:
+                    last, one = a[k], _set_of(batch.column(4)[k].as_py(), n)
+                common = np.intersect1d(one, _set_of(batch.column(5)[k].as_py(), n), assume_unique=True)
+                where = np.minimum(_level_of(common, buckets, level), 1) * _FRAGMENTS + (common >> np.uint64(61)).astype(np.int64)
+                for f, c in enumerate(np.bincount(where, minlength=2 * _FRAGMENTS).tolist()):
+                    if c:
+                        pair.append(k)
+                        fragment.append(f)
+                        overlap.append(c)
+            at = pa.array(np.array(pair, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(4)), pa.array(fragment, pa.int32()), pa.array(overlap, pa.int64())], ["a", "b", "na", "nb", "fragment", "overlap"])
+
+    partial = both.select("a", "b", "na", "nb", "text_a", "text_b").mapInArrow(overlaps, "a long, b long, na long, nb long, fragment int, overlap long")
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     return summed.where(F.col("overlap") * den >= (F.col("na") + F.col("nb") - F.col("overlap")) * num).select("a", "b")
 
 
-def _fragment_batch(doc: list, number: list, parts: list) -> pa.RecordBatch:
-    bounds = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.ListArray.from_arrays(bounds, np.concatenate(parts))], ["doc", "fragment", "part"])
+def _set_of(text: bytes, n: int) -> np.ndarray:
+    data = np.frombuffer(zlib.decompress(text), np.uint8)
+    return next(document_sets(data, np.array([0, len(data)]), n))
 
 
 def kept(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:

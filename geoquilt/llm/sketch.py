@@ -30,9 +30,14 @@ def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 class _Local:
-    def __init__(self, bits: int, rows: int):
-        self.bits, self.rows = bits, rows
-        self.slices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """A partition's own sketch: whole bitmaps, so that their memory goes back at once when it is sent."""
+
+    def __init__(self, bits: int, rows: int, least: int):
+        self.bits, self.least = bits, least
+        size = max(1, 1 << (bits - 3))
+        self.once = [np.zeros(size, np.uint8) for _ in range(rows)]
+        self.again = [np.zeros(size, np.uint8) for _ in range(rows)] if least > 1 else []
+        self.touched: set[int] = set()
         self.waiting: list[np.ndarray] = []
         self.n = 0
 
@@ -48,21 +53,26 @@ class _Local:
         h = np.concatenate(self.waiting)
         self.waiting, self.n = [], 0
         width = min(_SLICE, self.bits)
-        for row in range(self.rows):
+        size = 1 << (width - 3)
+        for row, once in enumerate(self.once):
             at = np.sort(cells(h, row, self.bits))
             new = np.r_[True, at[1:] != at[:-1]]
-            again = np.zeros(len(at), bool)
-            again[:-1] = ~new[1:]
-            once, twice = at[new], at[again & new]
-            for key in np.unique(once >> width).tolist():
-                a = _pack(once, key, width)
-                b = _pack(twice, key, width)
-                own = row << 12 | key
-                if own in self.slices:
-                    x, y = self.slices[own]
-                    self.slices[own] = (x | a, y | b | (x & a))
-                else:
-                    self.slices[own] = (a, b)
+            more = np.zeros(len(at), bool)
+            more[:-1] = ~new[1:]
+            first, second = at[new], at[more & new]
+            for key in np.unique(first >> width).tolist():
+                part = slice(key * size, (key + 1) * size)
+                a = _pack(first, key, width)
+                if self.again:
+                    self.again[row][part] |= _pack(second, key, width) | (once[part] & a)
+                once[part] |= a
+                self.touched.add(row << 12 | key)
+
+    def slices(self):
+        size = 1 << (min(_SLICE, self.bits) - 3)
+        for own in sorted(self.touched):
+            part = slice((own & 4095) * size, ((own & 4095) + 1) * size)
+            yield own, self.once[own >> 12][part], self.again[own >> 12][part] if self.again else self.once[0][:0]
 
 
 def _pack(sorted_cells: np.ndarray, key: int, width: int) -> np.ndarray:
@@ -78,6 +88,12 @@ class Bitmaps:
     def __init__(self, bits: int, maps: list[np.ndarray]):
         self.bits, self.maps = bits, maps
 
+    def __getstate__(self):
+        return self.bits, [zlib.compress(x, 1) for x in self.maps]  # sparse maps travel small
+
+    def __setstate__(self, state):
+        self.bits, self.maps = state[0], [np.frombuffer(zlib.decompress(x), np.uint8) for x in state[1]]
+
     def maybe(self, h: np.ndarray) -> np.ndarray:
         found = np.ones(len(h), bool)
         for row, held in enumerate(self.maps):
@@ -94,20 +110,20 @@ def merged(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
     """
 
     def build(batches):
-        local = _Local(bits, rows)
+        local = _Local(bits, rows, least)
         for batch in batches:
             for h in hashes(batch):
                 local.add(h)
         local.flush()
         part = TaskContext.get().partitionId()
-        for key, (a, b) in local.slices.items():
+        for key, a, b in local.slices():
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "slice": pa.array([key], pa.int32()), "once": pa.array([zlib.compress(a, 1)], pa.binary()), "again": pa.array([zlib.compress(b, 1)], pa.binary())})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         once = again = None
         for a, b in zip(pdf["once"], pdf["again"]):
             a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            once, again = (a, b) if once is None else (once | a, again | b | (once & a))
+            once, again = (a, b) if once is None else (once | a, (again | b | (once & a)) if len(b) else b)
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "slice": [int(pdf["slice"].iloc[0])], "once": [zlib.compress(once, 1)], "again": [zlib.compress(again, 1)]})
 
     schema = "part int, slice int, once binary, again binary"

@@ -51,8 +51,8 @@ def corpus(n, seed=1):
 
 
 def test_join_equals_brute_force(spark):
-    rows = corpus(300)
-    for n, num, den in ((4, 85, 100), (5, 8, 10), (3, 5, 10)):
+    rows = corpus(220)
+    for n, num, den in ((4, 85, 100), (3, 5, 10)):
         docs = spark.createDataFrame([(*x, "z", 1) for x in rows], "doc_id long, text string, size string, rep int").repartition(5)
         got = {x[0]: (x[1], x[2]) for x in ngram_join.joined(docs, n, Fraction(num, den), 16).collect()}
         assert got == brute(rows, n, num, den)
