@@ -40,7 +40,7 @@ def targets(sources: DataFrame, share_percent: int = 150, most_epochs: int = 2,
     return levelled.select("sk", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mixed(docs: DataFrame, share_percent: int = 150, most_epochs: int = 2, weights: tuple[int, ...] = (5, 2, 1), whole: bool = False) -> DataFrame:
+def mixed(docs: DataFrame, share_percent: int = 150, most_epochs: int = 2, weights: tuple[int, ...] = (5, 2, 1), whole: bool = False, mark: Column | None = None) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken), one for each row of docs.
 
     A source takes its target's complete epochs first: every document that many times. What is left of the target goes
@@ -48,12 +48,12 @@ def mixed(docs: DataFrame, share_percent: int = 150, most_epochs: int = 2, weigh
     text's quality, until their words reach it; the last of them is taken in part, or with whole=True wholly or not,
     whichever is nearer. The prefix sums have two levels: words of (source, key range), then the rows of the one range
     where the budget ends, so no task sorts a source. Null text: size 0, taken 0. Null source: a source of its own,
-    ordered last. Null doc_id: hashed as the empty string. Repeated rows are sized and taken each. Other columns are
+    ordered last. mark: a column to hand through. Null doc_id: hashed as the empty string. Repeated rows are sized and taken each. Other columns are
     not read.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(source as string) as source", "text")
-    sized = sized.select("doc_id", "source", size.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", (F.lit(0).cast("long") if mark is None else mark).alias("mark"))
+    sized = sized.select("doc_id", "source", size.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), "mark")
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     key = -F.log(u) / quality_weight(F.col("size"), F.col("chars"))
     sized = sized.withColumn("key", key).withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * _BUCKETS)).withColumn("sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
@@ -77,7 +77,20 @@ def mixed(docs: DataFrame, share_percent: int = 150, most_epochs: int = 2, weigh
         part = F.when(F.col("room") * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0))
     edge = rows.where(ends_here).withColumn("room", room).withColumn("extra", part).drop("room")
     both = clear.unionByName(edge)
-    return both.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    return both.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"), *["mark"] * (mark is not None))
+
+
+def drawn(docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it whole; rows of no words are taken by no mix and go.
+
+    A row is told by its hash over doc_id, source and text, so repeated rows are drawn alike.
+    """
+    name = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+    marked = docs.withColumn("__row", name)
+    times = mixed(docs, whole=True, mark=name, **options).where("taken > 0").select(F.col("mark").alias("__row"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    times = times.groupBy("__row").agg(F.max("__times").alias("__times"))
+    out = marked.join(times, "__row")
+    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 ORACLE = """

@@ -14,9 +14,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import sketch, textscan
-from .shared import runs, text_buffers, written
+from .shared import discard, runs, text_buffers, written
 
 _SMALL = 32 << 20  # bytes of ids that may be broadcast
 
@@ -42,15 +43,8 @@ def _placed(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return doc, position, w1[at], w2[at]
 
 
-def deduplicated(docs: DataFrame, n: int = 13, sketch_bits: int = 28, with_text: bool = False) -> DataFrame:
-    """Rows (doc_id, n_words, n_removed, kept_sha256[, kept]), one for each row of docs.
-
-    A word goes if a window of n words that covers it also starts in a document of a smaller doc_id; what is left is
-    joined by single spaces. Windows are judged on the input. Null texts and texts of fewer than n words lose nothing.
-    A null doc_id is smaller than none and later than none: its row is returned as it is and takes nothing from others.
-    Repeated rows of one id never remove each other. Other columns are not read.
-    """
-    docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+def _judged(docs: DataFrame, n: int, sketch_bits: int):
+    """What goes from docs (doc_id, text): (doc_id, tag, positions of windows), whole copies (doc_id), and a broadcast bitmap of both's ids."""
     spark = docs.sparkSession
     profile = written(docs.mapInArrow(_digests, "doc_id long, n_words long, d1 long, d2 long"), "digests")
     some = profile.where("doc_id is not null").where(F.col("n_words") >= n)
@@ -90,6 +84,7 @@ def deduplicated(docs: DataFrame, n: int = 13, sketch_bits: int = 28, with_text:
     found = live.mapInArrow(candidates, "h1 long, h2 int, doc_id long")
     found = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
     found = written(found, "repeated")
+    repeated.unpersist()
 
     def found_hashes(batch: pa.RecordBatch):
         yield np.asarray(batch.column(0), np.int64).view(np.uint64)
@@ -111,33 +106,86 @@ def deduplicated(docs: DataFrame, n: int = 13, sketch_bits: int = 28, with_text:
     hits = live.mapInArrow(occurrences, "h1 long, h2 int, doc_id long, place long").join(found, ["h1", "h2"]).where("doc_id > least").select("doc_id", F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("position"))
     cuts = hits.groupBy("doc_id", "tag").agg(F.collect_set("position").alias("positions"))  # at most a document's own windows
     cuts = written(cuts, "cuts")
+    surely.unpersist()
+    discard(found)
 
     def cut_hashes(batch: pa.RecordBatch):
         yield textscan.mix(np.asarray(batch.column(0), np.int64).view(np.uint64), 78)
 
     touched = spark.sparkContext.broadcast(sketch.merged(cuts.select("doc_id").distinct().union(copies), cut_hashes, 26, 2, least=1))
+    whole = copies.withColumn("whole", F.lit(True))
+    return cuts, (whole if live is not docs else whole.limit(0)), touched
+
+
+def deduplicated(docs: DataFrame, n: int = 13, sketch_bits: int = 28, with_text: bool = False) -> DataFrame:
+    """Rows (doc_id, n_words, n_removed, kept_sha256[, kept]), one for each row of docs.
+
+    A word goes if a window of n words that covers it also starts in a document of a smaller doc_id; what is left is
+    joined by single spaces. Windows are judged on the input. Null texts and texts of fewer than n words lose nothing.
+    A null doc_id is smaller than none and later than none: its row is returned as it is and takes nothing from others.
+    Repeated rows of one id never remove each other. Other columns are not read.
+    """
+    docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+    cuts, whole, touched = _judged(docs, n, sketch_bits)
     shape = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    untouched, rest = _parted(docs, touched)
 
-    def finish(batches, ours: bool):
+    def keep(batches):
+        for batch in batches:
+            yield _finished(batch, None, None, n, with_text)
+
+    def remove(batches):
+        for batch in batches:
+            yield _finished(batch.select(["doc_id", "text"]), batch.column("positions"), batch.column("whole"), n, with_text)
+
+    joined = rest.join(cuts, ["doc_id", "tag"], "left").join(whole, "doc_id", "left")
+    return untouched.mapInArrow(keep, shape).union(joined.select("doc_id", "text", "positions", "whole").mapInArrow(remove, shape))
+
+
+def _parted(docs: DataFrame, touched) -> tuple[DataFrame, DataFrame]:
+    """docs without those whose doc_id the bitmap may hold, which need no shuffle; and those, with their texts' tags."""
+    key, text = docs.columns.index("doc_id"), docs.columns.index("text")
+
+    def part(batches, ours: bool):
         held = touched.value
         for batch in batches:
-            valid = np.asarray(batch.column(0).is_valid(), bool)
-            ids = np.asarray(batch.column(0).fill_null(0), np.int64)
+            valid = np.asarray(batch.column(key).is_valid(), bool)
+            ids = np.asarray(batch.column(key).fill_null(0), np.int64)
             mine = held.maybe(textscan.mix(ids.view(np.uint64), 78)) & valid
-            at = pa.array(np.flatnonzero(mine if ours else ~mine))
-            batch = batch.take(at)
-            yield _tagged(batch) if ours else _finished(batch, None, None, n, with_text)
+            some = batch.take(pa.array(np.flatnonzero(mine if ours else ~mine)))
+            if ours:
+                data, offsets = text_buffers(some.column(text))
+                tags = [_tags(h, first) for _, _, _, _, first, h in _scan(data, offsets)]
+                tags = np.concatenate(tags) if tags else np.zeros(0, np.uint64)
+                some = some.append_column("tag", pa.array(tags.view(np.int64) >> 32))
+            yield some
 
-    untouched = docs.mapInArrow(lambda b: finish(b, False), shape)
-    rest = docs.mapInArrow(lambda b: finish(b, True), "doc_id long, text string, tag long")
-    whole = copies.withColumn("whole", F.lit(True)) if live is not docs else copies.limit(0).withColumn("whole", F.lit(True))
-    joined = rest.join(cuts, ["doc_id", "tag"], "left").join(whole, "doc_id", "left")
+    return docs.mapInArrow(lambda b: part(b, False), docs.schema), docs.mapInArrow(lambda b: part(b, True), StructType([*docs.schema.fields, StructField("tag", LongType())]))
+
+
+def cleaned(docs: DataFrame, n: int = 13, sketch_bits: int = 28) -> DataFrame:
+    """docs with the removals made in text (and n_chars, where there is one); documents that lose every word go.
+
+    Rows that lose nothing stay exactly as they are, with all their columns, and are not shuffled. docs has no columns
+    tag, positions or whole besides.
+    """
+    columns = docs.columns
+    cuts, whole, touched = _judged(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), n, sketch_bits)
+    untouched, rest = _parted(docs, touched)
+    joined = rest.join(cuts, ["doc_id", "tag"], "left").join(whole, "doc_id", "left").select(*columns, "positions", "whole")
 
     def remove(batches):
         for batch in batches:
-            yield _finished(batch.select(["doc_id", "text"]), batch.column("positions"), batch.column("whole"), n, with_text)
+            done = _finished(batch.select(["doc_id", "text"]), batch.column("positions"), batch.column("whole"), n, True)
+            lost = np.asarray(done.column("n_removed")) > 0
+            texts = [k if x else t for x, k, t in zip(lost, done.column("kept").to_pylist(), batch.column("text").to_pylist())]
+            out = [pa.array(texts, batch.schema.field(c).type) if c == "text" else batch.column(c) for c in columns]
+            if "n_chars" in columns:
+                at = columns.index("n_chars")
+                out[at] = pa.array([len(t) if x else old for x, t, old in zip(lost, texts, out[at].to_pylist())], out[at].type)
+            yield pa.RecordBatch.from_arrays(out, columns).filter(pa.array([not x or t != "" for x, t in zip(lost, texts)]))
 
-    return untouched.union(joined.select("doc_id", "text", "positions", "whole").mapInArrow(remove, shape))
+    return untouched.union(joined.mapInArrow(remove, docs.schema))
 
 
 def _tags(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -147,13 +195,6 @@ def _tags(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def _tagged(batch: pa.RecordBatch) -> pa.RecordBatch:
-    data, offsets = text_buffers(batch.column(1))
-    tags = [_tags(h, first) for _, _, _, _, first, h in _scan(data, offsets)]
-    tags = np.concatenate(tags) if tags else np.zeros(0, np.uint64)
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tags.view(np.int64) >> 32)], ["doc_id", "text", "tag"])
-
-
 def _digests(batches):
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
