@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch, textscan
-from .shared import components, runs, text_buffers, written
+from .shared import components, discard, runs, text_buffers, written
 
 _BUCKETS = 20
 _FRAGMENTS = 8
@@ -159,35 +159,44 @@ def joined(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), s
             new = np.r_[True, mine[1:] != mine[:-1]] if len(mine) else np.zeros(0, bool)
             nth = np.arange(len(mine)) - np.maximum.accumulate(np.where(new, np.arange(len(mine)), 0))
             at = pa.array(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[maybe]), batch.column(0).take(at), batch.column(1).take(at), pa.array(nth < _LEADS)], ["token", "doc", "size", "lead"])
+            place = (np.arange(len(flat)) - np.asarray(tokens.offsets)[:-1][doc])[maybe]
+            shared = np.bincount(mine, minlength=batch.num_rows) * 1000 // np.maximum(1, np.bincount(doc, minlength=batch.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[maybe]), batch.column(0).take(at), batch.column(1).take(at), pa.array(nth.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(shared[mine].astype(np.int32))], ["token", "doc", "size", "nth", "place", "shared"])
 
-    posts = written(heads.mapInArrow(postings, "token long, doc long, size long, lead boolean"), "postings")
+    posts = written(heads.mapInArrow(postings, "token long, doc long, size long, nth int, place int, shared int"), "postings")
     repeated.unpersist()
+    discard(heads)
     near = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num  # noqa: E731  sizes that can reach the threshold at all
-    # first round: a document's first repeated n-grams name the smallest document of their lists; one of these is tried
-    leads = posts.where("lead").select("token", "doc", "size")
-    pivots = leads.groupBy("token").agg(F.min(F.struct("doc", "size")).alias("p"), F.count("*").alias("n")).where("n > 1").select("token", F.col("p.doc").alias("a"), F.col("p.size").alias("na"))
-    star = leads.join(pivots, "token").where("doc <> a").where(near(F.col("na"), F.col("size")))
-    star = star.groupBy(F.col("doc").alias("b"), F.col("size").alias("nb"), "a", "na").agg(F.count("*").alias("n"))
-    star = star.groupBy("b", "nb").agg(F.max(F.struct("n", -F.col("a"), "a", "na")).alias("p")).select("p.a", "b", "p.na", "nb")
+    # a common n-gram bounds a pair's overlap: before it only repeated n-grams of both can be common, after it what is left
+    ceil = lambda x, y: F.floor((x + y - 1) / y)
+    least = ceil((F.col("na") + F.col("nb")) * num, F.lit(num + den))
+    reach = F.least("nth_a", "nth_b") + F.least(F.col("na") - F.col("place_a"), F.col("nb") - F.col("place_b")) >= least
+    # first round: of each list that a document's first repeated n-grams lead to, it is tried with the one document
+    # that shares most of its own n-grams, as an original does whose near copies differ from it each in their own way
+    leads = posts.where(F.col("nth") < _LEADS).select("token", "doc", "size", "nth", "place", "shared")
+    pivots = leads.groupBy("token").agg(F.max(F.struct("shared", -F.col("doc"), "doc", "size", "nth", "place")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    pivots = pivots.select("token", F.col("p.doc").alias("a"), F.col("p.size").alias("na"), F.col("p.shared").alias("pivot_shared"), F.col("p.nth").alias("nth_a"), F.col("p.place").alias("place_a"))
+    star = leads.withColumnsRenamed({"doc": "b", "size": "nb", "nth": "nth_b", "place": "place_b"}).join(pivots, "token").where("a <> b").where(near(F.col("na"), F.col("nb"))).where(reach)
+    star = star.groupBy("b", "nb").agg(F.max(F.struct("pivot_shared", -F.col("a"), "a", "na")).alias("p")).select("p.a", "b", "p.na", "nb")
     star = written(star, "star")
     links = written(_verified(docs, star, n, num, den, heavy, repeats), "links")
     labels = components(links)
 
     # second round, exact: all lists that still hold more than one component, and only pairs across components
-    named = posts.drop("lead").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    named = posts.drop("shared").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     named = written(named, "named")
+    discard(posts)
     open_ = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     open_ = named.join(open_, "token", "left_semi")
-    x = open_.select("token", F.col("doc").alias("a"), F.col("size").alias("na"), F.col("component").alias("ca"))
-    y = open_.select("token", F.col("doc").alias("b"), F.col("size").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "token").where("a < b and ca <> cb").where(near(F.col("na"), F.col("nb")))
+    x = open_.select("token", F.col("doc").alias("a"), F.col("size").alias("na"), F.col("component").alias("ca"), F.col("nth").alias("nth_a"), F.col("place").alias("place_a"))
+    y = open_.select("token", F.col("doc").alias("b"), F.col("size").alias("nb"), F.col("component").alias("cb"), F.col("nth").alias("nth_b"), F.col("place").alias("place_b"))
+    rest = x.join(y, "token").where("a < b and ca <> cb").where(near(F.col("na"), F.col("nb"))).where(reach)
     # of two prefixes the one that ends first in the order has all the common n-grams up to there, so a linked pair has
     # many in common within its prefixes: at least what the overlap needs less what that document has beyond its prefix
-    ceil = lambda x, y: F.floor((x + y - 1) / y)
-    need = lambda c: ceil((F.col("na") + F.col("nb")) * num, F.lit(num + den)) - ceil(F.col(c) * num, F.lit(den)) + 1
+    need = lambda c: least - ceil(F.col(c) * num, F.lit(den)) + 1
     rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common")).where(F.col("common") >= F.least(need("na"), need("nb"))).drop("common")
     rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
+    discard(named)
     if rest.limit(1).count():
         links = links.union(_verified(docs, rest, n, num, den, heavy, repeats))
         labels = components(links)
