@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .shared import runs, text_buffers
+from .shared import runs, text_buffers, written
 
 # Small word lists of the grammar, in English, German, Spanish and French.
 THREATS = "kill hurt destroy beat stab shoot töten umbringen schlagen matar golpear tuer frapper"
@@ -149,6 +149,16 @@ def word_starts(data: np.ndarray, offsets: np.ndarray, scorer: Scorer) -> np.nda
     return starts[found]
 
 
+def _characters(raw: bytes, places: list[int]) -> tuple[str, list[int]]:
+    """The text of raw, and ascending byte places as character places."""
+    out, at, seen = [], 0, 0
+    for b in places:
+        seen += len(raw[at:b].decode("utf-8", "replace"))
+        at = b
+        out.append(seen)
+    return raw.decode("utf-8", "replace"), out
+
+
 def learned(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, most: int = 1500) -> dict[str, float]:
     """The lexicon, from a bounded sample: `most` documents of label 1 and twice as many of label 0, by smallest hashes
     of doc_id, outside the held-out fold.
@@ -197,6 +207,7 @@ def learned(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int =
 
     counted = some.select("doc_id", "text", "toxic").mapInArrow(features, "feature string, toxic int, family long")
     counted = counted.groupBy("feature", "family").agg(F.max("toxic").alias("toxic")).groupBy("feature").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    counted = written(counted, "features")
     total = counted.where("feature = ''").first()
     if not total or not total["a"] or total["a"] == total["n"]:
         return {}
@@ -255,12 +266,7 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int =
                 doc = np.searchsorted(part, hits, side="right") - 1
                 for k in np.unique(doc).tolist():
                     raw = piece[part[k] : part[k + 1]].tobytes()
-                    text, places, at, seen = raw.decode("utf-8", "replace"), [], 0, 0
-                    for b in (hits[doc == k] - part[k]).tolist():
-                        seen += len(raw[at:b].decode("utf-8", "replace"))
-                        at = b
-                        places.append(seen)
-                    score[i + k] = scorer.score(scorer.evidence(text, places))
+                    score[i + k] = scorer.score(scorer.evidence(*_characters(raw, (hits[doc == k] - part[k]).tolist())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     frame = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
@@ -283,8 +289,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: i
                 doc = np.searchsorted(part, hits, side="right") - 1
                 for k in np.unique(doc).tolist():
                     raw = data[offsets[i + k] : offsets[i + k + 1]].tobytes()
-                    places = [len(raw[:b].decode("utf-8", "replace")) for b in (hits[doc == k] - part[k]).tolist()]
-                    keep[i + k] = scorer.score(scorer.evidence(raw.decode("utf-8", "replace"), places)) < threshold
+                    keep[i + k] = scorer.score(scorer.evidence(*_characters(raw, (hits[doc == k] - part[k]).tolist()))) < threshold
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
