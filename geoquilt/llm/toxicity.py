@@ -68,7 +68,7 @@ def grammar() -> Transducer:
 class Scorer:
     """A learned lexicon with the grammar. lexicon: word (ends with '$') or word beginning -> weight."""
 
-    def __init__(self, lexicon: dict[str, float], prior: float = 4.0):
+    def __init__(self, lexicon: dict[str, float], prior: float = 5.0):
         self.lexicon, self.prior, self.machine = lexicon, prior, grammar()
         self.lengths = sorted({len(x.rstrip("$")) for x in lexicon})
         self.fixed = {w: s for s, words in (("H", THREATS), ("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words.split()}
