@@ -55,7 +55,7 @@ def _rotation(vectors: DataFrame, dims: int, blocks: int) -> list[np.ndarray]:
     return [axes[:, dealt == b] for b in range(blocks) if (dealt == b).any()]
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, blocks: int = 4, tile: int = 8192, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, blocks: int = 4, tile: int = 16384, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of embeddings.
 
     Links join vectors of cosine >= `cosine` in double precision. Equal vectors are one class from the start and link
@@ -65,7 +65,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, blocks: int = 4,
     two chunks of `tile` vectors.
     """
     spark = embeddings.sparkSession
-    rows = embeddings.select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
+    kind = "float" if embeddings.schema[vector].dataType.simpleString() == "array<float>" else "double"  # what travels
+    rows = embeddings.select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("vector"))
     good = usable(F.col("vec_id"), F.col("vector")) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("good", good)
     lengths = rows.where("good").groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -175,7 +176,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, blocks: int = 4,
             if (label[p] == label[q]).all() and (label == before).all():
                 return
 
-    tiles = classes.select("vector", "rep", "n").mapInArrow(deal, "tile string, side int, rep long, n long, vector array<double>")
+    tiles = classes.select("vector", "rep", "n").mapInArrow(deal, f"tile string, side int, rep long, n long, vector array<{kind}>")
     found = written(tiles.groupBy("tile").applyInArrow(join, "rep long, links long, root long"), "links")
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.where("rep <> root"), "rep", "root").withColumnRenamed("node", "rep")
