@@ -26,7 +26,7 @@ _BITS = np.left_shift(1, np.arange(7, -1, -1)).astype(np.uint8)
 
 
 def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (mix(h, 101 + row) >> np.uint64(64 - bits)).astype(np.int64)
+    return (mix(h, 101 + row) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 class _Local:
@@ -44,7 +44,7 @@ class _Local:
     def add(self, h: np.ndarray) -> None:
         self.waiting.append(h)
         self.n += len(h)
-        if self.n >= 1 << 21:
+        if self.n >= 1 << 20:
             self.flush()
 
     def flush(self) -> None:
@@ -60,7 +60,7 @@ class _Local:
             more = np.zeros(len(at), bool)
             more[:-1] = ~new[1:]
             first, second = at[new], at[more & new]
-            for key in np.unique(first >> width).tolist():
+            for key in np.unique(first >> np.uint32(width)).tolist():
                 part = slice(key * size, (key + 1) * size)
                 a = _pack(first, key, width)
                 if self.again:
@@ -76,9 +76,10 @@ class _Local:
 
 
 def _pack(sorted_cells: np.ndarray, key: int, width: int) -> np.ndarray:
-    low, high = np.searchsorted(sorted_cells, [key << width, (key + 1) << width])
+    low = int(np.searchsorted(sorted_cells, np.uint32(key << width)))
+    high = int(np.searchsorted(sorted_cells, np.uint32(((key + 1) << width) - 1), side="right"))
     flags = np.zeros(1 << width, bool)
-    flags[sorted_cells[low:high] - (key << width)] = True
+    flags[sorted_cells[low:high] - np.uint32(key << width)] = True
     return np.packbits(flags)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import sketch, textscan
-from .shared import discard, runs, text_buffers, written
+from .shared import discard, runs, small_batches, text_buffers, written
 
 _SMALL = 32 << 20  # bytes of ids that may be broadcast
 
@@ -46,6 +46,7 @@ def _placed(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 def _judged(docs: DataFrame, n: int, sketch_bits: int):
     """What goes from docs (doc_id, text): (doc_id, tag, positions of windows), whole copies (doc_id), and a broadcast bitmap of both's ids."""
     spark = docs.sparkSession
+    small_batches(spark)
     profile = written(docs.mapInArrow(_digests, "doc_id long, n_words long, d1 long, d2 long"), "digests")
     some = profile.where("doc_id is not null").where(F.col("n_words") >= n)
     firsts = some.groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
