@@ -214,7 +214,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, hea
     bitmap of the pairs' ids; ids that it lets through by chance find no pair.
     """
     spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select(F.col("b").alias("id")).distinct()).distinct()
 
     def id_hashes(batch: pa.RecordBatch):
         yield _id_hash(np.asarray(batch.column(0), np.int64))
