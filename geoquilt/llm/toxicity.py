@@ -72,12 +72,12 @@ class Scorer:
         self.lexicon, self.prior, self.machine = lexicon, prior, grammar()
         self.lengths = sorted({len(x.rstrip("$")) for x in lexicon})
         self.fixed = {w: s for s, words in (("H", THREATS), ("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words.split()}
-        stems = [x.rstrip("$").encode() for x in lexicon] + [x.encode() for x in THREATS.split()]
+        stems = [_FOLDED.of(_code_points(x.rstrip("$"))) for x in [*lexicon, *THREATS.split()]]
         self.short = [x for x in stems if len(x) < 4]
         self.four = np.zeros(1 << 16, bool)
         for x in stems:
             if len(x) >= 4:
-                self.four[_four_hash(np.frombuffer(x[:4], np.uint32))[0]] = True
+                self.four[_four_hash(x[None, :4])[0]] = True
         self.weights: dict[int, float] = {}
 
     def weight(self, word: str) -> float:
@@ -93,8 +93,9 @@ class Scorer:
         state, total = 0, 0.0
         for m in _WORD.finditer(text.lower()):
             word = m[0]
-            weight = self.weight(word.partition("'")[0] if word not in self.fixed else word)
-            symbol = "I" if weight > 0 else self.fixed.get(word, "o")
+            parts = [word] if word in self.fixed else word.split("'")
+            weight = max(map(self.weight, parts))
+            symbol = "I" if weight > 0 else next((self.fixed[x] for x in parts if x in self.fixed), "o")
             state, out, factor = self.machine.step(state, symbol)
             if out == "I":
                 total += weight * factor
@@ -122,41 +123,74 @@ class Scorer:
 
 
 def _four_hash(x: np.ndarray) -> np.ndarray:
-    return ((x * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
-
-
-_SOLID = np.zeros(256, bool)
-_SOLID[65:91] = _SOLID[97:123] = True
-_SOLID[0x80:] = True
-
-
-def word_starts(data: np.ndarray, offsets: np.ndarray, scorer: Scorer) -> np.ndarray:
-    """Byte places where a word begins that may be in the lexicon (by its first four lower-case bytes)."""
-    low = textscan.LOWER[data]
-    upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0x9F) & (data[1:] != 0x97)) + 1
-    low[upper] += 0x20  # Latin capitals
-    solid = _SOLID[low]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    inner = offsets[:-1][offsets[:-1] < len(data)]
-    first[inner] = solid[inner]
+    """Of rows of four code points."""
+    h = np.zeros(len(x), np.uint32)
+    for k in range(4):
+        h = (h ^ x[:, k]) * np.uint32(2654435761)
+    return (h >> np.uint32(16)).astype(np.int64)
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+class _Folding:
+    """Lower case and letters by code point, as str.lower() and _WORD have them; a code point is looked at when it first comes.
+    Both small sigmas are one, as lower() chooses by place."""
+
+    def __init__(self):
+        self.seen, self.letter = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+        self.lower = np.arange(0x110000, dtype=np.uint32)
+        self.longer: set[int] = set()  # those whose lower case is several characters
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        for c in np.unique(points[~self.seen[points]]).tolist():
+            low = chr(c).lower()
+            if len(low) > 1:
+                self.longer.add(c)
+            else:
+                self.lower[c] = ord(low.replace("ς", "σ"))
+                self.letter[c] = bool(_WORD.fullmatch(low))
+            self.seen[c] = True
+        return self.lower[points]
+
+
+_FOLDED = _Folding()
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray, scorer: Scorer) -> tuple[str, np.ndarray, np.ndarray]:
+    """The texts as one string, the place of each in it, and ascending places around which the grammar must read: every
+    word of _WORD, or part of one beside an apostrophe, that may be in the lexicon (by its first four lower-case letters)."""
+    raw = data.tobytes()
+    try:
+        text = raw.decode()
+        at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    except UnicodeDecodeError:
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        text, at = "".join(texts), np.cumsum([0, *map(len, texts)])
+    points = _code_points(text)
+    low = _FOLDED.of(points)
+    letter = _FOLDED.letter[points]
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    inner = at[:-1][at[:-1] < len(points)]
+    first[inner] = letter[inner]
     starts = np.flatnonzero(first)
-    extended = np.concatenate([low, np.zeros(4, np.uint8)])
-    four = extended[starts[:, None] + np.arange(4)].copy().view(np.uint32)[:, 0]
+    four = np.concatenate([low, np.zeros(4, np.uint32)])[starts[:, None] + np.arange(4)]
     found = scorer.four[_four_hash(four)]
     for x in scorer.short:
-        found |= (four & np.uint32((1 << (8 * len(x))) - 1)) == int.from_bytes(x, "little")
-    return starts[found]
+        found |= (four[:, : len(x)] == x).all(axis=1)
+    hits = starts[found]
+    if _FOLDED.longer and len(odd := np.flatnonzero(np.isin(points, list(_FOLDED.longer)))):
+        hits = np.union1d(hits, odd)
+    return text, at, hits
 
 
-def _characters(raw: bytes, places: list[int]) -> tuple[str, list[int]]:
-    """The text of raw, and ascending byte places as character places."""
-    out, at, seen = [], 0, 0
-    for b in places:
-        seen += len(raw[at:b].decode("utf-8", "replace"))
-        at = b
-        out.append(seen)
-    return raw.decode("utf-8", "replace"), out
+def evidences(data: np.ndarray, offsets: np.ndarray, scorer: Scorer) -> dict[int, float]:
+    """The evidence of each text (by its number) that has a place to read."""
+    text, at, hits = word_starts(data, offsets, scorer)
+    doc = np.searchsorted(at, hits, side="right") - 1
+    return {k: scorer.evidence(text[at[k] : at[k + 1]], (hits[doc == k] - at[k]).tolist()) for k in np.unique(doc).tolist()}
 
 
 def learned(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, most: int = 1500) -> dict[str, float]:
@@ -192,10 +226,10 @@ def learned(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int =
                     family = int(mine.min().view(np.int64)) if len(mine) else hash_of(text)
                     found = set()
                     for w in set(_WORD.findall(text.lower())):
-                        w = w.partition("'")[0]
-                        if len(w) >= 3:
-                            found.add(w + "$")
-                            found.update(w[:n] for n in range(4, min(8, len(w)) + 1))
+                        for x in w.split("'"):
+                            if len(x) >= 3:
+                                found.add(x + "$")
+                                found.update(x[:n] for n in range(4, min(8, len(x)) + 1))
                     found.add("")
                     rows[0].extend(found)
                     rows[1].extend([int(batch.column(2)[i + k].as_py())] * len(found))
@@ -261,12 +295,8 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int =
             score = np.full(batch.num_rows, scorer.score(0.0))
             for i, j in runs(offsets, 1 << 19):
                 part = offsets[i : j + 1] - offsets[i]
-                piece = data[offsets[i] : offsets[j]]
-                hits = word_starts(piece, part, scorer)
-                doc = np.searchsorted(part, hits, side="right") - 1
-                for k in np.unique(doc).tolist():
-                    raw = piece[part[k] : part[k + 1]].tobytes()
-                    score[i + k] = scorer.score(scorer.evidence(*_characters(raw, (hits[doc == k] - part[k]).tolist())))
+                for k, evidence in evidences(data[offsets[i] : offsets[j]], part, scorer).items():
+                    score[i + k] = scorer.score(evidence)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     frame = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
@@ -285,11 +315,8 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: i
             keep = np.ones(batch.num_rows, bool)
             for i, j in runs(offsets, 1 << 19):
                 part = offsets[i : j + 1] - offsets[i]
-                hits = word_starts(data[offsets[i] : offsets[j]], part, scorer)
-                doc = np.searchsorted(part, hits, side="right") - 1
-                for k in np.unique(doc).tolist():
-                    raw = data[offsets[i + k] : offsets[i + k + 1]].tobytes()
-                    keep[i + k] = scorer.score(scorer.evidence(*_characters(raw, (hits[doc == k] - part[k]).tolist()))) < threshold
+                for k, evidence in evidences(data[offsets[i] : offsets[j]], part, scorer).items():
+                    keep[i + k] = scorer.score(evidence) < threshold
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

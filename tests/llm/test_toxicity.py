@@ -1,4 +1,7 @@
 import random
+import re
+
+import numpy as np
 
 from geoquilt.llm import toxicity
 
@@ -43,3 +46,30 @@ def test_learns_and_scores(spark):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {x.doc_id for x in got if not x.predicted}
     assert toxicity.scored(docs.limit(0), frame.limit(0)).count() == 0
     assert all(x.predicted == 0 for x in toxicity.scored(docs, frame.limit(0)).collect())
+
+
+def evidence(texts, scorer):
+    raw = [x.encode() if isinstance(x, str) else x for x in texts]
+    found = toxicity.evidences(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), scorer)
+    return [found.get(k, 0.0) for k in range(len(texts))]
+
+
+def test_prefilter_misses_no_clause():
+    s = toxicity.Scorer({"idiot": 6.0, "scum$": 5.0, "ass$": 4.0, "élan$": 3.0, "дура": 7.0, "λόγος$": 6.0, "œuvre$": 5.0})
+    marks = ["¡", "¿", "«", "“", "”", "—", "’", "‘", "…", "\u00a0", "\u2009", "、", "🙂", "\u0301", "²", "٣", "_", "7", "'", "l'", "qu’", ""]
+    for m in ("¡", "¿", "«", "“", "—", "\u00a0", "’", "l'", "İ"):
+        assert evidence([f"ça va {m}Idiot!"], s) == [6.0], m
+    assert evidence(["éidiot", "l'ami", b"\xff idiot", "", "an\xa0ÉLAN"], s) == [0.0, 0.0, 6.0, 0.0, 3.0]
+    words = ["idiot", "IDIOTS", "Scum", "scums", "ass", "ÉLAN", "ДУРАК", "ΛΌΓΟΣ", "ŒUVRE", "you", "NOT", "said", "kein", "İdiot", "été", "x", "kill"]
+    r = random.Random(3)
+    texts = ["".join(r.choice(marks) + r.choice(words) + r.choice([" ", "", r.choice(marks), ". ", "! ", "\n"]) for _ in range(r.randint(0, 12))) for _ in range(2000)]
+    whole = [sum(map(s.clause, re.split(r"(?<=[.!?;\n])", x))) for x in texts]
+    assert np.allclose(evidence(texts, s), whole) and sum(x > 0 for x in whole) > 1000
+
+
+def test_learns_both_sides_of_an_apostrophe(spark):
+    rows = [(i, f"ami{i} parle de chose{i}" + (" l'affreux" if i % 5 == 0 else " l'aimable")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity.scored(docs, labels).collect()
+    assert all(x.predicted == (x.doc_id % 5 == 0) for x in got)
