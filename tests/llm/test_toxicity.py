@@ -73,3 +73,22 @@ def test_learns_both_sides_of_an_apostrophe(spark):
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
     got = toxicity.scored(docs, labels).collect()
     assert all(x.predicted == (x.doc_id % 5 == 0) for x in got)
+
+
+def test_threats():
+    s = toxicity.Scorer({"idiot$": 6.0})
+    toxic = lambda x: s.score(s.clause(x)) >= 0.3
+    for x in ("I will kill you", "you I will kill", "je vais te tuer toi", "I'll shoot all of you", "kill it and hurt you", "I will kill you're"):
+        assert toxic(x), x
+    for x in ("I will kill it", "I will not kill you", "she said I will kill you", "kill a b c you", "you a b c kill", "you"):
+        assert not toxic(x), x
+    assert s.clause("hurt you") == s.clause("you hurt") == 5.0 and s.clause("kill you hurt") == 10.0
+    assert s.clause("kill you you") == 5.0 and s.clause("kill the idiot") == 6.0 and s.clause("kill it not hurt you") == 2.0
+    assert evidence(["ok. «Kill» you", "kill. You"], s) == [5.0, 0.0]
+
+
+def test_threats_without_labels(spark):
+    docs = spark.createDataFrame([(1, "I will kill you"), (2, "I will kill it")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {x.doc_id: x.predicted for x in toxicity.scored(docs, labels).collect()} == {1: 1, 2: 0}
+    assert [x.doc_id for x in toxicity.accepted(docs, labels).collect()] == [2]
