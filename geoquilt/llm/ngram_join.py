@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import sketch, textscan
 from .shared import components, discard, runs, text_buffers, written
@@ -108,17 +109,30 @@ def joined(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), s
     pair is only ever formed between classes, so a group of copies costs what one document does. Of near copies each is
     first held against one other of its posting list; pairs of documents that are then already connected are never
     formed. Empty and null texts: 0 shingles, linked with nothing. Null ids: returned with a null component, linked
-    with nothing. Repeated rows are returned each. Other columns are not read.
+    with nothing. Repeated rows are returned each. Rows that share a doc_id but not the text are documents of their own,
+    each with the label of its own text. Other columns are not read.
     """
-    docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+    sets, named, _ = _labelled(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), n, threshold, sketch_bits)
+    some = sets.where("size > 0 and doc_id is not null")
+    out = some.join(named.drop("rep", "component"), ["d1", "d2", "size"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    alone = sets.where("size = 0 or doc_id is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.union(alone)
+
+
+def _labelled(docs: DataFrame, n: int, threshold: Fraction, sketch_bits: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows (doc_id, size, d1, d2) for each row of docs; classes of equal sets (d1, d2, size, rep, component, component_id);
+    and whether a doc_id repeats. Classes are then nodes by a number of their own, else by their smallest doc_id (rep)."""
     spark = docs.sparkSession
     num, den = threshold.numerator, threshold.denominator
     profile = written(_profile(docs, n), "profile")
     sets = profile.where("kind = 0").select("doc_id", "size", "d1", "d2")
     some = sets.where("size > 0 and doc_id is not null")
     classes = some.groupBy("d1", "d2", "size").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes, "classes")
-    repeats = some.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    repeats = sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id() if repeats else F.col("rep")), "classes")
+    if repeats:  # an id may have several texts: of each class one text stands for it, under the class's number
+        mine = _with_digest(docs, n).withColumnsRenamed({"_size": "size", "_d1": "d1", "_d2": "d2"}).join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "size", "d1", "d2"])
+        docs = written(mine.dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text"), "representatives")
     heavy = spark.sparkContext.broadcast(_levels(profile))
 
     def prefixes(batches):
@@ -139,8 +153,7 @@ def joined(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), s
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(keep, np.int64))), pa.array(np.array(size, np.int64)), pa.ListArray.from_arrays(bounds, flat)], ["doc_id", "size", "tokens"])
 
     heads = docs.mapInArrow(prefixes, "doc_id long, size long, tokens array<long>")
-    heads = heads.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    heads = heads.dropDuplicates(["doc_id"]) if repeats else heads
+    heads = heads.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     heads = written(heads, "prefixes")
 
     def token_hashes(batch: pa.RecordBatch):
@@ -179,7 +192,7 @@ def joined(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), s
     star = leads.withColumnsRenamed({"doc": "b", "size": "nb", "nth": "nth_b", "place": "place_b"}).join(pivots, "token").where("a <> b").where(near(F.col("na"), F.col("nb"))).where(reach)
     star = star.groupBy("b", "nb").agg(F.max(F.struct("pivot_shared", -F.col("a"), "a", "na")).alias("p")).select("p.a", "b", "p.na", "nb")
     star = written(star, "star")
-    links = written(_verified(docs, star, n, num, den, heavy, repeats), "links")
+    links = written(_verified(docs, star, n, num, den, heavy), "links")
     labels = components(links)
 
     # second round, exact: all lists that still hold more than one component, and only pairs across components
@@ -198,16 +211,36 @@ def joined(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), s
     rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
     discard(named)
     if rest.limit(1).count():
-        links = links.union(_verified(docs, rest, n, num, den, heavy, repeats))
+        links = links.union(_verified(docs, rest, n, num, den, heavy))
         labels = components(links)
-    labels = labels.withColumnRenamed("node", "rep")
-    named = classes.join(labels, "rep", "left").select("d1", "d2", "size", F.coalesce("component", "rep").alias("component_id"))
-    out = some.join(named, ["d1", "d2", "size"]).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    alone = sets.where("size = 0 or doc_id is null").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.union(alone)
+    named = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+    if not repeats:
+        return sets, named.withColumn("component_id", F.col("component")), False
+    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return sets, named.join(lowest, "component").select("d1", "d2", "size", "rep", "component", "component_id"), True
+
+
+def _with_digest(docs: DataFrame, n: int) -> DataFrame:
+    """docs with _size, _d1 and _d2: the digest of each text's set."""
+    more = [StructField(x, LongType()) for x in ("_size", "_d1", "_d2")]
+    schema = StructType([*docs.schema.fields, *more])
+    names = schema.names
+    at = names.index("text")
 
+    def run(batches):
+        for batch in batches:
+            size, d1, d2 = [], [], []
+            for s in document_sets(*text_buffers(batch.column(at)), n):
+                size.append(len(s))
+                d1.append(int(np.sum(textscan.mix(s, 1), dtype=np.uint64)))
+                d2.append(int(np.sum(textscan.mix(s, 2), dtype=np.uint64)))
+            digest = [pa.array(np.array(size, np.int64)), pa.array(_signed(d1)), pa.array(_signed(d2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *digest], names)
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, heavy, repeats: bool) -> DataFrame:
+    return docs.mapInArrow(run, schema)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, heavy) -> DataFrame:
     """Of the pairs (a, b, na, nb) those that link: each fragment of the order counts its overlap, their sum decides.
 
     Texts travel compressed (a seventh of their n-gram hashes' bytes), and only those of documents in a fixed-size
@@ -229,7 +262,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, hea
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([zlib.compress((x.as_py() or "").encode(), 1) for x in texts], pa.binary())], ["doc", "text"])
 
     texts = docs.mapInArrow(pick, "doc long, text binary")
-    texts = written(texts.dropDuplicates(["doc"]) if repeats else texts, "texts")
+    texts = written(texts, "texts")
     wanted.unpersist()
     both = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -263,7 +296,16 @@ def _set_of(text: bytes, n: int) -> np.ndarray:
 
 
 def kept(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:
-    """docs without all but the smallest doc_id of each component; of repeated rows of that id one stays; null ids stay."""
-    labels = joined(docs, n, threshold).where("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(labels, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """docs without all but the smallest doc_id of each component; of repeated rows of that id one stays; null ids stay.
+
+    Of an id with several texts each text is a document, so one of them stays for each component that the id is the smallest of.
+    """
+    sets, named, repeats = _labelled(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), n, threshold, 27)
+    first = named.groupBy("component").agg(F.min(F.struct("rep", "size", "d1", "d2")).alias("p")).select(F.col("p.rep").alias("doc_id"), *[F.col(f"p.{x}").alias(f"_{x}") for x in ("size", "d1", "d2")])
+    empty = sets.where("size = 0 and doc_id is not null").select("doc_id", *[F.col(x).alias(f"_{x}") for x in ("size", "d1", "d2")])
+    if repeats:
+        key = ["doc_id", "_size", "_d1", "_d2"]
+        stay = _with_digest(docs, n).join(first.union(empty), key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    else:
+        stay = docs.join(first.union(empty).select("doc_id"), "doc_id", "left_semi")
     return stay.unionByName(docs.where("doc_id is null"))

@@ -89,3 +89,17 @@ def test_long_spans_hash_alike():
     assert one[1] == other[0]
     again = textscan.span_hashes(np.frombuffer(b"q" * (9 << 17), np.uint8), np.array([0]), np.array([9 << 17]))
     assert one[0] == again[0]
+
+
+def test_an_id_with_several_texts(spark):
+    words = [[f"{c}{k}" for k in range(40)] for c in "abcd"]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    a, b, c, d = map(" ".join, words)
+    rows = [(7, a), (7, b), (7, c), (7, ""), (3, d), (8, near(words[0])), (9, near(words[1])), (10, near(words[2])), (7, near(words[3])), (7, b), (11, None)]
+    truth = [7, 7, 7, 7, 3, 7, 7, 7, 3, 7, 11]
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, size int").repartition(parts, "size")
+        got = ngram_join.joined(docs, 4, Fraction(85, 100), 16).collect()
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted((i, brute([(i, t)], 4, 85, 100)[i][0], k) for (i, t), k in zip(rows, truth))
+        stay = ngram_join.kept(docs, 4, Fraction(85, 100))
+        assert stay.columns == docs.columns and sorted((x.doc_id, x.text or "") for x in stay.collect()) == [(3, d), (7, ""), (7, a), (7, b), (7, c), (11, "")]
