@@ -1,10 +1,10 @@
-"""Jaccard self-join of documents on their word n-grams, by vertical partitioning of the global n-gram order.
+"""Jaccard self-join of documents on their word n-grams, by prefix filtering and whole-set verification.
 
 The order of all n-grams: first those of no heavy bucket of a corpus-wide count sketch, then the heavier the later;
 within that by hash. Any total order gives right results; this one puts what many documents share last, where it makes
-no candidates. Fragments are ranges of the order. Two documents that reach the threshold share an n-gram among the
-first (1 - t) of either, so those prefixes give the candidates; each fragment then counts its part of a candidate
-pair's overlap on its own, and the sum over fragments decides.
+no candidates. Two documents that reach the threshold share an n-gram among the first (1 - t) of either, so those
+prefixes give the candidates; a candidate pair's whole sets are then held against each other in one place. This is not
+vertical partitioning, in which fragments of the order are joined and counted apart and their counts summed.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from . import sketch, textscan
 from .shared import components, discard, runs, text_buffers, written
 
 _BUCKETS = 20
-_FRAGMENTS = 8
 _LEADS = 4
 
 
@@ -192,7 +191,7 @@ def _labelled(docs: DataFrame, n: int, threshold: Fraction, sketch_bits: int) ->
     star = leads.withColumnsRenamed({"doc": "b", "size": "nb", "nth": "nth_b", "place": "place_b"}).join(pivots, "token").where("a <> b").where(near(F.col("na"), F.col("nb"))).where(reach)
     star = star.groupBy("b", "nb").agg(F.max(F.struct("pivot_shared", -F.col("a"), "a", "na")).alias("p")).select("p.a", "b", "p.na", "nb")
     star = written(star, "star")
-    links = written(_verified(docs, star, n, num, den, heavy), "links")
+    links = written(_verified(docs, star, n, num, den), "links")
     labels = components(links)
 
     # second round, exact: all lists that still hold more than one component, and only pairs across components
@@ -211,7 +210,7 @@ def _labelled(docs: DataFrame, n: int, threshold: Fraction, sketch_bits: int) ->
     rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
     discard(named)
     if rest.limit(1).count():
-        links = links.union(_verified(docs, rest, n, num, den, heavy))
+        links = links.union(_verified(docs, rest, n, num, den))
         labels = components(links)
     named = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
     if not repeats:
@@ -240,8 +239,8 @@ def _with_digest(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, heavy) -> DataFrame:
-    """Of the pairs (a, b, na, nb) those that link: each fragment of the order counts its overlap, their sum decides.
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b, na, nb) those that link, by the overlap of their whole sets.
 
     Texts travel compressed (a seventh of their n-gram hashes' bytes), and only those of documents in a fixed-size
     bitmap of the pairs' ids; ids that it lets through by chance find no pair.
@@ -266,28 +265,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, hea
     wanted.unpersist()
     both = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
 
-    def overlaps(batches):
-        buckets, level = heavy.value
+    def linked(batches):
         last, one = None, None
         for batch in batches:
-            a, b, na, nb = (np.asarray(batch.column(k), np.int64) for k in range(4))
-            pair, fragment, overlap = [], [], []
+            a, na, nb = (np.asarray(batch.column(k), np.int64) for k in (0, 2, 3))
+            links = []
             for k in range(batch.num_rows):
                 if a[k] != last or one is None:
                     last, one = a[k], _set_of(batch.column(4)[k].as_py(), n)
-                common = np.intersect1d(one, _set_of(batch.column(5)[k].as_py(), n), assume_unique=True)
-                where = np.minimum(_level_of(common, buckets, level), 1) * _FRAGMENTS + (common >> np.uint64(61)).astype(np.int64)
-                for f, c in enumerate(np.bincount(where, minlength=2 * _FRAGMENTS).tolist()):
-                    if c:
-                        pair.append(k)
-                        fragment.append(f)
-                        overlap.append(c)
-            at = pa.array(np.array(pair, np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(4)), pa.array(fragment, pa.int32()), pa.array(overlap, pa.int64())], ["a", "b", "na", "nb", "fragment", "overlap"])
-
-    partial = both.select("a", "b", "na", "nb", "text_a", "text_b").mapInArrow(overlaps, "a long, b long, na long, nb long, fragment int, overlap long")
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    return summed.where(F.col("overlap") * den >= (F.col("na") + F.col("nb") - F.col("overlap")) * num).select("a", "b")
+                overlap = len(np.intersect1d(one, _set_of(batch.column(5)[k].as_py(), n), assume_unique=True))
+                if overlap * den >= (int(na[k]) + int(nb[k]) - overlap) * num:
+                    links.append(k)
+            at = pa.array(np.array(links, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    return both.select("a", "b", "na", "nb", "text_a", "text_b").mapInArrow(linked, "a long, b long")
 
 
 def _set_of(text: bytes, n: int) -> np.ndarray:
