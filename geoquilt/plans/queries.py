@@ -250,7 +250,7 @@ def _theta_grid_sql() -> str:
 
 
 def _fitted(spark, sf_dir) -> engine.FitResult:
-    config = engine.GPConfig(MATERN, (1.0, 0.1, 0.5), 10, upper=20.0, maxiter=60)
+    config = engine.GPConfig(MATERN, (1.0, 0.1, 0.5), 10, upper=20.0)
     return engine.fit(_sites(spark, sf_dir), config)
 
 

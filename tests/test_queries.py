@@ -31,3 +31,11 @@ def test_query_equals_sql(spark, duck, name):
 def test_registry(spark):
     assert set(ORACLES) <= set(QUERIES) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["loglik"]
+
+
+def test_the_tolerance_ends_the_fit(monkeypatch):
+    from geoquilt.plans import queries
+
+    monkeypatch.setattr(queries, "_sites", lambda spark, sf_dir: None)
+    monkeypatch.setattr(queries.engine, "fit", lambda sites, config: config)
+    assert queries._fitted(None, SF).maxiter == queries.engine.GPConfig.maxiter == 1000
