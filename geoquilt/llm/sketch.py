@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import discard, written
 from .textscan import mix
 
 _SLICE = 20
@@ -128,15 +129,18 @@ def merged(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "slice": [int(pdf["slice"].iloc[0])], "once": [zlib.compress(once, 1)], "again": [zlib.compress(again, 1)]})
 
     schema = "part int, slice int, once binary, again binary"
-    slices = df.mapInArrow(build, schema)
-    left = df.rdd.getNumPartitions()
-    while left > 1:
+    built = written(df.mapInArrow(build, schema), "slices")
+    left = (built.agg(F.max("part")).first()[0] or 0) + 1
+    slices = built
+    while left > _FAN_IN:
         slices = slices.withColumn("part", F.floor(F.col("part") / _FAN_IN).cast("int")).groupBy("slice", "part").applyInPandas(merge, schema)
         left = -(-left // _FAN_IN)
+    slices = slices.groupBy("slice").applyInPandas(merge, schema)  # one row a slice, however the parts were numbered
     width = min(_SLICE, bits)
     maps = [np.zeros(max(1, 1 << (bits - 3)), np.uint8) for _ in range(rows)]
     size = 1 << (width - 3)
     for x in slices.select("slice", F.col("again" if least == 2 else "once").alias("held")).toLocalIterator():
         key = x["slice"] & 4095
         maps[x["slice"] >> 12][key * size : (key + 1) * size] = np.frombuffer(zlib.decompress(x["held"]), np.uint8)
+    discard(built)
     return Bitmaps(bits, maps)
