@@ -1,9 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexicon (learned from labels: words and word beginnings that toxic documents hold far more often) turns a clause into
-symbols: insult, threat, target, negation, reported speech, other. Three transducers are composed over them: negation
-weakens what follows closely, reported speech what it introduces, a near target strengthens. A threat counts only with
-a near target, on either side: one before its target waits for it. The composed machine reads each clause once; a clause scores the lexicon's weights times the factors on its path, a document the sum of its clauses.
+A lexicon (learned from labels: words and word beginnings that toxic documents hold far more often) and fixed lists turn
+a clause into symbols: insult word, threat verb, target, negation, reported speech, other. Five transducers are composed
+over them. Insults: a phrase needs its clause, so an insult word that nothing stands beside matches nothing, and one right
+after another strengthens. Threats: a verb counts only with a near target, on either side. Targets strengthen a near
+insult, on either side. Negation weakens what follows closely, reported speech what it introduces; how far each of these
+contexts strengthens or weakens is learned from labelled clauses too. The composed machine reads each clause whole and once;
+a clause scores the weights on its path times the factors there and that of the state it ends in, a document the sum of
+its clauses.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .shared import runs, text_buffers, written
+from .shared import discard, runs, text_buffers, written
 
 # Small word lists of the grammar, in English, German, Spanish and French.
 THREATS = "kill hurt destroy beat stab shoot töten umbringen schlagen matar golpear tuer frapper"
@@ -25,66 +29,107 @@ TARGETS = "you your yours yourself u du dich dir dein deine ihr euch tú tu uste
 NEGATIONS = "not no never isn't aren't wasn't don't nicht kein keine nie nunca ni ne pas jamais"
 REPORTS = "said says wrote writes quoted called claims reported sagte schrieb dijo escribió dit écrit"
 
+#: What a context multiplies a weight with where labels don't tell otherwise.
+FACTORS = {"compound": 1.25, "target": 1.25, "negation": 0.4, "report": 0.6, "threat": 1.0}
+
 _NEAR = 3
 _THREAT = 5.0  # reaches the threshold of 0.3 at the prior of 5.0, which asks for 4.153; weakened it does not
+_TRUST = 20  # so many documents weigh as much as a default factor
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE_END = re.compile(r"[.!?;\n]")
-_CLAUSE_REACH = 1000
+_CLAUSE_ENDS = ".!?;\n"
+_INPUT = "ihTNRo"
 
 
 class Transducer:
-    """Arcs (state, symbol) -> (state, symbol, factor); without an arc a symbol passes unchanged and the state rests by `rest`."""
+    """Arcs (state, symbol) -> (state, symbol, factor); without an arc a symbol passes unchanged and the state rests by `rest`.
+    A path counts by the factor of the state it ends in (1 if not in `final`)."""
 
-    def __init__(self, states: int, arcs: dict[tuple[int, str], tuple[int, str, float]], rest):
-        self.states, self.arcs, self.rest = states, arcs, rest
+    def __init__(self, states: int, arcs: dict[tuple[int, str], tuple[int, str, float]], rest, final: dict[int, float] | None = None):
+        self.states, self.arcs, self.rest, self.final = states, arcs, rest, final or {}
 
     def step(self, state: int, symbol: str) -> tuple[int, str, float]:
         return self.arcs.get((state, symbol)) or (self.rest(state), symbol, 1.0)
 
 
 def compose(one: Transducer, two: Transducer, symbols: str) -> Transducer:
-    """The transducer that feeds one's output to two; factors multiply."""
-    arcs = {}
+    """The transducer that feeds one's output to two; factors multiply, on the way and at the end."""
+    arcs, final = {}, {}
     for a in range(one.states):
         for b in range(two.states):
+            final[a * two.states + b] = one.final.get(a, 1.0) * two.final.get(b, 1.0)
             for x in symbols:
                 a2, y, f = one.step(a, x)
                 b2, z, g = two.step(b, y)
                 arcs[a * two.states + b, x] = (a2 * two.states + b2, z, f * g)
-    return Transducer(one.states * two.states, arcs, lambda s: s)
+    return Transducer(one.states * two.states, arcs, lambda s: s, final)
 
 
-def grammar() -> Transducer:
-    """Symbols: I insult, H threat, T target, N negation, R reported speech, o other; out also h, a threat that waits for a
-    target, and t, the target that it waited for. The target machine's states: 0, 1 to _NEAR after a target, those beyond after
-    a threat without one."""
-    down = lambda s: max(0, s - 1)
-    negation = {(s, "N"): (_NEAR, "N", 1.0) for s in range(_NEAR + 1)} | {(s, x): (s - 1, x, 0.4) for s in range(1, _NEAR + 1) for x in "IH"}
-    report = {(s, "R"): (1, "R", 1.0) for s in (0, 1)} | {(1, x): (1, x, 0.6) for x in "IH"}
-    target = {(s, "T"): (_NEAR, "T", 1.0) for s in range(_NEAR + 1)}
-    target |= {(s, "I"): (down(s), "I", 1.25) for s in range(1, _NEAR + 1)}
-    target |= {(s, "H"): (down(s), "H", 1.0) for s in range(1, _NEAR + 1)}
+def insults(factor: float) -> Transducer:
+    """i becomes I, right after another C. States: 0 nothing read, 1 only insult words so far (which match nothing), 2 other words too, 3 an insult word just before."""
+    arcs = {(0, "i"): (1, "I", 1.0), (1, "i"): (1, "I", 1.0), (2, "i"): (3, "I", 1.0), (3, "i"): (3, "C", factor)}
+    return Transducer(4, arcs, lambda s: 2, {1: 0.0})
+
+
+def threats() -> Transducer:
+    """h becomes H if a target stood near before, else w, which waits; the target that it waited for becomes K. States: 0, 1 to _NEAR after a target, those beyond after a verb without one."""
+    down = lambda s: 0 if s == _NEAR + 1 else max(0, s - 1)
     waiting = range(_NEAR + 1, 2 * _NEAR + 1)
-    target |= {(s, "H"): (2 * _NEAR, "h", 1.0) for s in (0, *waiting)} | {(s, "T"): (_NEAR, "t", 1.0) for s in waiting}
-    rest = lambda s: 0 if s == _NEAR + 1 else down(s)
-    machines = [Transducer(_NEAR + 1, negation, down), Transducer(2, report, lambda s: s), Transducer(2 * _NEAR + 1, target, rest)]
-    return compose(compose(machines[0], machines[1], "IHTNRo"), machines[2], "IHTNRo")
+    arcs = {(s, "T"): (_NEAR, "T", 1.0) for s in range(_NEAR + 1)} | {(s, "T"): (_NEAR, "K", 1.0) for s in waiting}
+    arcs |= {(s, "h"): (down(s), "H", 1.0) for s in range(1, _NEAR + 1)} | {(s, "h"): (2 * _NEAR, "w", 1.0) for s in (0, *waiting)}
+    return Transducer(2 * _NEAR + 1, arcs, down)
+
+
+def targets(factor: float) -> Transducer:
+    """An insult soon after a target gets the factor; a target soon after an insult that had none becomes B, which adds what is missing. States: words left for either."""
+    at = lambda t, w: t * (_NEAR + 1) + w
+    down = lambda s: at(max(0, s // (_NEAR + 1) - 1), max(0, s % (_NEAR + 1) - 1))
+    arcs = {}
+    for t in range(_NEAR + 1):
+        for w in range(_NEAR + 1):
+            arcs[at(t, w), "T"] = (at(_NEAR, 0), "B" if w else "T", 1.0)
+            arcs[at(t, w), "K"] = (at(_NEAR, 0), "K", 1.0)
+            for x in "IC":
+                arcs[at(t, w), x] = (at(t - 1, 0), x, factor) if t else (at(0, _NEAR), x, 1.0)
+    return Transducer((_NEAR + 1) ** 2, arcs, down)
+
+
+def negations(factor: float) -> Transducer:
+    down = lambda s: max(0, s - 1)
+    arcs = {(s, "N"): (_NEAR, "N", 1.0) for s in range(_NEAR + 1)} | {(s, x): (s - 1, x, factor) for s in range(1, _NEAR + 1) for x in "ICHw"}
+    return Transducer(_NEAR + 1, arcs, down)
+
+
+def reports(factor: float) -> Transducer:
+    return Transducer(2, {(s, "R"): (1, "R", 1.0) for s in (0, 1)} | {(1, x): (1, x, factor) for x in "ICHw"}, lambda s: s)
+
+
+def machines(factors: dict[str, float]) -> list[Transducer]:
+    return [insults(factors["compound"]), threats(), targets(factors["target"]), negations(factors["negation"]), reports(factors["report"])]
+
+
+def grammar(factors: dict[str, float], without: int | None = None) -> Transducer:
+    """All machines composed in their order; `without` leaves one of them out."""
+    parts = [m for k, m in enumerate(machines(factors)) if k != without]
+    out = parts[0]
+    for m in parts[1:]:
+        out = compose(out, m, _INPUT)
+    return out
 
 
 class Scorer:
     """A learned lexicon with the grammar. lexicon: word (ends with '$') or word beginning -> weight."""
 
-    def __init__(self, lexicon: dict[str, float], prior: float = 5.0):
-        self.lexicon, self.prior, self.machine = lexicon, prior, grammar()
+    def __init__(self, lexicon: dict[str, float], factors: dict[str, float] | None = None, prior: float = 5.0, without: int | None = None):
+        self.lexicon, self.prior, self.factors = lexicon, prior, FACTORS | (factors or {})
+        self.machine = grammar(self.factors, without)
         self.lengths = sorted({len(x.rstrip("$")) for x in lexicon})
-        self.fixed = {w: s for s, words in (("H", THREATS), ("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words.split()}
+        self.fixed = {w: s for s, words in (("h", THREATS), ("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words.split()}
         stems = [_FOLDED.of(_code_points(x.rstrip("$"))) for x in [*lexicon, *THREATS.split()]]
         self.short = [x for x in stems if len(x) < 4]
         self.four = np.zeros(1 << 16, bool)
         for x in stems:
             if len(x) >= 4:
                 self.four[_four_hash(x[None, :4])[0]] = True
-        self.weights: dict[int, float] = {}
 
     def weight(self, word: str) -> float:
         best = self.lexicon.get(word + "$", 0.0)
@@ -94,39 +139,50 @@ class Scorer:
             best = max(best, self.lexicon.get(word[:n], 0.0))
         return best
 
-    def clause(self, text: str) -> float:
-        """The clause's weight along the composed machine's only path; of threats that wait the last meets the target."""
-        state, total, waiting = 0, 0.0, 0.0
+    def symbols(self, text: str) -> list[tuple[str, float]]:
+        """A clause's input symbols, with the weight of insult words."""
+        out = []
         for m in _WORD.finditer(text.lower()):
             word = m[0]
             parts = [word] if word in self.fixed else word.split("'")
             weight = max(map(self.weight, parts))
-            symbol = "I" if weight > 0 else next((self.fixed[x] for x in parts if x in self.fixed), "o")
+            out.append(("i" if weight > 0 else next((self.fixed[x] for x in parts if x in self.fixed), "o"), weight))
+        return out
+
+    def clause(self, text: str) -> float:
+        """The clause's weight along the composed machine's only path; of threats that wait the last meets the target."""
+        state, total, verb, insult, threat = 0, 0.0, 0.0, 0.0, _THREAT * self.factors["threat"]
+        for symbol, weight in self.symbols(text):
             state, out, factor = self.machine.step(state, symbol)
-            if out == "I":
-                total += weight * factor
+            if out in "IC":
+                insult = weight * factor
+                total += insult
             elif out == "H":
-                total += _THREAT * factor
-            elif out == "h":
-                waiting = _THREAT * factor
-            elif out == "t":
-                total += waiting
-        return total
-
-    def evidence(self, text: str, hits: list[int]) -> float:
-        """The sum over the clauses around hits (character places). A clause ends at . ! ? ; or a line's end; text
-        without such ends is read in stretches of _CLAUSE_REACH characters beyond each hit."""
-        total, done = 0.0, -1
-        for h in hits:
-            if h < done:
-                continue
-            low = max(done, 0, h - _CLAUSE_REACH)
-            ends = [m.end() for m in _CLAUSE_END.finditer(text, low, h)]
-            low = ends[-1] if ends else low
-            m = _CLAUSE_END.search(text, h, h + _CLAUSE_REACH)
-            done = m.end() if m else min(len(text), h + _CLAUSE_REACH)
-            total += self.clause(text[low:done])
-        return total
+                total += threat * factor
+            elif out == "w":
+                verb = threat * factor
+            elif out == "K":
+                total += verb
+            elif out == "B":
+                total += insult * (self.factors["target"] - 1)
+        return total * self.machine.final.get(state, 1.0)
+
+    def contexts(self, text: str) -> set[str]:
+        """In which contexts (of FACTORS, or plain) the clause's insults stand, and whether it has a threat."""
+        found: set[str] = set()
+        parts = machines(dict.fromkeys(FACTORS, 0.5))
+        states = [0] * len(parts)
+        for symbol, _ in self.symbols(text):
+            mine = []
+            for k, (m, name) in enumerate(zip(parts, ("compound", "", "target", "negation", "report"))):
+                states[k], symbol, factor = m.step(states[k], symbol)
+                if factor != 1 and symbol in "IC":
+                    mine.append(name)
+            if symbol in "IC":
+                found.update(mine or ["plain"])
+            elif symbol in "HK":
+                found.add("threat")
+        return found if parts[0].final.get(states[0], 1.0) else set()
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(min(60.0, self.prior - min(evidence, 60.0))))
@@ -196,20 +252,32 @@ def word_starts(data: np.ndarray, offsets: np.ndarray, scorer: Scorer) -> tuple[
     return text, at, hits
 
 
+def clauses(data: np.ndarray, offsets: np.ndarray, scorer: Scorer):
+    """(number of the text, clause) for each clause that has a place to read, whole however long; it ends at . ! ? ; or a line's end."""
+    text, at, hits = word_starts(data, offsets, scorer)
+    bounds = np.union1d(np.flatnonzero(np.isin(_code_points(text), _code_points(_CLAUSE_ENDS))) + 1, at)
+    found = np.unique(np.searchsorted(bounds, hits, side="right") - 1)
+    doc = np.searchsorted(at, bounds[found], side="right") - 1
+    for k, low, high in zip(doc.tolist(), bounds[found].tolist(), bounds[np.minimum(found + 1, len(bounds) - 1)].tolist()):
+        yield k, text[low:high]
+
+
 def evidences(data: np.ndarray, offsets: np.ndarray, scorer: Scorer) -> dict[int, float]:
     """The evidence of each text (by its number) that has a place to read."""
-    text, at, hits = word_starts(data, offsets, scorer)
-    doc = np.searchsorted(at, hits, side="right") - 1
-    return {k: scorer.evidence(text[at[k] : at[k + 1]], (hits[doc == k] - at[k]).tolist()) for k in np.unique(doc).tolist()}
+    total: dict[int, float] = {}
+    for k, clause in clauses(data, offsets, scorer):
+        total[k] = total.get(k, 0.0) + scorer.clause(clause)
+    return total
 
 
-def learned(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, most: int = 1500) -> dict[str, float]:
-    """The lexicon, from a bounded sample: `most` documents of label 1 and twice as many of label 0, by smallest hashes
-    of doc_id, outside the held-out fold.
+def learned(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, most: int = 1500) -> tuple[dict[str, float], dict[str, float]]:
+    """The lexicon and the contexts' factors, from a bounded sample: `most` documents of label 1 and twice as many of
+    label 0, by smallest hashes of doc_id, outside the held-out fold.
 
     Near copies are told by the smallest hash of their three-word windows and count once. A word or word beginning (4
     to 8 characters) is taken if its share of toxic documents could come by chance less than once in all candidates
-    (Chernoff's bound), the longest of those that hold as many toxic documents.
+    (Chernoff's bound), the longest of those that hold as many toxic documents. A context's factor is how much more often
+    documents with an insult in it (with a threat) are toxic than those with a plain insult, drawn to its default by _TRUST documents.
     """
     train = labels.selectExpr("cast(doc_id as long) as doc_id", "cast(toxic as int) as toxic").where("doc_id is not null and toxic in (0, 1)")
     train = train.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held_fold).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -217,9 +285,9 @@ def learned(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int =
     for toxic, n in ((1, most), (0, 2 * most)):
         ids += [(x["doc_id"], toxic) for x in train.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
     if not ids:
-        return {}
+        return {}, {}
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")  # 3 * most rows at most
-    some = docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    some = written(docs.selectExpr("cast(doc_id as long) as doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "sample")
 
     def features(batches):
         for batch in batches:
@@ -249,19 +317,44 @@ def learned(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int =
                     rows = ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64())], ["feature", "toxic", "family"])
 
-    counted = some.select("doc_id", "text", "toxic").mapInArrow(features, "feature string, toxic int, family long")
+    counted = some.mapInArrow(features, "feature string, toxic int, family long")
     counted = counted.groupBy("feature", "family").agg(F.max("toxic").alias("toxic")).groupBy("feature").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     counted = written(counted, "features")
     total = counted.where("feature = ''").first()
     if not total or not total["a"] or total["a"] == total["n"]:
-        return {}
+        return {}, {}
     prior = total["a"] / total["n"]
     candidates = counted.where("feature <> ''").count()
     need = math.log(max(1, candidates)) + 2
     share = F.col("a") / F.col("n")
     gain = F.col("n") * (share * F.log(share / prior) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - prior))).otherwise(0.0))
     rows = counted.where("feature <> '' and a >= 3").where(share > prior).where(gain > need).select("feature", "a", "n").collect()
-    return chosen_features([(x["feature"], x["a"], x["n"]) for x in rows], total["a"], total["n"])
+    lexicon = chosen_features([(x["feature"], x["a"], x["n"]) for x in rows], total["a"], total["n"])
+
+    def contexts(batches):
+        scorer = Scorer(lexicon)
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            found: dict[int, set[str]] = {}
+            for i, j in runs(offsets, 1 << 19):
+                for k, clause in clauses(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scorer):
+                    found.setdefault(i + k, set()).update(scorer.contexts(clause))
+            rows = [(k, name) for k, names in found.items() for name in sorted(names)]
+            yield pa.RecordBatch.from_arrays([pa.array([name for _, name in rows], pa.string()), batch.column(2).take(pa.array([k for k, _ in rows], pa.int64()))], ["context", "toxic"])
+
+    seen = some.mapInArrow(contexts, "context string, toxic int").groupBy("context").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).collect()
+    discard(some)
+    discard(counted)
+    return lexicon, learned_factors({x["context"]: (x["a"], x["n"]) for x in seen})
+
+
+def learned_factors(seen: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """From toxic and all documents by context, at most 2."""
+    a, n = seen.get("plain", (0, 0))
+    if not a:
+        return {}
+    ratio = lambda c: min(2.0, (seen[c][0] / seen[c][1]) / (a / n))
+    return {c: (_TRUST * f + seen[c][1] * ratio(c)) / (_TRUST + seen[c][1]) for c, f in FACTORS.items() if c in seen}
 
 
 def hash_of(text: str) -> int:
@@ -294,12 +387,11 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int =
     doc_id is never held out. If nothing could be learned only the fixed threats count. Repeated rows are returned
     each; other columns are not read.
     """
-    lexicon = learned(docs, labels, folds, held_fold, most)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(False))
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, folds, held_fold, most))
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        scorer = Scorer(*shared.value)
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
             score = np.full(batch.num_rows, scorer.score(0.0))
@@ -319,7 +411,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: i
     at = docs.columns.index("text")
 
     def run(batches):
-        scorer = Scorer(shared.value)
+        scorer = Scorer(*shared.value)
         for batch in batches:
             data, offsets = text_buffers(batch.column(at))
             keep = np.ones(batch.num_rows, bool)

@@ -6,17 +6,66 @@ import numpy as np
 from geoquilt.llm import toxicity
 
 
+def evidence(texts, scorer):
+    raw = [x.encode() if isinstance(x, str) else x for x in texts]
+    found = toxicity.evidences(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), scorer)
+    return [found.get(k, 0.0) for k in range(len(texts))]
+
+
 def test_grammar():
     s = toxicity.Scorer({"idiot$": 6.0, "vequ": 6.0})
     plain = s.clause("what an idiot that is")
     assert plain == 6.0 and s.clause("idiots are here") == 0.0 and s.clause("Vequelque chose") == 6.0
-    assert s.clause("he is not an idiot") < plain < s.clause("you are an idiot")
-    assert s.clause("she said he is an idiot") < plain
+    assert s.clause("he is not an idiot") < plain < s.clause("you are an idiot") == s.clause("an idiot like you")
+    assert s.clause("she said he is an idiot") < plain < s.clause("this vequ idiot")
     assert s.clause("she said he is not an idiot") < s.clause("he is not an idiot")
     assert s.clause("I will kill it") == 0 < s.clause("you I will kill")
+    assert s.clause("idiot") == s.clause("Idiot 77, idiot") == 0 < s.clause("idiot man")  # a word beside which nothing stands is no clause
     assert s.score(0) < 0.05 and s.score(6) > 0.7
-    text = "x" * 50 + ". " + "ok then. an Idiot here! fine. Vequ"
-    assert s.evidence(text, [text.index("Idiot"), text.index("Vequ")]) == 12.0
+    assert evidence(["x" * 50 + ". " + "ok then. an Idiot here! fine. Vequ not"], s) == [12.0]
+    far = "she said " + "that and this, " * 400 + "he is an idiot"
+    assert evidence([far, far[9:]], s) == [6.0 * s.factors["report"], 6.0]
+
+
+def paths(machines, symbols):
+    """Every path of the cascade, enumerated machine by machine: outputs, product of factors at each step, final factor."""
+    row, factors, final = list(symbols), [1.0] * len(symbols), 1.0
+    for m in machines:
+        state = 0
+        for k, x in enumerate(row):
+            state, row[k], f = m.step(state, x)
+            factors[k] *= f
+        final *= m.final.get(state, 1.0)
+    return row, factors, final
+
+
+def test_composition_equals_the_cascade():
+    factors = {"compound": 1.5, "target": 1.25, "negation": 0.4, "report": 0.6}
+    machine, parts, r = toxicity.grammar(factors), toxicity.machines(factors), random.Random(5)
+    for _ in range(3000):
+        symbols = r.choices("ihTNRo", k=r.randint(0, 9))
+        state, out, got = 0, [], []
+        for x in symbols:
+            state, y, f = machine.step(state, x)
+            out.append(y)
+            got.append(f)
+        row, want, final = paths(parts, symbols)
+        assert out == row and np.allclose(got, want) and np.isclose(machine.final.get(state, 1.0), final)
+
+
+def test_each_transducer_tells():
+    lexicon = {"idiot$": 6.0, "scum$": 5.0}
+    whole = toxicity.Scorer(lexicon)
+    for k, text in enumerate(["what an idiot", "I will kill you", "you are scum", "he is not an idiot", "she said he is an idiot"]):
+        assert whole.clause(text) != toxicity.Scorer(lexicon, without=k).clause(text), text
+    assert whole.contexts("you stupid scum") == {"target"} and whole.contexts("scum") == set()
+    assert whole.contexts("she said he is not an idiot") == {"negation", "report"} and whole.contexts("an idiot") == {"plain"} and whole.contexts("kill you") == {"threat"}
+
+
+def test_learned_factors():
+    f = toxicity.learned_factors({"plain": (100, 100), "negation": (0, 80), "target": (60, 60), "report": (5, 10)})
+    assert set(f) == {"negation", "target", "report"} and f["negation"] < 0.1 and 1.0 < f["target"] < 1.25 and 0.5 < f["report"] < 0.6
+    assert toxicity.learned_factors({}) == {}
 
 
 def test_learns_and_scores(spark):
@@ -48,18 +97,12 @@ def test_learns_and_scores(spark):
     assert all(x.predicted == 0 for x in toxicity.scored(docs, frame.limit(0)).collect())
 
 
-def evidence(texts, scorer):
-    raw = [x.encode() if isinstance(x, str) else x for x in texts]
-    found = toxicity.evidences(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), scorer)
-    return [found.get(k, 0.0) for k in range(len(texts))]
-
-
 def test_prefilter_misses_no_clause():
     s = toxicity.Scorer({"idiot": 6.0, "scum$": 5.0, "ass$": 4.0, "élan$": 3.0, "дура": 7.0, "λόγος$": 6.0, "œuvre$": 5.0})
     marks = ["¡", "¿", "«", "“", "”", "—", "’", "‘", "…", "\u00a0", "\u2009", "、", "🙂", "\u0301", "²", "٣", "_", "7", "'", "l'", "qu’", ""]
     for m in ("¡", "¿", "«", "“", "—", "\u00a0", "’", "l'", "İ"):
         assert evidence([f"ça va {m}Idiot!"], s) == [6.0], m
-    assert evidence(["éidiot", "l'ami", b"\xff idiot", "", "an\xa0ÉLAN"], s) == [0.0, 0.0, 6.0, 0.0, 3.0]
+    assert evidence(["éidiot", "l'ami", b"\xff x idiot", "", "an\xa0ÉLAN"], s) == [0.0, 0.0, 6.0, 0.0, 3.0]
     words = ["idiot", "IDIOTS", "Scum", "scums", "ass", "ÉLAN", "ДУРАК", "ΛΌΓΟΣ", "ŒUVRE", "you", "NOT", "said", "kein", "İdiot", "été", "x", "kill"]
     r = random.Random(3)
     texts = ["".join(r.choice(marks) + r.choice(words) + r.choice([" ", "", r.choice(marks), ". ", "! ", "\n"]) for _ in range(r.randint(0, 12))) for _ in range(2000)]
