@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import runs, text_buffers
@@ -148,34 +148,31 @@ def pooled(model: ByteGRU, data: np.ndarray, offsets: np.ndarray, window: int =
     return sums / np.maximum(size, 1)[:, None]
 
 
-def learned(docs: DataFrame, per_label: int = 400, most_labels: int = 64, window: int = 64, windows: int = 4, units: int = 8, steps: int = 400) -> tuple[ByteGRU | None, list[str]]:
-    """A network and its labels from docs (doc_id, text, lang).
+def learned(docs: DataFrame, per_label: int = 400, window: int = 64, windows: int = 4, units: int = 8, steps: int = 400) -> tuple[ByteGRU | None, list[str]]:
+    """A network and its labels, all that docs (doc_id, text, lang) has, as each is an output of the network.
 
-    The training sample is bounded: of the most_labels most frequent labels, per_label documents each (smallest hashes
-    of doc_id), `windows` stretches of `window` characters of each at hashed places.
+    The training sample is bounded: per_label documents of each label, by smallest hashes of doc_id and text (repeated
+    rows count once), each read whole as stretches of `window` characters. Of a label's stretches those of the smallest
+    hashes are taken, one of each document first, per_label * windows in all.
     """
-    some = docs.where("lang is not null and text is not null and length(text) > 0")
-    counts = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()
+    hashed = F.xxhash64(F.coalesce("doc_id", F.lit(0)), "text")
+    some = docs.where("lang is not null and text is not null and length(text) > 0").select("lang", "text", hashed.alias("h"), F.pmod(hashed, F.lit(1 << 30)).alias("draw"))
+    counts = some.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("draw").alias("least")).collect()
     if not counts:
         return None, []
     names = sorted(x["lang"] for x in counts)
-    share = F.element_at(F.create_map(*[F.lit(v) for x in counts for v in (x["lang"], min(1.0, 1.5 * per_label / x["count"] + 20 / x["count"]))]), F.col("lang"))
-    h = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1 << 30))
-    room = F.greatest(F.lit(1), F.length("text") - window + 1)
-    parts = [F.substring(F.col("text"), (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(k)), room) + 1).cast("int"), F.lit(window)).alias(f"w{k}") for k in range(windows)]
-    rows = some.where(F.col("lang").isin(names)).where(h < share * (1 << 30)).select("lang", h.alias("h"), *parts).collect()
-    rows.sort(key=lambda x: (x["h"], x["lang"], x["w0"]))
-    texts, labels, seen = [], [], dict.fromkeys(names, 0)
-    for x in rows:
-        if seen[x["lang"]] < per_label:
-            seen[x["lang"]] += 1
-            for k in range(windows):
-                texts.append(x[f"w{k}"].encode())
-                labels.append(names.index(x["lang"]))
-    if not texts:
-        return None, []
+    limit = F.element_at(F.create_map(*[F.lit(v) for x in counts for v in (x["lang"], max(x["least"], int(min(1.0, (1.5 * per_label + 20) / x["n"]) * (1 << 30))))]), F.col("lang"))
+    rows = some.where(F.col("draw") <= limit).groupBy("lang", "h", "draw").agg(F.first("text").alias("text"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "h"))).where(F.col("nth") <= per_label)  # about 1.5 * per_label rows of a label
+    parts = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / window).cast("int"))))
+    parts = parts.select("lang", "h", F.expr(f"substring(text, at * {window} + 1, {window})").alias("part"), F.xxhash64("h", "at").alias("place"))
+    parts = parts.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "h").orderBy("place")))
+    order = Window.partitionBy("lang").orderBy(F.when(F.col("nth") == 1, 0).otherwise(1), "place", "part")
+    parts = parts.withColumn("taken", F.row_number().over(order)).where(F.col("taken") <= per_label * windows)
+    rows = sorted((x["lang"], x["taken"], x["part"]) for x in parts.select("lang", "taken", "part").collect())
     model = ByteGRU(len(names), units)
-    model.train(texts, np.array(labels), steps)
+    number = {name: i for i, name in enumerate(names)}
+    model.train([x[2].encode() for x in rows], np.array([number[x[0]] for x in rows]), steps)
     return model, names
 
 

@@ -34,3 +34,47 @@ def test_identifies_held_out_texts(spark):
     assert {(x.lang_pred, x.score) for x in got if x.doc_id in (1000, 1001, 1002)} == {("und", 0.0)}
     assert all(0 <= x.score <= 1 for x in got)
     assert langid.identified(docs.limit(0)).count() == 0
+
+
+def test_every_label_can_be_predicted(spark):
+    r = random.Random(9)
+    letters = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopq"]
+    rows = [(i * 5 + 1, f"{letters[i % 70]} " * r.randint(4, 40), f"l{i % 70}") for i in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, names = langid.learned(docs, steps=1)
+    assert model.labels == 70 and names == sorted({f"l{k}" for k in range(70)})
+
+
+def test_sample_is_bounded_and_of_whole_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid.ByteGRU, "train", lambda self, windows, labels, steps: seen.update(windows=windows, labels=labels))
+    rows = [(1, "x" * 64 + "y" * 64 + "z" * 10, "a")] * 500 + [(i, "w", "b") for i in range(2000)] + [(None, "v", "b")] * 50
+    langid.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_label=20, windows=2)
+    a = [w for w, k in zip(seen["windows"], seen["labels"]) if k == 0]
+    assert sorted(a) == [b"x" * 64, b"y" * 64, b"z" * 10] and sum(seen["labels"] == 1) <= 20
+
+
+def test_pooled_equals_every_position_alone():
+    model = langid.ByteGRU(3, 4, seed=2)
+    r = np.random.Generator(np.random.PCG64(3))
+    texts = [bytes(r.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 5, 192, 193, 700, 64)]
+    got = langid.pooled(model, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(d, w):
+        h, out, n = np.zeros(4), [], 4
+        for c in w if d == "f" else w[::-1]:
+            g, s = model.p[d + "x"][:, c], model.p[d + "u"] @ h
+            z, q = sigmoid(g[:n] + s[:n]), sigmoid(g[n : 2 * n] + s[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(g[2 * n :] + q * s[2 * n :])
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    for text, mine in zip(texts, got):
+        sums = np.zeros(3)
+        for k in range(0, len(text), 192):
+            w = text[k : k + 192]
+            for f, b in zip(states("f", w), states("b", w)):
+                a = np.exp(model.p["out"] @ np.concatenate([f, b]) + model.p["bias"][:, 0])
+                sums += a / a.sum()
+        assert np.allclose(mine, sums / max(1, len(text)), atol=1e-5)
