@@ -34,14 +34,19 @@ def matrix(column, kind=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def unit_of(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; first scaled by a power of two, which is exact, so that no square overflows or vanishes."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _rotation(vectors: DataFrame, dims: int, blocks: int) -> list[np.ndarray]:
     """Principal axes of all unit vectors, dealt to blocks in turn and back again, widest first: per block a (dims, d) matrix."""
 
     def moments(batches):
         total = np.zeros((dims, dims))
         for batch in batches:
-            x = matrix(batch.column(0))
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit_of(matrix(batch.column(0)))
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims * dims)), pa.array(total.ravel())], ["at", "value"])
 
@@ -58,25 +63,33 @@ def _rotation(vectors: DataFrame, dims: int, blocks: int) -> list[np.ndarray]:
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, blocks: int = 4, tile: int = 16384, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of embeddings.
 
-    Links join vectors of cosine >= `cosine` in double precision. Equal vectors are one class from the start and link
-    with each other. Vectors that are null, all zero, of another length than the most common, or hold null or
-    non-finite numbers link with nothing, as do null ids, whose component is null and which are not kept. Rows that
+    Links join vectors of one length and cosine >= `cosine` in double precision. Equal vectors are one class from the
+    start and link with each other. Vectors that are null, all zero or hold null or non-finite numbers link with nothing,
+    as do null ids, whose component is null and which are not kept. Each length there is gets a join of its own. Rows that
     repeat both id and vector count once as another's link. Other columns are not read. Memory of a task is bounded by
     two chunks of `tile` vectors.
     """
-    spark = embeddings.sparkSession
     kind = "float" if embeddings.schema[vector].dataType.simpleString() == "array<float>" else "double"  # what travels
     rows = embeddings.select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("vector"))
     good = usable(F.col("vec_id"), F.col("vector")) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("good", good)
-    lengths = rows.where("good").groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dims = lengths[0]["n"] if lengths else 0
-    rows = rows.withColumn("good", F.col("good") & (F.size("vector") == dims))
     ids = rows.where("good").select("vec_id", "vector").distinct()
     classes = written(ids.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
-    blocks = max(1, min(blocks, dims))
-    if not dims:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    lengths = sorted(x["dims"] for x in classes.select(F.size("vector").alias("dims")).distinct().collect())
+    out = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    for dims in lengths:
+        found = _of_length(classes.where(F.size("vector") == dims), dims, kind, cosine, max(1, min(blocks, dims)), tile)
+        sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
+        labels = components(found.where("rep <> root"), "rep", "root").withColumnRenamed("node", "rep")
+        whole = classes.where(F.size("vector") == dims).join(sums, "rep", "left").join(labels, "rep", "left")
+        whole = whole.select("vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        linked = rows.where("good").where(F.size("vector") == dims).join(whole, "vector")
+        out = out.union(linked.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")))
+    return out
+
+
+def _of_length(classes: DataFrame, dims: int, kind: str, cosine: float, blocks: int, tile: int) -> DataFrame:
+    """(rep, links, root) of distinct vectors (vector, rep, n) of one length, summed by tile: links to other vectors, and a forest."""
     axes = _rotation(classes, dims, blocks)
     far = 2 - 2 * cosine
     budgets = [far * a.shape[1] / dims for a in axes]
@@ -85,9 +98,6 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, blocks: int = 4,
     def strips_of(unit: np.ndarray) -> list[np.ndarray]:
         return [np.floor((unit @ a[:, :1])[:, 0] / w).astype(np.int64) for a, w in zip(axes, widths)]
 
-    def unit_of(x: np.ndarray) -> np.ndarray:
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
     def count_strips(batches):
         for batch in batches:
             for b, s in enumerate(strips_of(unit_of(matrix(batch.column(0))))):
@@ -133,6 +143,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, blocks: int = 4,
         side, rep, n = side[order], rep[order], n[order]
         alone = (s1, c1) == (s2, c2)
         cut = len(side) if alone else int(np.searchsorted(side, 1))
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
         parts = [unit_of(x) @ a for a in axes]
         mine = parts[block].astype(np.float32)
         square = (mine.astype(np.float64) ** 2).sum(1)
@@ -177,10 +188,4 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, blocks: int = 4,
                 return
 
     tiles = classes.select("vector", "rep", "n").mapInArrow(deal, f"tile string, side int, rep long, n long, vector array<{kind}>")
-    found = written(tiles.groupBy("tile").applyInArrow(join, "rep long, links long, root long"), "links")
-    sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    labels = components(found.where("rep <> root"), "rep", "root").withColumnRenamed("node", "rep")
-    whole = classes.join(sums, "rep", "left").join(labels, "rep", "left").select("vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.where("good").join(whole, "vector").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    rest = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    return linked.union(rest)
+    return written(tiles.groupBy("tile").applyInArrow(join, "rep long, links long, root long"), "links")

@@ -59,24 +59,24 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
 
     Components become floor(scale * x). Queries are the rows whose id `every` divides, candidates all rows of another
     id; with fewer than k all are returned. Shards of candidates meet blocks of queries, each pair a task of bounded
-    size; a shard sends k rows for each query. Null ids and vectors that are null or hold null or non-finite numbers
-    take no part, nor do vectors of another length than the most common; rows that repeat id and vector count once.
-    Products must fit in 64 bits. Other columns are not read.
+    size; a shard sends k rows for each query. Vectors of each length are searched among themselves. Null ids and vectors
+    that are null or hold null or non-finite numbers take no part; rows that repeat id and vector count once. Scores that
+    might not fit in 64 bits raise ValueError. Other columns are not read.
     """
     rows = embeddings.select(F.col(id_).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.where(usable(F.col("vec_id"), F.col("v"))).select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v")).distinct()
-    lengths = rows.groupBy(F.size("v").alias("n"), (F.col("vec_id") % every == 0).alias("query")).count().collect()
-    sizes: dict[int, int] = {}
-    for x in lengths:
-        sizes[x["n"]] = sizes.get(x["n"], 0) + x["count"]
-    dims = max(sizes, key=lambda n: (sizes[n], -n), default=0)
-    rows = rows.where(F.size("v") == dims)
-    asked = sum(x["count"] for x in lengths if x["n"] == dims and x["query"])
-    shards, blocks = max(1, -(-sizes.get(dims, 0) // shard)), max(1, -(-asked // query_block))
+    rows = rows.withColumn("n", F.size("v"))
+    many = rows.groupBy("n").agg(F.count("*").alias("all"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("asked"), F.max(F.array_max(F.transform("v", F.abs))).alias("top")).collect()  # a row for each length
+    if any(x["n"] * float(x["top"] or 0) ** 2 >= 2.0**63 for x in many):
+        raise ValueError("scores don't fit in 64 bits")
+    parts = lambda what, least: F.element_at(F.create_map(*[F.lit(v) for x in many for v in (x["n"], max(1, -(-x[what] // least)))]), F.col("n"))
     h = F.xxhash64("vec_id")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), each(blocks).alias("block"), "vec_id", "v")
-    queries = rows.where(F.col("vec_id") % every == 0).select(each(shards).alias("shard"), F.pmod(h, F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
+    if not many:
+        many = [{"n": 0, "all": 0, "asked": 0}]
+    rows = rows.withColumn("shards", parts("all", shard)).withColumn("blocks", parts("asked", query_block))
+    each = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    data = rows.select("n", F.pmod(h, F.col("shards")).cast("int").alias("shard"), each("blocks").alias("block"), "vec_id", "v")
+    queries = rows.where(F.col("vec_id") % every == 0).select("n", each("shards").alias("shard"), F.pmod(h, F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -88,7 +88,7 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
         join = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3)]
         return pa.table(join, ["query_id", "vec_id", "score"])
 
-    found = data.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score long")
+    found = data.groupBy("n", "shard", "block").cogroup(queries.groupBy("n", "shard", "block")).applyInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pytest
 
 from geoquilt.llm import near_vectors, topk
 
@@ -51,8 +52,7 @@ def test_near_duplicates(spark):
 def test_top_k(spark):
     rows, dead = vectors(5)
     rows += [(5000 + 7 * i, [0.25] * 12) for i in range(15)]
-    df = frame(spark, rows + [d for d in dead if d[1] is None or len(d[1]) == 12] + rows[:3])
-    embeddings = df.toPandas()  # noqa: F841
+    df = frame(spark, rows + dead + rows[:3])
     got = sorted(map(tuple, topk.top_k(df, shard=50, query_block=2).collect()))
     x = np.floor(np.array([v for _, v in rows], np.float32).astype(np.float64) * 1024).astype(np.int64)
     ids = np.array([i for i, _ in rows])
@@ -65,6 +65,23 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_mixed_lengths_equals_sql(spark):
+    rows, dead = vectors(6, 120)
+    rows += dead + [(100 * i + 1000, [0.5 * i, -0.25, 1.0]) for i in range(4)] + [(200 * i, [0.5, float(i)]) for i in range(3)] + [(300, [])]
+    spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>").coalesce(1).createOrReplaceTempView("vectors_of_lengths")
+    embeddings = spark.table("vectors_of_lengths").toArrow()  # noqa: F841
+    got = sorted(map(tuple, topk.top_k(spark.table("vectors_of_lengths")).collect()))
+    assert got == sorted(duckdb.sql(topk.ORACLE).fetchall()) and {x[0] for x in got} >= {1000, 400}
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e9, 0.0]), (1, [1e9, 1.0])], "vec_id long, embedding array<double>"))
+
+
+def test_near_vectors_of_mixed_lengths_and_scales(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.9, 0.1, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [1.0, 0.01]), (6, [1e200, 0.0]), (7, [1e-200, 1e-203]), (8, [0.0, 5e-324])]
+    got = {tuple(x) for x in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(1, 1, 1, True), (2, 1, 1, False), (3, 3, 3, True), (5, 3, 3, False), (6, 3, 3, False), (7, 3, 3, False), (4, 1, 4, True), (8, 1, 4, False)}
+
+
 def test_threshold_stops_early():
     r = np.random.Generator(np.random.PCG64(1))
     x = r.integers(0, 50, (5000, 3))
