@@ -70,7 +70,7 @@ def mixed(docs: DataFrame, share_percent: int = 150, most_epochs: int = 2, weigh
     rows = sized.join(placed, ["sk", "range"])
     ends_here = (F.col("before") < F.col("left")) & (F.col("before") + F.col("words") > F.col("left"))
     clear = rows.where(~ends_here).withColumn("extra", F.when(F.col("before") < F.col("left"), F.col("size")).otherwise(F.lit(0)))
-    inside = Window.partitionBy("sk", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sk", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     room = F.col("left") - F.col("before") - F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("room")))
     if whole:
@@ -85,12 +85,14 @@ def drawn(docs: DataFrame, **options) -> DataFrame:
 
     A row is told by its hash over doc_id, source and text, so repeated rows are drawn alike.
     """
+    columns = docs.columns
+    inner = [c if c in ("doc_id", "source", "text") else f"c{i}" for i, c in enumerate(columns)]  # no column of docs meets one of ours
     name = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
-    marked = docs.withColumn("__row", name)
-    times = mixed(docs, whole=True, mark=name, **options).where("taken > 0").select(F.col("mark").alias("__row"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    times = times.groupBy("__row").agg(F.max("__times").alias("__times"))
-    out = marked.join(times, "__row")
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    marked = docs.toDF(*inner).withColumn("row", name)
+    times = mixed(docs, whole=True, mark=name, **options).where("taken > 0").select(F.col("mark").alias("row"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    times = times.groupBy("row").agg(F.max("times").alias("times"))
+    out = marked.join(times, "row")
+    return out.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*inner).toDF(*columns)
 
 
 ORACLE = """

@@ -39,6 +39,32 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Tables:
+    """Working tables of one computation, deleted together when its result is written."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(written(df, name))
+        return self.held[-1]
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """A table that is small against the input, in few files."""
+        return self.written(few_files(df), "kept")
+
+    def discard(self) -> None:
+        for table in self.held:
+            discard(table)
+        self.held = []
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """df in two partitions a core at most: on some file systems each file costs a process. Parts that meet in one task follow
+    each other there, so none needs more memory."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts hold `rows` rows at most, unless the session names another number than the default:
     with 10,000 long texts a batch takes several times its bytes in the JVM and again in the worker."""
@@ -70,13 +96,19 @@ def runs(offsets: np.ndarray, most: int):
         first = last
 
 
+def splittable(sums: DataFrame) -> DataFrame:
+    """A grouped result dealt out anew, so that a join with it has an exchange of its own on both sides. Then adaptive
+    execution can split a hot key's rows on the other side, which it can't where the group's own exchange is used again."""
+    return sums.repartition(sums.sparkSession.sparkContext.defaultParallelism)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of links (a, b) of longs: rows (node, component), component being its smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al.), each a grouped minimum and an equi-join,
     until nothing changes; every step is written, so no lineage grows. Nodes without a link are not returned.
     """
-    e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    e = written(few_files(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()), "edges")
 
     def tally(frame: DataFrame) -> tuple:
         return tuple(frame.agg(F.count("*"), F.sum(F.col("u") % 1000003), F.sum(F.col("v") % 1000003), F.sum(F.xxhash64("u", "v") % 1000003)).first())
@@ -84,13 +116,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = tally(e)
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = splittable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        held, large = e, written(large.distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        held, large = e, written(few_files(large.distinct()), "large")
+        low = splittable(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
-        e = written(small.distinct(), "small")
+        e = written(few_files(small.distinct()), "small")
         discard(held)
         discard(large)
         after = tally(e)

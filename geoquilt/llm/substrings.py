@@ -17,10 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import sketch, textscan
-from .shared import discard, runs, small_batches, text_buffers, written
-
-_SMALL = 32 << 20  # bytes of ids that may be broadcast
-
+from .shared import discard, runs, small_batches, splittable, text_buffers, written
 
 def _scan(data: np.ndarray, offsets: np.ndarray):
     """For runs of texts: (first text number, bytes, word starts, word ends, first word of each text, hashes of words)."""
@@ -43,20 +40,24 @@ def _placed(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return doc, position, w1[at], w2[at]
 
 
-def _judged(docs: DataFrame, n: int, sketch_bits: int):
-    """What goes from docs (doc_id, text): (doc_id, tag, positions of windows), whole copies (doc_id), and a broadcast bitmap of both's ids."""
+def _judged(docs: DataFrame, n: int, sketch_bits: int, most_broadcast: int):
+    """What goes from docs (doc_id, text): (doc_id, tag, positions of windows), whole copies (doc_id), and a broadcast bitmap of both's ids.
+
+    Ids of exact copies are broadcast, so that their windows are looked at once, up to most_broadcast bytes of known
+    size; beyond, or where an id has several texts, copies go the way of all other documents, to the same result.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     profile = written(docs.mapInArrow(_digests, "doc_id long, n_words long, d1 long, d2 long"), "digests")
     some = profile.where("doc_id is not null").where(F.col("n_words") >= n)
     firsts = some.groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = some.join(firsts, ["d1", "d2", "n_words"]).where("doc_id > least").select("doc_id").distinct()
+    copies = some.join(splittable(firsts), ["d1", "d2", "n_words"]).where("doc_id > least").select("doc_id").distinct()
     copies = written(copies, "copies")
     ids_once = profile.where("doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y")
     ambiguous = ids_once.limit(1).count() > 0  # an id with different texts: then copies aren't told by id
     n_copies = copies.count()
     live = docs
-    if n_copies and not ambiguous and n_copies * 8 <= _SMALL:  # of known size; else copies go the way of all others
+    if n_copies and not ambiguous and n_copies * 8 <= most_broadcast:  # of known size; else copies go the way of all others
         live = docs.join(F.broadcast(copies), "doc_id", "left_anti")
 
     def hashes(batch: pa.RecordBatch):
@@ -118,16 +119,17 @@ def _judged(docs: DataFrame, n: int, sketch_bits: int):
     return cuts, (whole if live is not docs else whole.limit(0)), touched
 
 
-def deduplicated(docs: DataFrame, n: int = 13, sketch_bits: int = 28, with_text: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, n: int = 13, sketch_bits: int = 28, with_text: bool = False, most_broadcast: int = 32 << 20) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256[, kept]), one for each row of docs.
 
     A word goes if a window of n words that covers it also starts in a document of a smaller doc_id; what is left is
     joined by single spaces. Windows are judged on the input. Null texts and texts of fewer than n words lose nothing.
     A null doc_id is smaller than none and later than none: its row is returned as it is and takes nothing from others.
-    Repeated rows of one id never remove each other. Other columns are not read.
+    Repeated rows of one id never remove each other. Other columns are not read. Windows are told apart by 96 bits of
+    hashes: of W windows any two meet by chance with odds below W * W / 2**97.
     """
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    cuts, whole, touched = _judged(docs, n, sketch_bits)
+    cuts, whole, touched = _judged(docs, n, sketch_bits, most_broadcast)
     shape = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     untouched, rest = _parted(docs, touched)
 
@@ -164,29 +166,30 @@ def _parted(docs: DataFrame, touched) -> tuple[DataFrame, DataFrame]:
     return docs.mapInArrow(lambda b: part(b, False), docs.schema), docs.mapInArrow(lambda b: part(b, True), StructType([*docs.schema.fields, StructField("tag", LongType())]))
 
 
-def cleaned(docs: DataFrame, n: int = 13, sketch_bits: int = 28) -> DataFrame:
+def cleaned(docs: DataFrame, n: int = 13, sketch_bits: int = 28, most_broadcast: int = 32 << 20) -> DataFrame:
     """docs with the removals made in text (and n_chars, where there is one); documents that lose every word go.
 
-    Rows that lose nothing stay exactly as they are, with all their columns, and are not shuffled. docs has no columns
-    tag, positions or whole besides.
+    Rows that lose nothing stay exactly as they are, with all their columns, and are not shuffled.
     """
     columns = docs.columns
-    cuts, whole, touched = _judged(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), n, sketch_bits)
+    cuts, whole, touched = _judged(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), n, sketch_bits, most_broadcast)
+    inner = [c if c in ("doc_id", "text", "n_chars") else f"c{i}" for i, c in enumerate(columns)]  # no column of docs meets one of ours
+    docs = docs.toDF(*inner)
     untouched, rest = _parted(docs, touched)
-    joined = rest.join(cuts, ["doc_id", "tag"], "left").join(whole, "doc_id", "left").select(*columns, "positions", "whole")
+    joined = rest.join(cuts, ["doc_id", "tag"], "left").join(whole, "doc_id", "left").select(*inner, "positions", "whole")
 
     def remove(batches):
         for batch in batches:
             done = _finished(batch.select(["doc_id", "text"]), batch.column("positions"), batch.column("whole"), n, True)
             lost = np.asarray(done.column("n_removed")) > 0
             texts = [k if x else t for x, k, t in zip(lost, done.column("kept").to_pylist(), batch.column("text").to_pylist())]
-            out = [pa.array(texts, batch.schema.field(c).type) if c == "text" else batch.column(c) for c in columns]
-            if "n_chars" in columns:
-                at = columns.index("n_chars")
+            out = [pa.array(texts, batch.schema.field(c).type) if c == "text" else batch.column(c) for c in inner]
+            if "n_chars" in inner:
+                at = inner.index("n_chars")
                 out[at] = pa.array([len(t) if x else old for x, t, old in zip(lost, texts, out[at].to_pylist())], out[at].type)
-            yield pa.RecordBatch.from_arrays(out, columns).filter(pa.array([not x or t != "" for x, t in zip(lost, texts)]))
+            yield pa.RecordBatch.from_arrays(out, inner).filter(pa.array([not x or t != "" for x, t in zip(lost, texts)]))
 
-    return untouched.union(joined.mapInArrow(remove, docs.schema))
+    return untouched.union(joined.mapInArrow(remove, docs.schema)).toDF(*columns)
 
 
 def _tags(h: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder
+from .shared import shared_folder, splittable
 
 _CRLF = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the WARC 1.1 format
@@ -45,8 +45,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     """
     p = pages.selectExpr("cast(page_id as long) as page_id", "cast(url as string) as url", "coalesce(html, '') as html")
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
-    firsts = p.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    p = p.join(firsts, "digest", "left").withColumn("uid", F.monotonically_increasing_id())
+    firsts = p.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    p = p.join(splittable(firsts.drop("n")), "digest", "left").withColumn("uid", F.monotonically_increasing_id())
     again = F.coalesce((F.col("page_id") > F.col("first")) | (F.col("page_id").isNull() & F.col("first").isNotNull()), F.lit(False))
     url = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))))
     p = p.withColumn("again", again).withColumn("uri", url)

@@ -44,6 +44,7 @@ def test_equals_brute_force(spark):
     for n in (13, 5):
         got = sorted(map(tuple, deduplicated(docs, n, 16, with_text=True).collect()), key=str)
         assert got == sorted(brute(rows, n), key=str)
+    assert sorted(map(tuple, deduplicated(docs, 5, 16, with_text=True, most_broadcast=0).collect()), key=str) == got
     assert deduplicated(docs.limit(0), 13, 16).count() == 0
 
 
