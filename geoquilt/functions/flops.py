@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _either(condition, yes, no):
+    """yes where the condition holds, else no; sizes may be numbers or columns."""
+    return F.when(condition, yes).otherwise(no) if isinstance(condition, Column) else yes if condition else no
+
 
 def _count(multiplications: float, additions: float, complex_: bool = False) -> float:
     return 6 * multiplications + 2 * additions if complex_ else multiplications + additions
@@ -49,7 +57,7 @@ def potrf_potri(n, complex_=False):
 
 
 def posv(side, m, n, complex_=False):
-    return potrf(m, complex_) + potrs(side, m, n, complex_)
+    return potrf(n, complex_) + potrs(side, m, n, complex_)
 
 
 def symm(side, m, n, complex_=False):
@@ -60,10 +68,11 @@ def syrk(k, n, complex_=False):
     return _count(0.5 * k * n * (n + 1), 0.5 * k * n * (n + 1), complex_)
 
 
+# The fractions of the operation counts of QR factors.
 def geqrf(m, n, complex_=False):
-    if m > n:
-        return _count(n * (n * (0.5 - n / 3 + m) + m + 23 / 6), n * (n * (0.5 - n / 3 + m) + 5 / 6), complex_)
-    return _count(m * (m * (-0.5 - m / 3 + n) + 2 * n + 23 / 6), m * (m * (-0.5 - m / 3 + n) + n + 5 / 6), complex_)
+    tall = _count(n * (n * (0.5 - n / 3 + m) + m + 23 / 6), n * (n * (0.5 - n / 3 + m) + 5 / 6), complex_)
+    wide = _count(m * (m * (-0.5 - m / 3 + n) + 2 * n + 23 / 6), m * (m * (-0.5 - m / 3 + n) + n + 5 / 6), complex_)
+    return _either(m > n, tall, wide)
 
 
 def orgqr(m, n, k, complex_=False):
@@ -71,15 +80,20 @@ def orgqr(m, n, k, complex_=False):
 
 
 def gemm_lr_lld(m, n, k, ra, rb, complex_=False):
-    """A product of two low-rank factors into a dense tile."""
-    return gemm(ra, rb, k, complex_) + gemm(m, rb, ra, complex_) + gemm(m, n, rb, complex_)
+    """A product of two low-rank tiles (ranks ra and rb, common side k) into a dense m x n tile: the inner ranks first, then outwards."""
+    return gemm(ra, rb, k, complex_) + gemm(ra, n, rb, complex_) + gemm(m, n, ra, complex_)
 
 
 def gemm_lr_lll(m, n, k, ra, rb, rc, complex_=False):
-    """The same into a low-rank tile: two products, two factorisations, and the recompression."""
+    """The same into a tile of rank rc: the product's factors, both QR factors of the joined ranks, their recompression
+    and the new factors. The inner product counts over m, whatever k is."""
     r = rc + ra
-    products = gemm(ra, rb, k, complex_) + gemm(ra, n, rb, complex_)
-    return products + geqrf(m, r, complex_) + geqrf(n, r, complex_) + trmm("R", r, r, complex_) + gemm(r, r, r, complex_) + orgqr(m, r, r, complex_) + orgqr(n, r, r, complex_)
+    inner = gemm(ra, rb, m, complex_) + gemm(n, ra, rb, complex_)
+    scaled = _count(n * rc, 0, complex_)
+    factors = geqrf(m, r, complex_) + geqrf(n, r, complex_) + trmm("R", r, r, complex_)
+    compressed = _count(r * r * r, 2 * (r * r * r), complex_)
+    outer = orgqr(m, r, r, complex_) + orgqr(n, r, r, complex_) + gemm(m, r, r, complex_) + gemm(n, r, r, complex_)
+    return inner + scaled + factors + compressed + outer
 
 
 def evaluation(batches: int, m: int, padded: int | None = None) -> dict[str, float]:

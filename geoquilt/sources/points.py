@@ -24,25 +24,29 @@ def synthetic(spark: SparkSession, n: int, seed: int = 0, order: str = "morton")
     return points if order == "morton" else ordered(points.select("id", "x", "y", "z"), order)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Rows numbered from 0 in file order. Text splits come in order, so numbers are a split's offset plus a row's place."""
-    placed = df.withColumn("mid", F.monotonically_increasing_id())
-    counts = placed.groupBy(F.shiftright("mid", 33).alias("part")).count().collect()  # a row for each input split
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, value): the lines of all files of path, files in the order of their paths, numbered from 0.
+
+    A line's number is the count of lines in the splits before its own (by path and place in the file) plus its place in
+    it. The driver gets a row for each split. Spark packs splits into partitions by size, but each one's lines stay together.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    placed = text.withColumn("mid", F.monotonically_increasing_id())
+    counts = placed.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("mid").alias("first")).collect()
     offset, table = 0, []
-    for x in sorted(counts, key=lambda x: x["part"]):
-        table.append((x["part"], offset))
-        offset += x["count"]
-    offsets = df.sparkSession.createDataFrame(table or [(0, 0)], "part long, before long")
-    placed = placed.withColumn("part", F.shiftright("mid", 33)).join(F.broadcast(offsets), "part")
-    return placed.withColumn("id", F.col("before") + F.col("mid").bitwiseAND((1 << 33) - 1)).drop("part", "before", "mid")
+    for x in sorted(counts, key=lambda x: (x["file"], x["start"])):
+        table.append((x["file"], x["start"], offset - x["first"]))
+        offset += x["n"]
+    shifts = spark.createDataFrame(table, "file string, start long, shift long")
+    return placed.join(F.broadcast(shifts), ["file", "start"]).select((F.col("mid") + F.col("shift")).alias("id"), "value")
 
 
 def load_xy(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
-    """(id, x, y) of a header-less text file of `x,y` lines; further columns are ignored, a bad line raises when read.
+    """(id, x, y) of header-less text files of `x,y` lines; further columns are ignored, a bad line raises when read.
 
-    The file is read as text, so that a line's number is its id; n limits what is taken.
+    A line's number is its id, files counting in the order of their paths; n limits what is taken.
     """
-    text = _numbered(spark.read.text(path))
+    text = _lines(spark, path)
     parts = F.split("value", ",")
     rows = text.select("id", F.trim(parts[0]).cast("double").alias("x"), F.trim(parts[1]).cast("double").alias("y"))
     return rows if n is None else rows.where(F.col("id") < n)
@@ -50,7 +54,7 @@ def load_xy(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
 
 def load_observations(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """(id, z): the first number of each line; a line without one raises when read, as skipping it would shift the rest."""
-    text = _numbered(spark.read.text(path))
+    text = _lines(spark, path)
     rows = text.select("id", F.split(F.trim("value"), r"\s+")[0].cast("double").alias("z"))
     return rows if n is None else rows.where(F.col("id") < n)
 

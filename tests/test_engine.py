@@ -168,11 +168,37 @@ def test_files(spark, tmp_path):
         sources.load_points(spark, at("xy"), at("bad")).collect()
 
 
+def test_many_files_in_order(spark, tmp_path):
+    lines = [(i / 7, i / 9, float(i)) for i in range(850)]
+    low = 0
+    for k, n in enumerate((50, 400, 100, 300)):
+        for name, text in (("xy", "{0!r},{1!r}"), ("z", "{2!r}")):
+            (tmp_path / name).mkdir(exist_ok=True)
+            (tmp_path / name / f"part-{k:05d}" if name == "xy" else tmp_path / name / f"a{k}").write_text("".join(text.format(*x) + "\n" for x in lines[low : low + n]))
+        low += n
+    (tmp_path / "one").write_text("".join(f"{x[2]!r}\n" for x in lines))
+    want = [(i, *x) for i, x in enumerate(lines)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("1000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "10")
+            for z in ("z", "one"):
+                assert sorted(map(tuple, sources.load_points(spark, f"file://{tmp_path}/xy", f"file://{tmp_path}/{z}").collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
 def test_flops_and_matrices():
     assert (flops.potrf(60), flops.potrf(300), flops.trsm("L", 64, 1), flops.dot(60)) == pytest.approx((73810, 9045050, 4096, 120))
-    assert flops.gemm(2, 3, 4) == 48 and flops.syrk(3, 4) == 60 and flops.potri(5) == flops.trtri(5) + flops.lauum(5) and flops.posv("L", 3, 2) > 0
+    assert flops.gemm(2, 3, 4) == 48 and flops.syrk(3, 4) == 60 and flops.potri(5) == flops.trtri(5) + flops.lauum(5) and flops.posv("L", 3, 2) == flops.potrf(2) + 2 * flops.trsm("L", 3, 2) == 5 + 36
     assert flops.symm("R", 3, 4) == flops.gemm(3, 4, 4) and flops.geqrf(5, 3) > 0 and flops.geqrf(3, 5) > 0 and flops.orgqr(5, 3, 3) > 0
-    assert flops.gemm_lr_lld(9, 9, 9, 2, 2) > 0 and flops.gemm_lr_lll(9, 9, 9, 2, 2, 2) > 0 and flops.potrf(4, True) > flops.potrf(4)
+    assert flops.gemm_lr_lld(7, 6, 5, 2, 3) == 2 * (2 * 3 * 5 + 2 * 6 * 3 + 7 * 6 * 2) and flops.potrf(4, True) > flops.potrf(4)
+    # (7, 6, 5) with ranks 2, 3, 1: r = 3; counted by hand term by term
+    parts = 2 * 2 * 3 * 7 + 2 * 6 * 2 * 3 + 6 * 1 + flops.geqrf(7, 3) + flops.geqrf(6, 3) + 27 + 27 * 3 + flops.orgqr(7, 3, 3) + flops.orgqr(6, 3, 3) + 2 * 7 * 9 + 2 * 6 * 9
+    assert flops.gemm_lr_lll(7, 6, 5, 2, 3, 1) == pytest.approx(parts) and flops.geqrf(7, 3) == pytest.approx(3 * (3 * (0.5 - 1 + 7) + 7 + 23 / 6) + 3 * (3 * 6.5 + 5 / 6))
+    assert flops.gemm_lr_lll(7, 6, 5, 2, 3, 1, True) > 3 * flops.gemm_lr_lll(7, 6, 5, 2, 3, 1)
     assert np.linalg.eigvalsh(matrices.make_hpd(matrices.random_matrix(6, 6))).min() > 0 and matrices.hilbert(2, 2)[1, 1] == pytest.approx(1 / 3)
     assert matrices.max_norm(np.array([[1.0, -5.0]])) == 5 and math.isnan(matrices.max_norm(np.array([1.0, np.nan]))) and matrices.magnitude(3 + 4j) == 5
     assert matrices.axpy(2.0, np.ones(2), np.ones(2)).tolist() == [3, 3] and matrices.ceil_div(7, 3) == 3
