@@ -21,6 +21,8 @@ from ..sources import points as sources
 from . import engine
 
 THETA = Theta(1.5, 0.1, 0.5, 0.2)
+#: For smooth kernels with many neighbours, whose tiles are all but singular at a longer range.
+SHORT = Theta(1.5, 0.02, 0.5, 0.2)
 #: Parameters for the great-circle kernels and those compared in one pass.
 GRID = [Theta(s, b, 0.5) for s in (0.5, 1.0, 1.5, 2.0) for b in (0.05, 0.1, 0.5, 2.0)]
 MATERN, POWER, NUGGET = FAMILIES
@@ -35,6 +37,18 @@ def _r(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
 
 
+def _digits(name: str, digits: int = 6) -> list[Column]:
+    """A column's leading digits as a whole number, and its power of ten: rounding that is relative."""
+    c = F.col(name)
+    power = F.when(c == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(c)))).cast("int")
+    return [(F.round(c * F.pow(F.lit(10.0), digits - 1 - power), 0) + F.lit(0.0)).alias(name), power.alias(f"{name}_power")]
+
+
+def _digits_sql(name: str, digits: int = 6) -> str:
+    power = f"(CASE WHEN {name} = 0 THEN 0 ELSE floor(log10(abs({name}))) END)"
+    return f"round({name} * pow(10.0::DOUBLE, {digits - 1} - {power}), 0) + 0.0::DOUBLE AS {name}, CAST({power} AS INTEGER) AS {name}_power"
+
+
 # --- SQL pieces -------------------------------------------------------------------------------------------------------
 
 _SITES = "sites AS (SELECT vec_id AS id, (CAST(embedding[1] AS DOUBLE) + 1) / 2 AS x, (CAST(embedding[2] AS DOUBLE) + 1) / 2 AS y, 10 * CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
@@ -160,26 +174,28 @@ def gathered_neighbors(spark, sf_dir):
 # --- likelihoods ------------------------------------------------------------------------------------------------------
 
 
-def _config(kernel: str, m: int, how: str = "knn") -> engine.GPConfig:
+def _config(kernel: str, m: int, how: str = "knn", theta: Theta = THETA) -> engine.GPConfig:
     family = MATERN if kernel.startswith("matern") else NUGGET if "nugget" in kernel else POWER
     nu = {"matern32": 1.5, "matern52": 2.5}.get(kernel, 0.5)
-    theta = (THETA.sigma2, THETA.range, nu, THETA.nugget)[: FAMILIES[family]]
-    return engine.GPConfig(family, theta, m, how, metric="earth" if kernel.endswith("earth") else "euclidean")
+    values = (theta.sigma2, theta.range, nu, theta.nugget)[: FAMILIES[family]]
+    return engine.GPConfig(family, values, m, how, metric="earth" if kernel.endswith("earth") else "euclidean")
 
 
-def _plan(spark, sf_dir, kernel: str, m: int, how: str = "knn") -> engine.Plan:
-    return engine.prepare(_sites(spark, sf_dir, kernel.endswith("earth")), _config(kernel, m, how))
+def _plan(spark, sf_dir, kernel: str, m: int, how: str = "knn", theta: Theta = THETA) -> engine.Plan:
+    return engine.prepare(_sites(spark, sf_dir, kernel.endswith("earth")), _config(kernel, m, how, theta))
 
 
-def _terms(kernel: str, m: int):
+def _terms(kernel: str, m: int, how: str = "knn", theta: Theta = THETA):
     def query(spark, sf_dir):
-        rows = _plan(spark, sf_dir, kernel, m).terms()
-        scaled = _r(F.col("ll") / (1 + F.abs("ll")), 5).alias("ll_scaled")  # variances near 0 make huge terms
-        return rows.select("rank", *[_r(c, 5).alias(c) for c in ("mu", "var")], scaled, "status")
+        rows = _plan(spark, sf_dir, kernel, m, how, theta).terms()
+        return rows.select("rank", *[_r(c, 5).alias(c) for c in ("mu", "var")], *[x for c in ("quad", "logdet", "ll") for x in _digits(c)], "status")
 
     return query
 
 
+_TERMS_OUT = "SELECT rank, round(mu, 5) + 0.0::DOUBLE AS mu, round(var, 5) + 0.0::DOUBLE AS var, " + ", ".join(map(_digits_sql, ("quad", "logdet", "ll"))) + ", 'ok' AS status FROM terms"
+
+
 def _terms_sql(kernel: str, m: int, how: str = "knn", theta: Theta | None = None, tail: str | None = None) -> str:
     """Closed forms for one and two neighbours: the first block's row `block(ll)` and `terms(rank, mu, var, ll)`."""
     k, t = KERNELS[kernel], theta or THETA
@@ -199,8 +215,45 @@ s AS (SELECT *, ({v} * c1 - k * c2) / ({v} * {v} - k * k) AS w1, ({v} * c2 - k *
 c AS (SELECT rank, z, w1 * z1 + w2 * z2 AS mu, {v} - w1 * c1 - w2 * c2 AS var FROM s),
 b AS (SELECT n.z AS z1, o.z AS z2, {cov('n', 'o')} AS k FROM ranked n JOIN ranked o ON n.rank = 0 AND o.rank = 1),
 block AS (SELECT -0.5 * (ln({v} * {v} - k * k) + ({v} * z1 * z1 - 2 * k * z1 * z2 + {v} * z2 * z2) / ({v} * {v} - k * k) + 2 * ln(2 * pi())) AS ll FROM b)"""
-    body += ", terms AS (SELECT rank, mu, var, -0.5 * ((z - mu) * (z - mu) / var + ln(var) + ln(2 * pi())) AS ll FROM c)"
-    return f"WITH {head}, {body} " + (tail or "SELECT rank, round(mu, 5) + 0.0::DOUBLE AS mu, round(var, 5) + 0.0::DOUBLE AS var, round(ll / (1 + abs(ll)), 5) + 0.0::DOUBLE AS ll_scaled, 'ok' AS status FROM terms")
+    body += ", terms AS (SELECT rank, mu, var, (z - mu) * (z - mu) / var AS quad, ln(var) AS logdet, -0.5 * ((z - mu) * (z - mu) / var + ln(var) + ln(2 * pi())) AS ll FROM c)"
+    return f"WITH {head}, {body} " + (tail or _TERMS_OUT)
+
+
+def _elimination_sql(kernel: str, m: int | str, how: str = "knn", tail: str = _TERMS_OUT, head: str | None = None, theta: Theta = THETA) -> str:
+    """Any m: rows of each point's covariances, with its neighbours' before it and the observation behind them, are
+    eliminated pivot by pivot. A last row then holds the conditional variance and the observation less the conditional
+    mean; the first block's rows, each less those before, make up its term (t = -1). Gives `pivots` (t, i, d, u, z) and `terms`."""
+    k = KERNELS[kernel]
+    earth = k.metric == "earth"
+    d, v = _haversine if earth else _euclid, repr(k.marginal(theta)) + "::DOUBLE"
+    head = head or (f"{_EARTH}, {_MORTON_EARTH}" if earth else f"{_SITES}, {_MORTON}") + ", " + (_knn_sql(m, d) if how == "knn" else _seq_sql(m))
+    return f"""WITH RECURSIVE {head},
+near AS (SELECT e.rank AS t, e.k AS i, n.x, n.y, n.z FROM edges e JOIN ranked n ON n.rank = e.nrank
+  UNION ALL SELECT rank, {m} + 1, x, y, z FROM ranked WHERE rank >= {m}
+  UNION ALL SELECT -1, rank + 1, x, y, z FROM ranked WHERE rank < {m}),
+cells AS (SELECT a.t, a.i, a.z, b.i AS j, CASE WHEN a.i = b.i THEN {v} ELSE {k.sql(d('a', 'b'), theta)} END AS c FROM near a JOIN near b ON a.t = b.t),
+lines AS (SELECT t, i, any_value(z) AS z, list_append(list(c ORDER BY j), any_value(z)) AS r FROM cells GROUP BY t, i),
+step(p, t, i, z, r) AS (
+  SELECT 1, t, i, z, r FROM lines
+  UNION ALL
+  SELECT s.p + 1, s.t, s.i, s.z, list_transform(s.r, lambda x, n: x - s.r[s.p] / k.r[s.p] * k.r[n]) FROM step s JOIN step k ON k.t = s.t AND k.i = s.p AND k.p = s.p WHERE s.i > s.p
+),
+pivots AS (SELECT t, i, z, r[i] AS d, r[len(r)] AS u FROM step WHERE p = i),
+terms AS (SELECT t AS rank, z - u AS mu, d AS var, u * u / d AS quad, ln(d) AS logdet, -0.5 * (u * u / d + ln(d) + ln(2 * pi())) AS ll FROM pivots WHERE t >= 0 AND i = {m} + 1)
+{tail}"""
+
+
+_PIVOTS_SUM = "SELECT round(sum(-0.5 * (ln(d) + u * u / d + ln(2 * pi()))), 4) + 0.0::DOUBLE AS loglik FROM pivots WHERE t = -1 OR i = {m} + 1"
+#: For the exact model: all points are the first block.
+_ALL = f"{_SITES}, {_MORTON}, edges AS (SELECT rank, CAST(1 AS INTEGER) AS k, rank AS nrank FROM ranked WHERE false)"
+_EVERY = "(SELECT count(*) FROM sites)"
+
+
+def _kl_sql() -> str:
+    """Half the difference of the log-determinants, as with z = 0 nothing else is left."""
+    half = lambda m, head=None: _elimination_sql("matern12", m, tail=f"SELECT sum(ln(d)) AS l FROM pivots WHERE t = -1 OR i = {m} + 1", head=head)
+    rows = [f"SELECT CAST({m} AS INTEGER) AS m, round(0.5 * ((SELECT l FROM ({half(m)})) - (SELECT l FROM ({half(_EVERY, _ALL)}))), 6) + 0.0::DOUBLE AS kl" for m in (10, 60)]
+    return " UNION ALL ".join(rows)
 
 
 _SUM = "SELECT round((SELECT ll FROM block) + sum(ll), 4) + 0.0::DOUBLE AS loglik FROM terms"
@@ -227,7 +280,7 @@ def loglik_exact(spark, sf_dir):
 def kl_divergence(spark, sf_dir):
     sites = _sites(spark, sf_dir)
     rows = [(m, engine.kl_divergence(sites, _config("matern12", m))) for m in (10, 60)]
-    return spark.createDataFrame(rows, "m int, kl double")
+    return spark.createDataFrame(rows, "m int, kl double").withColumn("kl", _r("kl"))
 
 
 def theta_grid(spark, sf_dir):
@@ -283,6 +336,52 @@ SELECT m, round((n - m + 1) * (d * (d * d / 6 + d / 2 + 1.0::DOUBLE / 3) + d * (
 _FLOPS_SQL = _FLOPS_SQL.replace("2.0::DOUBLE * p * p", "2.0::DOUBLE * (0.5::DOUBLE * p * (p + 1) + 0.5::DOUBLE * p * (p - 1))")
 
 
+def flops_all(spark, sf_dir):
+    """Every operation count, real and complex, for sizes made of each nation's numbers."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    sizes = nation.select(*[(F.expr(e) + F.lit(0.0)).alias(c) for c, e in _SIZES.items()])
+    m, n, k, a, b, c = (F.col(x) for x in _SIZES)
+    counts = lambda x: [f.alias(name + "_complex" * x) for name, f in (
+        ("gemm", flops.gemm(m, n, k, x)), ("dot", flops.dot(m, x)), ("trmm_l", flops.trmm("L", m, n, x)), ("trmm_r", flops.trmm("R", m, n, x)), ("trsm_l", flops.trsm("L", m, n, x)),
+        ("trsm_r", flops.trsm("R", m, n, x)), ("potrf", flops.potrf(n, x)), ("potrs_l", flops.potrs("L", m, n, x)), ("trtri", flops.trtri(n, x)), ("lauum", flops.lauum(n, x)),
+        ("potri", flops.potri(n, x)), ("potrf_potri", flops.potrf_potri(n, x)), ("posv_l", flops.posv("L", m, n, x)), ("symm_l", flops.symm("L", m, n, x)), ("symm_r", flops.symm("R", m, n, x)),
+        ("syrk", flops.syrk(k, n, x)), ("geqrf", flops.geqrf(m, n, x)), ("orgqr", flops.orgqr(m, n, k, x)), ("lld", flops.gemm_lr_lld(m, n, k, a, b, x)), ("lll", flops.gemm_lr_lll(m, n, k, a, b, c, x)),
+    )]
+    rows = sizes.select(*_SIZES, *counts(False), *counts(True))
+    return rows.select(*_SIZES, *[_r(x, 3).alias(x) for x in rows.columns if x not in _SIZES])
+
+
+_SIZES = {"m": "n_nationkey + 3", "n": "n_nationkey % 7 + n_regionkey + 2", "k": "n_nationkey % 5 + 1", "ra": "n_regionkey + 1", "rb": "n_nationkey % 4 + 1", "rc": "n_nationkey % 3 + 1"}
+
+
+def _flops_all_sql() -> str:
+    """Each count as its multiplications (f) and additions (a), written out from the published operation counts."""
+    t = lambda k, w: (f"0.5 * {w} * {k} * ({k} + 1)", f"0.5 * {w} * {k} * ({k} - 1)")
+    potrf = ("(1/6.0 * n * n * n + 0.5 * n * n + n / 3.0)", "(1/6.0 * n * n * n - n / 6.0)")
+    trtri = ("(1/6.0 * n * n * n + 0.5 * n * n + n / 3.0)", "(1/6.0 * n * n * n - 0.5 * n * n + n / 3.0)")
+    plus = lambda *x: tuple("(" + " + ".join(y[i] for y in x) + ")" for i in (0, 1))
+    same = lambda e: (f"({e})", f"({e})")
+
+    def geqrf(m, n):
+        tall = (f"{n} * {n} * (0.5 - {n} / 3.0 + {m}) + {n} * {m} + 23 / 6.0 * {n}", f"{n} * {n} * (0.5 - {n} / 3.0 + {m}) + 5 / 6.0 * {n}")
+        wide = (f"{m} * {m} * (-0.5 - {m} / 3.0 + {n}) + 2 * {n} * {m} + 23 / 6.0 * {m}", f"{m} * {m} * (-0.5 - {m} / 3.0 + {n}) + {n} * {m} + 5 / 6.0 * {m}")
+        return tuple(f"(CASE WHEN {m} > {n} THEN {x} ELSE {y} END)" for x, y in zip(tall, wide))
+
+    def orgqr(m, n, k):
+        return (f"({k} * (2 * {m} * {n} + 2 * {n} - 5 / 3.0 + {k} * (2 / 3.0 * {k} - ({m} + {n}) - 1)))", f"({k} * (2 * {m} * {n} + {n} - {m} + 1 / 3.0 + {k} * (2 / 3.0 * {k} - ({m} + {n}))))")
+
+    r = "(ra + rc)"
+    lll = plus(same("ra * rb * m"), same("n * ra * rb"), geqrf("m", r), (f"n * rc + {r} * {r} * {r}", f"2 * {r} * {r} * {r}"), geqrf("n", r), t(r, r), orgqr("m", r, r), orgqr("n", r, r), same(f"m * {r} * {r}"), same(f"n * {r} * {r}"))
+    counts = {
+        "gemm": same("m * n * k"), "dot": same("m"), "trmm_l": t("m", "n"), "trmm_r": t("n", "m"), "trsm_l": t("m", "n"), "trsm_r": t("n", "m"), "potrf": potrf, "potrs_l": plus(t("m", "n"), t("m", "n")), "trtri": trtri,
+        "lauum": potrf, "potri": plus(trtri, potrf), "potrf_potri": plus(potrf, trtri, potrf), "posv_l": plus(potrf, t("m", "n"), t("m", "n")), "symm_l": same("m * m * n"), "symm_r": same("m * n * n"), "syrk": same("0.5 * k * n * (n + 1)"),
+        "geqrf": geqrf("m", "n"), "orgqr": orgqr("m", "n", "k"), "lld": plus(same("ra * rb * k"), same("ra * n * rb"), same("m * n * ra")), "lll": lll,
+    }
+    columns = [f"round(CAST({x} * ({f}) + {y} * ({a}) AS DOUBLE), 3) + 0.0::DOUBLE AS {name}{end}" for x, y, end in ((1, 1, ""), (6, 2, "_complex")) for name, (f, a) in counts.items()]
+    sizes = ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _SIZES.items())
+    return f"WITH s AS (SELECT {sizes} FROM nation) SELECT {', '.join(_SIZES)}, {', '.join(columns)} FROM s"
+
+
 def csv_roundtrip(spark, sf_dir):
     """The sites written as the two text files and read back, joined by line."""
     base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="geoquilt-")).rstrip("/") + f"/csv-{uuid.uuid4().hex}"
@@ -307,7 +406,19 @@ def loglik_events(spark, sf_dir):
     """The whole event table as sites: grid neighbours, a nugget for coinciding sites, ten neighbours each."""
     p = sources.event_sites(spark.read.parquet(f"{sf_dir}/events.parquet"))
     plan = engine.prepare(p, engine.GPConfig(NUGGET, (1.5, 0.1, 0.5, 0.2), 10))
-    return spark.createDataFrame([(plan.n, plan.loglik())], "n long, loglik double")
+    return spark.createDataFrame([(plan.n, plan.loglik())], "n long, loglik double").withColumn("loglik", _r("loglik", 4))
+
+
+def _gentle(kernel: str) -> Theta:
+    return SHORT if kernel == "matern52" else THETA
+
+
+def _loglik_events_sql() -> str:
+    """As _knn_sql, but each point's nearest ones are kept while its distances are formed, as there are many points."""
+    sites = "sites AS (SELECT event_id AS id, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events))::DOUBLE / (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events)::DOUBLE AS x, CAST(value AS DOUBLE) / 600 AS y, ln(1 + CAST(value AS DOUBLE)) AS z FROM events)"
+    near = f"kept AS (SELECT t.rank, min({{'dist': {_euclid('t', 'c')}, 'nrank': c.rank}}, 10) AS best FROM ranked t JOIN ranked c ON c.rank < t.rank WHERE t.rank >= 10 GROUP BY t.rank), edges AS (SELECT rank, CAST(k AS INTEGER) AS k, best[k].nrank AS nrank FROM kept, range(1, 11) r(k))"
+    inner = _elimination_sql("powexp_nugget", 10, head=f"{sites}, {_MORTON}, {near}", tail=_PIVOTS_SUM.format(m=10))
+    return f"SELECT (SELECT count(*) FROM events) AS n, loglik FROM ({inner})"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -315,10 +426,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dist_euclid": _dist("euclidean"), "dist_haversine": _dist("earth"), **{f"cov_{k}": _cov(k) for k in KERNELS},
     "knn_euclid": _knn(), "knn_earth": _knn("earth"), "knn_random_order": _knn(order="random"), "knn_grid": _knn(grid=True), "knn_grid_earth": _knn("earth", grid=True),
     "seq_conditioning": seq_conditioning, "gathered_neighbors": gathered_neighbors, "first_block": first_block,
-    **{f"terms_m{m}_{k}": _terms(k, m) for m in (1, 2) for k in KERNELS},
+    **{f"terms_m{m}_{k}": _terms(k, m) for m in (1, 2) for k in KERNELS}, **{f"terms_m10_{k}": _terms(k, 10, theta=_gentle(k)) for k in KERNELS},
+    "terms_seq_m10": _terms("matern32", 10, "sequential"), "terms_m30_matern52": _terms("matern52", 30, theta=SHORT),
     "loglik_m1": _loglik(1), "loglik_m2": _loglik(2), "loglik_seq_m2": _loglik(2, "sequential"), "loglik_m30": _loglik(30), "loglik_exact": loglik_exact,
     "kl_divergence": kl_divergence, "theta_grid": theta_grid, "mle_grid": mle_grid, "mle_fit": mle_fit, "opt_trace": opt_trace, "perf_log": perf_log,
-    "flops_model": flops_model, "csv_roundtrip": csv_roundtrip, "event_sites": event_sites, "loglik_events": loglik_events,
+    "flops_model": flops_model, "flops_all": flops_all, "csv_roundtrip": csv_roundtrip, "event_sites": event_sites, "loglik_events": loglik_events,
 }
 
 _KNN_OUT = "SELECT rank, k, nrank, round(dist, 6) + 0.0::DOUBLE AS dist FROM edges"
@@ -340,9 +452,12 @@ ORACLES: dict[str, str] = {
     "gathered_neighbors": f"WITH {_SITES}, {_MORTON}, {_seq_sql(3)} SELECT e.rank, e.k, e.nrank, round(r.x, 6) + 0.0::DOUBLE AS x, round(r.y, 6) + 0.0::DOUBLE AS y, round(r.z, 6) + 0.0::DOUBLE AS z FROM edges e JOIN ranked r ON r.rank = e.nrank",
     "first_block": _terms_sql("matern12", 2, tail="SELECT round(ll, 6) + 0.0::DOUBLE AS ll FROM block"),
     **{f"terms_m{m}_{k}": _terms_sql(k, m) for m in (1, 2) for k in KERNELS},
+    **{f"terms_m10_{k}": _elimination_sql(k, 10, theta=_gentle(k)) for k in KERNELS},
+    "terms_seq_m10": _elimination_sql("matern32", 10, "sequential"), "terms_m30_matern52": _elimination_sql("matern52", 30, theta=SHORT),
+    "loglik_m30": _elimination_sql("matern12", 30, tail=_PIVOTS_SUM.format(m=30)), "loglik_exact": _elimination_sql("matern12", _EVERY, tail=_PIVOTS_SUM.format(m=_EVERY), head=_ALL), "kl_divergence": _kl_sql(),
     "loglik_m1": _terms_sql("matern12", 1, tail=_SUM), "loglik_m2": _terms_sql("matern12", 2, tail=_SUM), "loglik_seq_m2": _terms_sql("matern12", 2, "sequential", tail=_SUM),
     "theta_grid": _theta_grid_sql(), "mle_grid": f"SELECT * FROM ({_theta_grid_sql()}) ORDER BY loglik DESC, theta_id LIMIT 1",
-    "flops_model": _FLOPS_SQL,
+    "flops_model": _FLOPS_SQL, "flops_all": _flops_all_sql(),
     "csv_roundtrip": f"WITH {_SITES} SELECT round(x, 9) + 0.0::DOUBLE AS x, round(y, 9) + 0.0::DOUBLE AS y, round(z, 9) + 0.0::DOUBLE AS z FROM sites",
-    "event_sites": _EVENTS_SQL,
+    "event_sites": _EVENTS_SQL, "loglik_events": _loglik_events_sql(),
 }
