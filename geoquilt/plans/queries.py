@@ -426,7 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dist_euclid": _dist("euclidean"), "dist_haversine": _dist("earth"), **{f"cov_{k}": _cov(k) for k in KERNELS},
     "knn_euclid": _knn(), "knn_earth": _knn("earth"), "knn_random_order": _knn(order="random"), "knn_grid": _knn(grid=True), "knn_grid_earth": _knn("earth", grid=True),
     "seq_conditioning": seq_conditioning, "gathered_neighbors": gathered_neighbors, "first_block": first_block,
-    **{f"terms_m{m}_{k}": _terms(k, m) for m in (1, 2) for k in KERNELS}, **{f"terms_m10_{k}": _terms(k, 10, theta=_gentle(k)) for k in KERNELS},
+    **{f"terms_m{m}_{k}": _terms(k, m, theta=_gentle(k)) for m in (1, 2, 10) for k in KERNELS},
     "terms_seq_m10": _terms("matern32", 10, "sequential"), "terms_m30_matern52": _terms("matern52", 30, theta=SHORT),
     "loglik_m1": _loglik(1), "loglik_m2": _loglik(2), "loglik_seq_m2": _loglik(2, "sequential"), "loglik_m30": _loglik(30), "loglik_exact": loglik_exact,
     "kl_divergence": kl_divergence, "theta_grid": theta_grid, "mle_grid": mle_grid, "mle_fit": mle_fit, "opt_trace": opt_trace, "perf_log": perf_log,
@@ -451,7 +451,7 @@ ORACLES: dict[str, str] = {
     "seq_conditioning": f"WITH {_SITES}, {_MORTON}, {_seq_sql(3)} SELECT rank, k, nrank FROM edges",
     "gathered_neighbors": f"WITH {_SITES}, {_MORTON}, {_seq_sql(3)} SELECT e.rank, e.k, e.nrank, round(r.x, 6) + 0.0::DOUBLE AS x, round(r.y, 6) + 0.0::DOUBLE AS y, round(r.z, 6) + 0.0::DOUBLE AS z FROM edges e JOIN ranked r ON r.rank = e.nrank",
     "first_block": _terms_sql("matern12", 2, tail="SELECT round(ll, 6) + 0.0::DOUBLE AS ll FROM block"),
-    **{f"terms_m{m}_{k}": _terms_sql(k, m) for m in (1, 2) for k in KERNELS},
+    **{f"terms_m{m}_{k}": _terms_sql(k, m, theta=_gentle(k)) for m in (1, 2) for k in KERNELS},
     **{f"terms_m10_{k}": _elimination_sql(k, 10, theta=_gentle(k)) for k in KERNELS},
     "terms_seq_m10": _elimination_sql("matern32", 10, "sequential"), "terms_m30_matern52": _elimination_sql("matern52", 30, theta=SHORT),
     "loglik_m30": _elimination_sql("matern12", 30, tail=_PIVOTS_SUM.format(m=30)), "loglik_exact": _elimination_sql("matern12", _EVERY, tail=_PIVOTS_SUM.format(m=_EVERY), head=_ALL), "kl_divergence": _kl_sql(),
