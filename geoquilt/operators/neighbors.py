@@ -20,7 +20,7 @@ def _nearest(pairs: DataFrame, m: int) -> DataFrame:
 
 
 def knn_exact(points: DataFrame, m: int, metric: str = "euclidean") -> DataFrame:
-    """edges (rank, k, nrank, dist) by comparing every point with all its predecessors; for small sets, and to test the grid."""
+    """edges (rank, k, nrank, dist) by comparing every point with all its predecessors; to test the grid by."""
     t = points.where(F.col("rank") >= m).select("rank", "x", "y")
     c = points.select(F.col("rank").alias("nrank"), F.col("x").alias("cx"), F.col("y").alias("cy"))
     pairs = t.join(c, F.col("nrank") < F.col("rank"))
@@ -34,7 +34,8 @@ def knn_grid(points: DataFrame, m: int, metric: str = "euclidean", n: int | None
     Targets of ranks [B, 2B) look among ranks below 2B, on a grid whose cells then hold about m points each, in their
     own and all adjacent cells. What lies outside is at least one cell side away, so a target whose m-th neighbour is
     nearer is done. The others come again on cells twice as wide, until all are done; at the widest the neighbourhood is
-    everything. Great-circle distances grow with chords, so those use a grid in space on the unit sphere.
+    everything. Great-circle distances grow with chords, so those use a grid in space on the unit sphere. Coordinates must
+    be finite: a target that has none, or too few neighbours with some, ends in ValueError.
     """
     spark = points.sparkSession
     n = points.count() if n is None else n
@@ -73,6 +74,8 @@ def knn_grid(points: DataFrame, m: int, metric: str = "euclidean", n: int | None
         targets = targets.join(near.where(F.col("k") == m).select("rank"), "rank", "left_anti")
         if targets.limit(1).count() == 0:
             break
+    else:
+        raise ValueError(f"some points have no {m} neighbours at any distance: coordinates must be finite")
     return done if done is not None else spark.createDataFrame([], "rank long, k int, nrank long, dist double")
 
 
@@ -91,10 +94,9 @@ def gathered(points: DataFrame, edges: DataFrame) -> DataFrame:
     return points.select("rank", "x", "y", "z").join(arrays, "rank")
 
 
-def conditioning(points: DataFrame, m: int, how: str = "knn", metric: str = "euclidean", n: int | None = None, exact_below: int = 5000) -> DataFrame:
-    n = points.count() if n is None else n
+def conditioning(points: DataFrame, m: int, how: str = "knn", metric: str = "euclidean", n: int | None = None) -> DataFrame:
     if how == "sequential":
         return gathered(points, sequential(points, m))
     if how != "knn":
         raise ValueError("conditioning must be knn or sequential")
-    return gathered(points, knn_exact(points, m, metric) if n <= exact_below else knn_grid(points, m, metric, n))
+    return gathered(points, knn_grid(points, m, metric, n))

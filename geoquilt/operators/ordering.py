@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import dequantised, morton_encode, quantised
 from ..sources.work import cut
 
-SMALL = 1_000_000
+_ROWS = 250_000  # of a partition
 
 
 def ranked(points: DataFrame, *keys: Column | str, n: int | None = None) -> DataFrame:
-    """points with a 0-based rank by keys, which must be distinct.
+    """points with a 0-based rank by keys, which must be distinct; null and NaN keys have the places Spark's sort gives them.
 
-    Up to SMALL rows one task numbers them. Beyond, rows are dealt by ranges of the keys, numbered in their partition,
-    checkpointed (so both readings see the same partitions), and raised by the counts of the partitions before.
+    Rows are dealt by ranges of the keys, numbered in their partition, checkpointed (so both readings see the same
+    partitions), and raised by the counts of the partitions before.
     """
     n = points.count() if n is None else n
-    if n <= SMALL:
-        return points.withColumn("rank", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
     spark = points.sparkSession
-    parts = max(2, -(-n // SMALL) * 4)
-    placed = points.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("mid", F.monotonically_increasing_id())
+    placed = points.repartitionByRange(max(2, -(-n // _ROWS)), *keys).sortWithinPartitions(*keys).withColumn("mid", F.monotonically_increasing_id())
     placed = cut(placed)
     counts = placed.groupBy(F.shiftright("mid", 33).alias("part")).count().orderBy("part").collect()  # a row for each partition
     table, before = [], 0

@@ -27,8 +27,8 @@ class GPConfig:
 
     kernel: a family of functions.kernels.FAMILIES. theta0: sigma2, range, smoothness[, nugget], None for the default
     (1, 0.1, 0.5, 0). m: conditioning size. how: knn or sequential. order: morton, random or none. metric: euclidean, or
-    earth for latitude and longitude. quantise: keep Morton's 16-bit coordinates. lower and upper: bounds of every
-    parameter. tol: relative change at which a fit stops, or its negative power of ten if 1 or more.
+    earth for latitude and longitude. quantise: keep Morton's 16-bit coordinates. lower and upper: bounds, one
+    number for every parameter or one for each. tol: relative change at which a fit stops, or its negative power of ten if 1 or more.
     """
 
     kernel: str = "univariate_matern_stationary_no_nugget"
@@ -39,8 +39,8 @@ class GPConfig:
     metric: str = "euclidean"
     quantise: bool = False
     seed: int = 0
-    lower: float = 0.001
-    upper: float = 2.0
+    lower: float | tuple[float, ...] = 0.001
+    upper: float | tuple[float, ...] = 2.0
     tol: float = 1e-5
     maxiter: int = 1000
     earth_scale: float = EARTH_SCALE_KM
@@ -49,13 +49,18 @@ class GPConfig:
         checks = [
             (self.kernel in FAMILIES, f"kernel must be one of {', '.join(FAMILIES)}"), (isinstance(self.m, int) and self.m >= 1, "m must be a positive integer"),
             (self.how in ("knn", "sequential"), "how must be knn or sequential"), (self.order in ("morton", "random", "none"), "order must be morton, random or none"),
-            (self.metric in ("euclidean", "earth"), "metric must be euclidean or earth"), (0 < self.lower <= self.upper, "bounds must be positive and in order"),
+            (self.metric in ("euclidean", "earth"), "metric must be euclidean or earth"), (all(0 < a <= b for a, b in zip(*self.bounds)) and len(self.bounds[0]) == len(self.bounds[1]) == FAMILIES.get(self.kernel, 3), "bounds must be positive, in order and one or as many as parameters"),
             (len(self.theta0) in (0, FAMILIES.get(self.kernel, 3)), f"theta0 must have {FAMILIES.get(self.kernel)} values"), (self.maxiter >= 1 and self.tol > 0, "maxiter and tol must be positive"),
         ]
         for held, message in checks:
             if not held:
                 raise ValueError(message)
 
+    @property
+    def bounds(self) -> tuple[list[float], list[float]]:
+        each = lambda b: list(b) if isinstance(b, (tuple, list)) else [b] * FAMILIES.get(self.kernel, 3)
+        return each(self.lower), each(self.upper)
+
     @property
     def theta(self) -> Theta:
         given = [*self.theta0, *[None] * 4][:4]
@@ -75,9 +80,13 @@ class Plan:
     n: int
     m: int
     seconds: dict[str, float] = field(default_factory=dict)
+    first: object = None
 
     def _block(self, z_zero: bool = False):
-        rows = first_block(self.ranked, self.m).select("rank", "x", "y", "z").toPandas().sort_values("rank")
+        """The first block's m points, fetched once."""
+        if self.first is None:
+            self.first = first_block(self.ranked, self.m).select("rank", "x", "y", "z").toPandas().sort_values("rank")
+        rows = self.first
         return rows["x"].to_numpy(float), rows["y"].to_numpy(float), np.zeros(len(rows)) if z_zero else rows["z"].to_numpy(float)
 
     def loglik_many(self, thetas: list[Theta], z_zero: bool = False) -> list[float]:
@@ -102,11 +111,16 @@ class Plan:
 def prepare(points: DataFrame, config: GPConfig) -> Plan:
     """points (id, x, y, z) ordered, with neighbours. m beyond n becomes n, which makes the likelihood exact.
 
-    With the earth metric, or coordinates outside [0, 1], Morton codes are taken of rescaled coordinates and none is quantised.
+    With the earth metric, or coordinates outside [0, 1], Morton codes are taken of rescaled coordinates and none is
+    quantised. Ids must be distinct. Null, NaN or infinite numbers raise ValueError, as no distance or likelihood has a
+    value with them.
     """
     began = time.perf_counter()
     points = cut(points.select("id", "x", "y", "z"))
-    box = points.agg(F.count("*").alias("n"), F.min(F.least("x", "y")).alias("low"), F.max(F.greatest("x", "y")).alias("high")).first()
+    fine = F.coalesce(F.abs("x") + F.abs("y") + F.abs("z") < float("inf"), F.lit(False))  # NaN is above all numbers
+    box = points.agg(F.count("*").alias("n"), F.min(F.least("x", "y")).alias("low"), F.max(F.greatest("x", "y")).alias("high"), F.count_if(~fine).alias("odd")).first()
+    if box["odd"]:
+        raise ValueError(f"{box['odd']} points have a null, NaN or infinite number")
     n = box["n"]
     rescale = config.metric == "earth" or (n > 0 and (box["low"] < 0 or box["high"] > 1))
     ranked = cut(ordered(points, config.order, config.quantise and not rescale, rescale))
@@ -133,11 +147,9 @@ def _theta(values: list[float], kernel: str) -> Theta:
 def fit(points: DataFrame | Plan, config: GPConfig) -> FitResult:
     """Maximum likelihood within the bounds; Matern keeps its smoothness. Without theta0 the search begins at the lower bounds."""
     plan = points if isinstance(points, Plan) else prepare(points, config)
-    k = FAMILIES[config.kernel]
-    low, high = [config.lower] * k, [config.upper] * k
-    start = [config.lower] * k
-    if config.theta0:
-        start = [config.lower if v is None else float(v) for v in config.theta0]
+    began = time.perf_counter()
+    low, high = config.bounds
+    start = [b if v is None else float(v) for v, b in zip(config.theta0 or [None] * len(low), low)]
     if config.kernel.startswith("univariate_matern"):
         config.covariance()  # raises for an unknown smoothness
         low[2] = high[2] = start[2] = config.theta.nu
@@ -146,7 +158,7 @@ def fit(points: DataFrame | Plan, config: GPConfig) -> FitResult:
     theta = _theta(best.x, config.kernel)
     trace = [((*x, 0.0)[:4], v) for x, v in best.trace]
     spark = plan.ranked.sparkSession
-    return FitResult(theta, best.value, best.evaluations, trace, sinks.fit_log(spark, best.evaluations, theta, best.value, config.order), sinks.trace_log(spark, [(*x, v) for x, v in trace]))
+    return FitResult(theta, best.value, best.evaluations, trace, sinks.fit_log(spark, best.evaluations, theta, best.value, config.order, time.perf_counter() - began), sinks.trace_log(spark, [(*x, v) for x, v in trace]))
 
 
 def perf(spark: SparkSession, n: int, config: GPConfig) -> tuple[float, DataFrame]:

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns, flops
@@ -129,8 +129,7 @@ def random_order(spark, sf_dir):
 def _steps(spark, sf_dir, metric: str) -> DataFrame:
     """Each site with its distance to the one before in Morton order, and with itself."""
     p = ordered(_sites(spark, sf_dir, metric == "earth"), "morton", rescale=metric == "earth")
-    w = Window.orderBy("rank")
-    before = p.select("rank", "x", "y", F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py")).where("px is not null")
+    before = p.select("rank", "x", "y").join(p.select((F.col("rank") + 1).alias("rank"), F.col("x").alias("px"), F.col("y").alias("py")), "rank")
     both = before.withColumn("self", F.lit(0)).union(p.select("rank", "x", "y", "x", "y", F.lit(1)))
     return both.select("rank", "self", columns.distance(metric, F.col("x"), F.col("y"), F.col("px"), F.col("py")).alias("d"))
 
@@ -150,11 +149,10 @@ def _cov(name: str):
     return lambda spark, sf_dir: _steps(spark, sf_dir, metric).select("rank", "self", _r(KERNELS[name].column(F.col("d"), THETA)).alias("value"))
 
 
-def _knn(metric: str = "euclidean", order: str = "morton", grid: bool = False, m: int = 4):
+def _knn(metric: str = "euclidean", order: str = "morton", m: int = 4):
     def query(spark, sf_dir):
         p = ordered(_sites(spark, sf_dir, metric == "earth"), order, rescale=metric == "earth")
-        edges = neighbors.knn_grid(p, m, metric) if grid else neighbors.knn_exact(p, m, metric)
-        return edges.select("rank", F.col("k").cast("int").alias("k"), "nrank", _r("dist").alias("dist"))
+        return neighbors.knn_grid(p, m, metric).select("rank", F.col("k").cast("int").alias("k"), "nrank", _r("dist").alias("dist"))
 
     return query
 
@@ -424,7 +422,7 @@ def _loglik_events_sql() -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "grid_locations": grid_locations, "morton_encode": morton_encode, "morton_decode": morton_decode, "morton_order": morton_order, "random_order": random_order,
     "dist_euclid": _dist("euclidean"), "dist_haversine": _dist("earth"), **{f"cov_{k}": _cov(k) for k in KERNELS},
-    "knn_euclid": _knn(), "knn_earth": _knn("earth"), "knn_random_order": _knn(order="random"), "knn_grid": _knn(grid=True), "knn_grid_earth": _knn("earth", grid=True),
+    "knn_euclid": _knn(), "knn_earth": _knn("earth"), "knn_random_order": _knn(order="random"), "knn_grid": _knn(), "knn_grid_earth": _knn("earth"),
     "seq_conditioning": seq_conditioning, "gathered_neighbors": gathered_neighbors, "first_block": first_block,
     **{f"terms_m{m}_{k}": _terms(k, m, theta=_gentle(k)) for m in (1, 2, 10) for k in KERNELS},
     "terms_seq_m10": _terms("matern32", 10, "sequential"), "terms_m30_matern52": _terms("matern52", 30, theta=SHORT),

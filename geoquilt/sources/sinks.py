@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-FIT = "iterations int, variance double, range double, smoothness double, nugget double, loglik double, ordering string"
+FIT = "iterations int, variance double, range double, smoothness double, nugget double, loglik double, ordering string, seconds double"
 TRACE = "iter int, sigma2 double, range double, nu double, nugget double, llk double"
 PERF = "stage string, seconds double, gflops double"
 
 
-def fit_log(spark: SparkSession, iterations: int, theta, loglik: float, ordering: str) -> DataFrame:
-    return spark.createDataFrame([(iterations, float(theta.sigma2), float(theta.range), float(theta.nu), float(theta.nugget), float(loglik), ordering)], FIT)
+def fit_log(spark: SparkSession, iterations: int, theta, loglik: float, ordering: str, seconds: float | None = None) -> DataFrame:
+    """One row: what a fit found, after how many evaluations and seconds."""
+    return spark.createDataFrame([(iterations, float(theta.sigma2), float(theta.range), float(theta.nu), float(theta.nugget), float(loglik), ordering, seconds)], FIT)
 
 
 def trace_log(spark: SparkSession, trace: list[tuple]) -> DataFrame:

@@ -98,11 +98,12 @@ def test_grid_neighbours_equal_exact(spark, metric, order, m):
     assert key(neighbors.knn_grid(p, m, metric)) == key(neighbors.knn_exact(p, m, metric))
 
 
-def test_distributed_rank_equals_window(spark):
+def test_distributed_rank_equals_sort(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "_ROWS", 60)
     grid = sources.grid_locations(spark, 500, 2)
-    want = {r["id"]: r["rank"] for r in ordering.ranked(grid, "x", "id").collect()}
-    got = {r["id"]: r["rank"] for r in ordering.ranked(grid, "x", "id", n=ordering.SMALL + 1).collect()}
-    assert got == want
+    want = {r["id"]: k for k, r in enumerate(sorted(grid.collect(), key=lambda r: (r["x"], r["id"])))}
+    assert {r["id"]: r["rank"] for r in ordering.ranked(grid, "x", "id").collect()} == want
+    assert ordering.ranked(grid.limit(0), "x", "id").count() == 0
 
 
 def test_singular_and_odd(spark, p6):
@@ -123,6 +124,15 @@ def test_singular_and_odd(spark, p6):
     assert got["status"][0] in ("ok", "singular", "variance")
 
 
+def test_numbers_must_be_finite(spark, p6):
+    for odd in (None, math.nan, math.inf):
+        bad = p6.union(spark.createDataFrame([(9, 0.5, odd, 0.1)], p6.schema))
+        with pytest.raises(ValueError, match="1 points"):
+            engine.prepare(bad, engine.GPConfig())
+    with pytest.raises(ValueError, match="finite"):
+        neighbors.knn_grid(ordering.ordered(p6, "none").withColumn("x", F.when(F.col("rank") == 5, None).otherwise(F.col("x"))), 2, rounds=4).count()
+
+
 def test_optimiser():
     peak = lambda xs: [-((x[0] - 0.7) ** 2) - 3 * (x[1] - 1.4) ** 2 if x[0] > 0.01 else math.nan for x in xs]
     best = optimize.maximise(peak, [0.001, 0.001, 0.5], [0.001, 0.001, 0.5], [2, 2, 0.5], 1e-10, 2000)
@@ -145,7 +155,15 @@ def test_fit_beats_a_grid(spark, tmp_path):
     assert result.loglik >= max(plan.loglik_many(grid)) - 0.05 and result.theta.nu == 0.5
     assert result.fit_log.count() == 1 and result.trace_log.count() == result.evaluations
     path = sinks.write_log(result.fit_log, f"file://{tmp_path}", sinks.log_name(150, 10, order="morton"), nugget=False)
-    assert spark.read.option("header", True).csv(path).columns == ["iterations", "variance", "range", "smoothness", "loglik", "ordering"]
+    assert spark.read.option("header", True).csv(path).columns == ["iterations", "variance", "range", "smoothness", "loglik", "ordering", "seconds"]
+
+
+def test_bounds_of_each_parameter():
+    config = engine.GPConfig(MATERN, lower=(0.01, 1.0, 0.5), upper=(5.0, 900.0, 2.5))
+    assert config.bounds == ([0.01, 1.0, 0.5], [5.0, 900.0, 2.5]) and engine.GPConfig(NUGGET).bounds == ([0.001] * 4, [2.0] * 4)
+    for bad in ((0.1, 0.1), (0.1, 0.1, 9.0, 0.1)):
+        with pytest.raises(ValueError, match="bounds"):
+            engine.GPConfig(MATERN, lower=bad)
 
 
 def test_perf(spark):
