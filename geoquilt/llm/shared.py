@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +60,27 @@ class Tables:
         self.held = []
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """df in two partitions a core at most: on some file systems each file costs a process. Parts that meet in one task follow
-    each other there, so none needs more memory."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+def most_partitions(spark: SparkSession, per_core: int = 2) -> int:
+    return per_core * spark.sparkContext.defaultParallelism
+
+
+def few_files(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """df in so many partitions a core at most: on some file systems each file costs a process. Parts that meet in one task
+    follow each other there, so none needs more memory."""
+    return df.coalesce(most_partitions(df.sparkSession, per_core))
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of `rows` rows at most for what runs within, unless the session names another number than the default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    if before == "10000":
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
