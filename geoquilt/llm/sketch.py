@@ -1,7 +1,7 @@
 """Fixed-size count-min sketches of hashes, with counters that saturate at two, merged over partitions.
 
 A sketch has `rows` rows of 2**bits counters. A counter is two bits in two bitmaps: seen once, seen again. A partition
-builds its own, sends the slices it touched (compressed), and slices merge in a tree of bounded fan-in: once = or,
+builds its own, sends the slices it touched (compressed), and slices merge in one step or two: once = or,
 again = or of again's and of what both have once. The estimate never falls below the true count, so a hash that two
 documents hold always passes `maybe_repeated`.
 """
@@ -18,11 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, written
+from .shared import few_files, most_partitions
 from .textscan import mix
 
 _SLICE = 20
-_FAN_IN = 32
+_AT_ONCE = 64
+_GROUPS = 16
 _BITS = np.left_shift(1, np.arange(7, -1, -1)).astype(np.uint8)
 
 
@@ -129,18 +130,14 @@ def merged(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "slice": [int(pdf["slice"].iloc[0])], "once": [zlib.compress(once, 1)], "again": [zlib.compress(again, 1)]})
 
     schema = "part int, slice int, once binary, again binary"
-    built = written(df.mapInArrow(build, schema), "slices")
-    left = (built.agg(F.max("part")).first()[0] or 0) + 1
-    slices = built
-    while left > _FAN_IN:
-        slices = slices.withColumn("part", F.floor(F.col("part") / _FAN_IN).cast("int")).groupBy("slice", "part").applyInPandas(merge, schema)
-        left = -(-left // _FAN_IN)
-    slices = slices.groupBy("slice").applyInPandas(merge, schema)  # one row a slice, however the parts were numbered
+    slices = few_files(df).mapInArrow(build, schema)
+    if most_partitions(df.sparkSession) > _AT_ONCE:  # in steps, as each slice comes from every partition
+        slices = slices.withColumn("part", (F.col("part") % _GROUPS).cast("int")).groupBy("slice", "part").applyInPandas(merge, schema)
+    slices = slices.groupBy("slice").applyInPandas(merge, schema)
     width = min(_SLICE, bits)
     maps = [np.zeros(max(1, 1 << (bits - 3)), np.uint8) for _ in range(rows)]
     size = 1 << (width - 3)
-    for x in slices.select("slice", F.col("again" if least == 2 else "once").alias("held")).toLocalIterator():
+    for x in slices.select("slice", F.col("again" if least == 2 else "once").alias("held")).collect():  # as many bytes as the maps at most
         key = x["slice"] & 4095
         maps[x["slice"] >> 12][key * size : (key + 1) * size] = np.frombuffer(zlib.decompress(x["held"]), np.uint8)
-    discard(built)
     return Bitmaps(bits, maps)
