@@ -189,3 +189,21 @@ def _of_length(classes: DataFrame, dims: int, kind: str, cosine: float, blocks:
 
     tiles = classes.select("vector", "rep", "n").mapInArrow(deal, f"tile string, side int, rep long, n long, vector array<{kind}>")
     return written(tiles.groupBy("tile").applyInArrow(join, "rep long, links long, root long"), "links")
+
+
+ORACLE = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), u AS (
+  SELECT *, sqrt(list_dot_product(v, v)) AS n FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_dot_product(x.v, y.v) / (x.n * y.n) >= 0.9
+), r(vec_id, c) AS (
+  SELECT DISTINCT a, a FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id
+), m AS (
+  SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id
+), k AS (
+  SELECT a AS vec_id, count(*) AS k FROM l GROUP BY a
+)
+SELECT vec_id, coalesce(k.k, 0) AS n_links, coalesce(m.c, vec_id) AS component_id, coalesce(m.c, vec_id) = vec_id AS kept FROM e LEFT JOIN k USING (vec_id) LEFT JOIN m USING (vec_id)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, topk
+from . import mixing, near_vectors, ngram_join, substrings, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,4 +91,11 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op5_mix_sources": mixing.ORACLE, "op8_exact_top_k": topk.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": ngram_join.ORACLE,
+    "op3_near_vectors": near_vectors.ORACLE,
+    "op5_mix_sources": mixing.ORACLE,
+    "op6_substring_dedup": substrings.ORACLE,
+    "op7_warc_round_trip": warc.ORACLE,
+    "op8_exact_top_k": topk.ORACLE,
+}

@@ -251,3 +251,21 @@ def _scan_words(data: np.ndarray, offsets: np.ndarray):
     for i, j in runs(offsets, 1 << 19):
         piece = data[offsets[i] : offsets[j]]
         yield i, piece, *textscan.words(piece, offsets[i : j + 1] - offsets[i]), None
+
+
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, k, array_to_string(w[k : k + 12], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS k) WHERE len(w) >= 13
+), f AS (
+  SELECT s, min(doc_id) AS least FROM x GROUP BY s HAVING min(doc_id) < max(doc_id)
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS place FROM x JOIN f USING (s) WHERE doc_id > least
+), h AS (
+  SELECT doc_id, list(place) AS gone FROM g GROUP BY doc_id
+), r AS (
+  SELECT doc_id, w, coalesce(len(gone), 0) AS n, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda y, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN h USING (doc_id)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM r
+"""
