@@ -6,7 +6,6 @@ sums depend on their order.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +17,7 @@ from ..functions.kernels import FAMILIES, KERNELS, Theta
 from ..operators import neighbors
 from ..operators.ordering import ordered
 from ..sources import points as sources
+from ..sources.work import work_folder
 from . import engine
 
 THETA = Theta(1.5, 0.1, 0.5, 0.2)
@@ -382,7 +382,7 @@ def _flops_all_sql() -> str:
 
 def csv_roundtrip(spark, sf_dir):
     """The sites written as the two text files and read back, joined by line."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="geoquilt-")).rstrip("/") + f"/csv-{uuid.uuid4().hex}"
+    base = f"{work_folder(spark)}/csv-{uuid.uuid4().hex}"
     sites = _sites(spark, sf_dir).orderBy("id")
     engine.cut(sites.select(F.concat_ws(",", "x", "y").alias("xy"), F.col("z").cast("string").alias("z"))).createOrReplaceTempView("geoquilt_lines")
     lines = spark.table("geoquilt_lines")

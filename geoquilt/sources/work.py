@@ -1,16 +1,29 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""The folder that driver and executors share, and cutting lineage there."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: list[str] = []
+
+
+def work_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset a folder in the warehouse, or in one process (tests) a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext._jsc.sc().isLocal():
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/geoquilt-work"
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="geoquilt-"))
+    return _OWN[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed under spark.checkpoint.dir; where none is named (local runs), under a folder of our own."""
+    """df checkpointed in the work folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="geoquilt-"))
+        context.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint()

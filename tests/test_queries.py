@@ -39,3 +39,14 @@ def test_the_tolerance_ends_the_fit(monkeypatch):
     monkeypatch.setattr(queries, "_sites", lambda spark, sf_dir: None)
     monkeypatch.setattr(queries.engine, "fit", lambda sites, config: config)
     assert queries._fitted(None, SF).maxiter == queries.engine.GPConfig.maxiter == 1000
+
+
+def test_work_folder(spark, monkeypatch):
+    from geoquilt.sources import work
+
+    assert work.work_folder(spark).startswith("file:///") and work.work_folder(spark) == work.work_folder(spark)
+    spark.conf.set("spark.checkpoint.dir", "file:///shared/here/")
+    try:
+        assert work.work_folder(spark) == "file:///shared/here"
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
