@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, splittable
+from ..sources.work import work_folder
+from .shared import splittable
 
 _CRLF = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the WARC 1.1 format
@@ -158,7 +159,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Repeated rows give a capture each; those of the smallest page_id of a payload are all responses. An empty table
     gives no rows. Other columns are not read.
     """
-    folder = f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = f"{work_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, folder, min_bytes)
     c = captures(read_records(pages.sparkSession, folder, payload=False))
     block = F.col("metadata.fields")
