@@ -41,12 +41,15 @@ def test_the_tolerance_ends_the_fit(monkeypatch):
     assert queries._fitted(None, SF).maxiter == queries.engine.GPConfig.maxiter == 1000
 
 
-def test_work_folder(spark, monkeypatch):
+def test_work_folder(spark):
     from geoquilt.sources import work
 
-    assert work.work_folder(spark).startswith("file:///") and work.work_folder(spark) == work.work_folder(spark)
+    before = spark.conf.get("spark.checkpoint.dir", None)
     spark.conf.set("spark.checkpoint.dir", "file:///shared/here/")
     try:
         assert work.work_folder(spark) == "file:///shared/here"
+        spark.conf.set("spark.checkpoint.dir", "")
+        assert work.work_folder(spark).startswith("file:///") and work.work_folder(spark) == work.work_folder(spark)
     finally:
         spark.conf.unset("spark.checkpoint.dir")
+        assert spark.conf.get("spark.checkpoint.dir", None) == before
