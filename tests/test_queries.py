@@ -41,15 +41,16 @@ def test_the_tolerance_ends_the_fit(monkeypatch):
     assert queries._fitted(None, SF).maxiter == queries.engine.GPConfig.maxiter == 1000
 
 
-def test_work_folder(spark):
-    from geoquilt.sources import work
-
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "file:///shared/here/")
-    try:
-        assert work.work_folder(spark) == "file:///shared/here"
-        spark.conf.set("spark.checkpoint.dir", "")
-        assert work.work_folder(spark).startswith("file:///") and work.work_folder(spark) == work.work_folder(spark)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-        assert spark.conf.get("spark.checkpoint.dir", None) == before
+def test_work_folder():
+    from types import SimpleNamespace as Name
+
+    from geoquilt.sources.work import work_folder
+
+    def session(local, **conf):
+        conf = {k.replace("_", "."): v for k, v in conf.items()}
+        context = Name(_jsc=Name(sc=lambda: Name(isLocal=lambda: local)))
+        return Name(conf=Name(get=lambda k, *default: conf[k] if k in conf else default[0]), sparkContext=context)
+
+    assert work_folder(session(False, spark_checkpoint_dir="file:///shared/here/")) == "file:///shared/here"
+    assert work_folder(session(False, spark_sql_warehouse_dir="hdfs://x/warehouse/")) == "hdfs://x/warehouse/geoquilt-work"
+    assert work_folder(session(True)).startswith("file:///") and work_folder(session(True)) == work_folder(session(True))
