@@ -1,10 +1,13 @@
-"""Bounded derivative-free maximisation (Nelder and Mead), several points evaluated at once where they are known together."""
+"""Bounded derivative-free maximisation by quadratic models in a trust region; the points of a step are evaluated together."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import combinations, product
+
+import numpy as np
 
 
 @dataclass
@@ -15,12 +18,43 @@ class Optimum:
     trace: list[tuple[list[float], float]] = field(default_factory=list)
 
 
+def _terms(s: np.ndarray) -> np.ndarray:
+    """Of offsets (points, d): 1, each coordinate, each square and each product."""
+    pairs = list(combinations(range(s.shape[1]), 2))
+    return np.column_stack([np.ones(len(s)), s, s * s, *(s[:, i] * s[:, j] for i, j in pairs)])
+
+
+def _summit(model: np.ndarray, low: np.ndarray, high: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The best point of a quadratic model in the box [low, high]: each coordinate in turn goes to its maximum given the others."""
+    d = len(low)
+    cross = np.zeros((d, d))
+    for c, (i, j) in zip(model[1 + 2 * d :], combinations(range(d), 2)):
+        cross[i, j] = cross[j, i] = c
+    best = None
+    for s in np.clip(starts, low, high):
+        s = s.copy()
+        for _ in range(60):
+            before = s.copy()
+            for i in range(d):
+                slope, bend = model[1 + i] + cross[i] @ s, model[1 + d + i]
+                ends = [low[i], high[i]] + ([min(max(-slope / (2 * bend), low[i]), high[i])] if bend < 0 else [])
+                s[i] = max(ends, key=lambda v: slope * v + bend * v * v)
+            if np.abs(s - before).max() < 1e-12:
+                break
+        value = float((_terms(s[None]) @ model)[0])
+        if best is None or value > best[0]:
+            best = (value, s)
+    return best[1]
+
+
 def maximise(f: Callable[[list[list[float]]], list[float]], start: list[float], low: list[float], high: list[float], ftol_rel: float = 1e-5, maxeval: int = 1000) -> Optimum:
     """The best point found in the box [low, high]. f takes a list of points and gives their values; NaN counts as -inf.
 
-    Coordinates whose bounds coincide stay fixed. The search ends after maxeval evaluations or when the simplex's values
-    differ by less than ftol_rel of their size, twice from a fresh simplex, so that a collapsed simplex isn't taken
-    for an optimum.
+    A step evaluates the best point's surroundings (two points on each axis, one for each pair of axes, in units of the
+    box) in one call of f, fits the quadratic through them, and tries the model's summits within one and two radii in a
+    second call. The radius grows while the farther summit wins and shrinks otherwise. Where nothing near the start has a
+    value the whole box is looked at once, by a coarse grid. Coordinates whose bounds coincide
+    stay fixed. The search ends after maxeval evaluations or when four steps in a row gain less than ftol_rel of the value.
     """
     if any(a > b for a, b in zip(low, high)):
         raise ValueError("a lower bound is above its upper bound")
@@ -30,48 +64,52 @@ def maximise(f: Callable[[list[list[float]]], list[float]], start: list[float],
     def full(u):
         x = [min(max(s, a), b) for s, a, b in zip(start, low, high)]
         for i, v in zip(free, u):
-            x[i] = low[i] + (high[i] - low[i]) * v
+            x[i] = low[i] + (high[i] - low[i]) * float(v)
         return x
 
-    def values(points):
-        points = points[: max(0, maxeval - len(trace))]
-        got = [-math.inf if math.isnan(v) else v for v in f([full(p) for p in points])] if points else []
-        trace.extend((full(p), v) for p, v in zip(points, got))
-        return got
+    def values(points: np.ndarray) -> np.ndarray:
+        points = [full(p) for p in points[: max(0, maxeval - len(trace))]]
+        got = [-math.inf if math.isnan(v) else float(v) for v in f(points)] if points else []
+        trace.extend(zip(points, got))
+        return np.array(got)
 
-    clip = lambda p: [min(1.0, max(0.0, v)) for v in p]
-    best = clip([(min(max(start[i], low[i]), high[i]) - low[i]) / (high[i] - low[i]) for i in free])
-    settled, previous = 0, -math.inf
-    size = 0.25
-    while len(trace) < maxeval and settled < 2:
-        corners = [best] + [[v if k != i else (v + size if v + size <= 1 else v - size) for k, v in enumerate(best)] for i in range(len(free))]
-        simplex = sorted(zip(values(corners), corners), key=lambda s: -s[0])
-        if not free or len(simplex) < len(corners):
+    d, radius, settled, scanned = len(free), 0.25, 0, False
+    best = np.array([(min(max(start[i], low[i]), high[i]) - low[i]) / (high[i] - low[i]) for i in free])
+    top = float(values(best[None])[0])
+    while d and len(trace) < maxeval and settled < 4 and radius > 1e-9:
+        signs = np.where(best + radius <= 1, 1.0, -1.0)
+        eye = np.eye(d) * (signs * radius)
+        there = eye + best
+        back = best - eye
+        back = np.where((back < 0) | (back > 1), best + eye / 2, back)  # at a bound: half the way to the same side
+        around = np.clip(np.concatenate([there, back, *[(best + eye[i] + eye[j])[None] for i, j in combinations(range(d), 2)]]), 0, 1)
+        got = values(around)
+        if len(got) < len(around):
             break
-        while len(trace) < maxeval:
-            top, bottom = simplex[0][0], simplex[-1][0]
-            if math.isfinite(bottom) and abs(top - bottom) <= ftol_rel * max(abs(top), 1e-300):
-                break
-            centre = [sum(p[k] for _, p in simplex[:-1]) / (len(simplex) - 1) for k in range(len(free))]
-            worst = simplex[-1][1]
-            at = lambda t: clip([c + t * (c - w) for c, w in zip(centre, worst)])
-            tried = list(zip([1.0, 2.0, 0.5, -0.5], [at(t) for t in (1.0, 2.0, 0.5, -0.5)]))
-            got = values([p for _, p in tried])  # one pass over the data for all four
-            if not got:
-                break
-            value, point = max(zip(got, [p for _, p in tried]), key=lambda s: s[0])
-            if value > simplex[-1][0] and point != worst:
-                simplex = sorted([*simplex[:-1], (value, point)], key=lambda s: -s[0])
-            else:
-                shrunk = [[(a + b) / 2 for a, b in zip(simplex[0][1], p)] for _, p in simplex[1:]]
-                got = values(shrunk)
-                if len(got) < len(shrunk):
-                    break
-                simplex = sorted([simplex[0], *zip(got, shrunk)], key=lambda s: -s[0])
-                if max(abs(a - b) for p in shrunk for a, b in zip(p, simplex[0][1])) < 1e-9:
-                    break
-        top, best = simplex[0]
-        settled = settled + 1 if math.isfinite(top) and abs(top - previous) <= ftol_rel * max(abs(top), 1e-300) else 0
-        previous, size = top, 0.1
+        known, seen = np.concatenate([best[None], around]), np.concatenate([[top], got])
+        fine = np.isfinite(seen)
+        before = top
+        if fine.any():
+            seen = np.where(fine, seen, seen[fine].min() - (np.ptp(seen[fine]) + 1))
+            model = np.linalg.lstsq(_terms((known - best) / radius), seen, rcond=None)[0]
+            starts = (known[np.argsort(-seen)[:3]] - best) / radius
+            tried = np.array([best + radius * _summit(model, np.maximum(-k, -best / radius), np.minimum(k, (1 - best) / radius), starts) for k in (1.0, 2.0)])
+            tried = np.clip(tried, 0, 1)
+            values_there = values(tried)
+            known, seen = np.concatenate([known, tried[: len(values_there)]]), np.concatenate([seen, values_there])
+            k = int(np.argmax(seen))
+            far = k == len(seen) - 1 and np.abs(known[k] - best).max() > 1.01 * radius
+            if seen[k] > top or not math.isfinite(top):
+                best, top = known[k], float(seen[k])
+            radius = min(0.5, radius * 1.5) if far else radius * 0.4
+        elif scanned:
+            break
+        else:  # no value anywhere near: one look at the whole box
+            scanned = True
+            known = np.array(list(product((0.1, 0.35, 0.65, 0.9), repeat=d)))
+            seen = values(known)
+            if len(seen) and math.isfinite(seen.max()):
+                best, top = known[int(np.argmax(seen))], float(seen.max())
+        settled = settled + 1 if math.isfinite(top) and abs(top - before) <= ftol_rel * max(abs(top), 1e-300) else 0
     x, value = max(trace, key=lambda s: s[1])
     return Optimum(x, value, len(trace), trace)

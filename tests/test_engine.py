@@ -140,6 +140,13 @@ def test_optimiser():
     assert optimize.maximise(peak, [1, 1, 0.5], [0, 0, 0.5], [2, 2, 0.5], 1e-9, 7).evaluations == 7
     with pytest.raises(ValueError):
         optimize.maximise(peak, [1], [2], [1])
+    for value, want in (
+        (lambda x: -(100 * (x[1] - x[0] ** 2) ** 2 + (1 - x[0]) ** 2), [1, 1]), (lambda x: x[0] + 2 * x[1], [2, 2]), (lambda x: -abs(x[0] - 0.3) - abs(x[1] - 0.9), [0.3, 0.9]),
+        (lambda x: -500 * (math.log(x[0]) + 1.3 / x[0]) - 200 * math.log((x[1] + 0.1) / 0.3) ** 2, [1.3, 0.2]), (lambda x: -((x[0] - 0.5) ** 2) if x[1] > 1.5 else math.nan, [0.5, None]),
+    ):
+        calls = []
+        best = optimize.maximise(lambda xs: [calls.append(len(xs)) or value(x) for x in xs], [0.001, 0.001], [0.001] * 2, [2.0] * 2, 1e-9, 2000)
+        assert all(w is None or abs(v - w) < 0.02 for v, w in zip(best.x, want)), (best.x, want)
 
 
 def test_fit_beats_a_grid(spark, tmp_path):
