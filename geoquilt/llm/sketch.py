@@ -24,6 +24,7 @@ from .textscan import mix
 _SLICE = 20
 _AT_ONCE = 64
 _GROUPS = 16
+_FEW = 1 << 21  # hashes that a partition holds as they are
 _BITS = np.left_shift(1, np.arange(7, -1, -1)).astype(np.uint8)
 
 
@@ -32,13 +33,13 @@ def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 class _Local:
-    """A partition's own sketch: whole bitmaps, so that their memory goes back at once when it is sent."""
+    """A partition's own sketch: few hashes as they are, many as whole bitmaps, whose memory goes back at once when it is sent."""
 
     def __init__(self, bits: int, rows: int, least: int):
-        self.bits, self.least = bits, least
-        size = max(1, 1 << (bits - 3))
-        self.once = [np.zeros(size, np.uint8) for _ in range(rows)]
-        self.again = [np.zeros(size, np.uint8) for _ in range(rows)] if least > 1 else []
+        self.bits, self.rows, self.least = bits, rows, least
+        self.width = min(_SLICE, bits)
+        self.once: list[np.ndarray] = []
+        self.again: list[np.ndarray] = []
         self.touched: set[int] = set()
         self.waiting: list[np.ndarray] = []
         self.n = 0
@@ -46,32 +47,42 @@ class _Local:
     def add(self, h: np.ndarray) -> None:
         self.waiting.append(h)
         self.n += len(h)
-        if self.n >= 1 << 20:
+        if self.n >= (1 << 20 if self.once else _FEW):
             self.flush()
 
-    def flush(self) -> None:
-        if not self.n:
-            return
-        h = np.concatenate(self.waiting)
-        self.waiting, self.n = [], 0
-        width = min(_SLICE, self.bits)
-        size = 1 << (width - 3)
-        for row, once in enumerate(self.once):
+    def _parts(self, h: np.ndarray):
+        """Of hashes by row and slice: (row, key, seen here, seen here again)."""
+        for row in range(self.rows):
             at = np.sort(cells(h, row, self.bits))
             new = np.r_[True, at[1:] != at[:-1]]
             more = np.zeros(len(at), bool)
             more[:-1] = ~new[1:]
             first, second = at[new], at[more & new]
-            for key in np.unique(first >> np.uint32(width)).tolist():
+            for key in np.unique(first >> np.uint32(self.width)).tolist():
+                yield row, key, _pack(first, key, self.width), _pack(second, key, self.width)
+
+    def flush(self) -> None:
+        if not self.once:
+            size = max(1, 1 << (self.bits - 3))
+            self.once = [np.zeros(size, np.uint8) for _ in range(self.rows)]
+            self.again = [np.zeros(size, np.uint8) for _ in range(self.rows)] if self.least > 1 else []
+        waiting, self.waiting, self.n = self.waiting, [], 0
+        size = 1 << (self.width - 3)
+        for h in [np.concatenate(waiting)[k : k + (1 << 20)] for k in range(0, sum(map(len, waiting)), 1 << 20)]:
+            for row, key, a, b in self._parts(h):
                 part = slice(key * size, (key + 1) * size)
-                a = _pack(first, key, width)
                 if self.again:
-                    self.again[row][part] |= _pack(second, key, width) | (once[part] & a)
-                once[part] |= a
+                    self.again[row][part] |= b | (self.once[row][part] & a)
+                self.once[row][part] |= a
                 self.touched.add(row << 12 | key)
 
     def slices(self):
-        size = 1 << (min(_SLICE, self.bits) - 3)
+        if not self.once:
+            for row, key, a, b in self._parts(np.concatenate(self.waiting)) if self.n else ():
+                yield row << 12 | key, a, b if self.least > 1 else a[:0]
+            return
+        self.flush()
+        size = 1 << (self.width - 3)
         for own in sorted(self.touched):
             part = slice((own & 4095) * size, ((own & 4095) + 1) * size)
             yield own, self.once[own >> 12][part], self.again[own >> 12][part] if self.again else self.once[0][:0]
@@ -105,11 +116,11 @@ class Bitmaps:
         return found
 
 
-def merged(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, rows: int, least: int = 2) -> Bitmaps:
+def merged(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, rows: int, least: int = 2, per_core: int = 2) -> Bitmaps:
     """The sketch of all hashes that `hashes` yields from the batches of df; each document must give each hash once.
 
     The driver gets rows * 2**bits / 8 bytes at most, whatever the input's size. least=2 keeps counters of two and more,
-    least=1 all that were touched (a Bloom filter).
+    least=1 all that were touched (a Bloom filter). df is read in per_core partitions a core.
     """
 
     def build(batches):
@@ -117,7 +128,6 @@ def merged(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
         for batch in batches:
             for h in hashes(batch):
                 local.add(h)
-        local.flush()
         part = TaskContext.get().partitionId()
         for key, a, b in local.slices():
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "slice": pa.array([key], pa.int32()), "once": pa.array([zlib.compress(a, 1)], pa.binary()), "again": pa.array([zlib.compress(b, 1)], pa.binary())})
@@ -130,8 +140,8 @@ def merged(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "slice": [int(pdf["slice"].iloc[0])], "once": [zlib.compress(once, 1)], "again": [zlib.compress(again, 1)]})
 
     schema = "part int, slice int, once binary, again binary"
-    slices = few_files(df).mapInArrow(build, schema)
-    if most_partitions(df.sparkSession) > _AT_ONCE:  # in steps, as each slice comes from every partition
+    slices = few_files(df, per_core).mapInArrow(build, schema)
+    if most_partitions(df.sparkSession, per_core) > _AT_ONCE:  # in steps, as each slice comes from every partition
         slices = slices.withColumn("part", (F.col("part") % _GROUPS).cast("int")).groupBy("slice", "part").applyInPandas(merge, schema)
     slices = slices.groupBy("slice").applyInPandas(merge, schema)
     width = min(_SLICE, bits)

@@ -70,7 +70,7 @@ def _judged(docs: DataFrame, n: int, sketch_bits: int, most_broadcast: int):
             w1, doc = w1[order], doc[order]
             yield w1[np.r_[True, (w1[1:] != w1[:-1]) | (doc[1:] != doc[:-1])]] if len(w1) else w1
 
-    repeated = spark.sparkContext.broadcast(sketch.merged(live, hashes, sketch_bits, 2))
+    repeated = spark.sparkContext.broadcast(sketch.merged(live, hashes, sketch_bits, 2, per_core=8))
 
     def candidates(batches):
         held = repeated.value
