@@ -33,9 +33,9 @@ from .shared import Tables, arrow_rows, components, few_files, runs, text_buffer
 
 _BUCKETS = 20
 _LEADS = 4
-_LIGHT = 6  # fragments of n-grams of no heavy bucket, by hash; two more hold the heavy ones
+_LIGHT = 3  # fragments of n-grams of no heavy bucket, by hash; two more hold the heavy ones
 _FRAGMENTS = _LIGHT + 2
-_EARLY = 3  # of them tell first whether a pair can still link
+_EARLY = 2  # of them tell first whether a pair can still link
 _SAMPLE = 32  # n-grams of each tell whether two documents look alike
 
 
@@ -174,8 +174,8 @@ class _Rule:
         return low * self.den >= high * self.num
 
     def alike(self, na: Column, nb: Column) -> Column:
-        """The overlap from which a document takes another one for its root: half of the larger size, so that its differences are no more than its n-grams."""
-        return F.floor((F.greatest(na, nb) + 1) / 2).cast("long")
+        """The overlap from which a document takes another one for its root: a quarter of the larger size, which keeps its differences within a few times its n-grams."""
+        return F.floor((F.greatest(na, nb) + 3) / 4).cast("long")
 
 
 def _postings(base: DataFrame, others: DataFrame | None, n: int, levels: tuple, rule: _Rule, sketch_bits: int, tables: Tables) -> DataFrame:
@@ -307,6 +307,9 @@ def _links(base: DataFrame, others: DataFrame | None, n: int, levels: tuple, thr
     rule = _Rule(threshold)
     tables = Tables()
     posts = _postings(base, others, n, levels, rule, sketch_bits, tables)
+    if posts.limit(1).count() == 0:  # no n-gram of one document's first ones is among another's
+        tables.discard()
+        return base.sparkSession.createDataFrame([], "a long, b long")
     homes, differences, sure = _rooted(base, posts, n, levels, rule, tables)
     labels = tables.kept(components(sure).withColumnRenamed("node", "doc"))
     homes = tables.kept(homes.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
@@ -335,7 +338,7 @@ def _followed(base: DataFrame, posts: DataFrame, leaders: DataFrame, settled: Da
     star = tables.kept(star)
     segments = _segments(base, star.select(F.col("a").alias("doc")).union(star.select(F.col("b").alias("doc"))), n, levels, tables, _SAMPLE)
     parts = _by_fragment(star, segments, range(1)).select(*star.columns, _common().alias("c"), _length("x").alias("cx"), _length("y").alias("cy"))
-    look = parts.groupBy(*star.columns).agg(F.sum("c").alias("c"), F.sum("cx").alias("cx"), F.sum("cy").alias("cy")).where(F.col("c") * 3 >= F.greatest("cx", "cy"))
+    look = parts.groupBy(*star.columns).agg(F.sum("c").alias("c"), F.sum("cx").alias("cx"), F.sum("cy").alias("cy")).where(F.col("c") * 5 >= F.greatest("cx", "cy"))
     # a leader comes before all others of its lists in one order, so following it never turns in a circle
     return tables.kept(_climbed(look.select(*star.columns), tables))
 
@@ -390,13 +393,15 @@ def _of_one_root(homes: DataFrame, differences: DataFrame, rule: _Rule, tables:
     lists = tokens.join(counts, ["root", "token"]).groupBy("doc", "root", "low").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("s"))  # a document's own differences
     lists = lists.join(homes.select("doc", "cost", "root_size", "lacks", "besides", "component"), "doc").withColumn("many", F.array_size("s"))
     lists = lists.withColumn("least", F.greatest(F.lit(1), rule.ceil(F.col("cost") + F.col("low") - F.col("root_size") * rule.unit))).where("many >= least")
-    rows = lists.select("doc", "root", "root_size", "cost", "many", "component", (F.col("lacks") + F.col("besides")).alias("whole"), F.posexplode(F.slice("s.token", F.lit(1), F.col("many") - F.col("least").cast("int") + 1)).alias("at", "token"))
+    rows = lists.select("doc", "root", "root_size", "cost", "many", F.col("least").cast("int").alias("least"), "component", (F.col("lacks") + F.col("besides")).alias("whole"), F.posexplode(F.slice("s.token", F.lit(1), F.col("many") - F.col("least").cast("int") + 1)).alias("at", "token"))
     rows = tables.kept(rows)
-    side = lambda k: rows.select("root", "token", "root_size", *[F.col(c).alias(c + k) for c in ("doc", "cost", "many", "component", "whole", "at")])
+    side = lambda k: rows.select("root", "token", "root_size", *[F.col(c).alias(c + k) for c in ("doc", "cost", "many", "least", "component", "whole", "at")])
     need = rule.ceil(F.col("cost1") + F.col("cost2") - F.col("root_size") * rule.unit)
     both = side("1").join(side("2").drop("root_size"), ["root", "token"]).where("doc1 < doc2 and component1 <> component2").withColumn("need", need)
     both = both.where(F.least("at1", "at2") + F.least(F.col("many1") - F.col("at1"), F.col("many2") - F.col("at2")) >= F.col("need"))
-    pairs = both.select(F.col("doc1").alias("a"), F.col("doc2").alias("b"), F.col("whole1").alias("na"), F.col("whole2").alias("nb"), "need").distinct()
+    # as with whole sets: of what two must share, only so much can lie beyond the first ones of the one that ends first
+    pairs = both.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b"), F.col("whole1").alias("na"), F.col("whole2").alias("nb"), "need", F.greatest("least1", "least2").alias("beyond"))
+    pairs = pairs.agg(F.count("*").alias("common")).where(F.col("common") > F.col("need") - F.col("beyond")).select("a", "b", "na", "nb", "need")
     return _overlaps(tables.kept(pairs), differences.select("doc", "fragment", "tokens"), tables).select("a", "b")
 
 
