@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import sketch, textscan
-from .shared import Tables, arrow_rows, components, few_files, runs, text_buffers, written
+from .shared import Tables, arrow_rows, components, few_files, lean, runs, text_buffers, written
 
 _BUCKETS = 20
 _LEADS = 4
@@ -83,7 +83,7 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
         none = np.zeros(len(heavy), np.int64)
         yield pa.RecordBatch.from_arrays([*map(pa.array, (none.astype(np.int32) + 1, heavy, counts[heavy], none, none))], names)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, size long, d1 long, d2 long")
+    return docs.mapInArrow(lean(run), "kind int, doc_id long, size long, d1 long, d2 long")
 
 
 def _levels(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +199,7 @@ def _postings(base: DataFrame, others: DataFrame | None, n: int, levels: tuple,
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, tokens)]).astype(np.int32), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found, pa.int64())), pa.array(size, pa.int64()), lists], ["doc", "size", "tokens"])
 
-    heads = base.mapInArrow(prefixes, "doc long, size long, tokens array<long>")
+    heads = base.mapInArrow(lean(prefixes), "doc long, size long, tokens array<long>")
     heads = tables.written(heads if others is None else heads.join(others, "doc", "left_anti"), "prefixes")
 
     def hashes(batch: pa.RecordBatch):
@@ -224,7 +224,7 @@ def _postings(base: DataFrame, others: DataFrame | None, n: int, levels: tuple,
             numbers = [pa.array(x.astype(np.int32)) for x in (nth, place, shared[mine])]
             yield pa.RecordBatch.from_arrays([pa.array(flat[maybe]), batch.column(0).take(at), batch.column(1).take(at), *numbers], ["token", "doc", "size", "nth", "place", "shared"])
 
-    posts = tables.written(heads.mapInArrow(postings, "token long, doc long, size long, nth int, place int, shared int"), "postings")
+    posts = tables.written(heads.mapInArrow(lean(postings), "token long, doc long, size long, nth int, place int, shared int"), "postings")
     repeated.unpersist()
     return posts
 
@@ -262,7 +262,7 @@ def _segments(base: DataFrame, ids: DataFrame, n: int, levels: tuple, tables: Ta
                 fragment = np.tile(np.arange(many, dtype=np.int32), high - low)
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(fragment), lists], ["doc", "fragment", "tokens"]).filter(pa.array(np.diff(bounds) > 0))
 
-    out = tables.kept(few_files(base, 8).mapInArrow(cut, "doc long, fragment int, tokens array<long>"))
+    out = tables.kept(few_files(base, 8).mapInArrow(lean(cut), "doc long, fragment int, tokens array<long>"))
     wanted.unpersist()
     return out
 
@@ -468,7 +468,7 @@ def _with_digest(docs: DataFrame, n: int) -> DataFrame:
             digest = [pa.array(np.array([s[0] for s in sets], np.int64)), *(pa.array(_signed([s[k] for s in sets])) for k in (1, 2))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *digest], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def kept(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10)) -> DataFrame:

@@ -18,13 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import few_files, most_partitions
+from .shared import few_files, lean, most_partitions
 from .textscan import mix
 
 _SLICE = 20
 _AT_ONCE = 64
 _GROUPS = 16
-_FEW = 1 << 21  # hashes that a partition holds as they are
+_FEW = 1 << 22  # hashes that a partition holds as they are
+_CHUNK = 1 << 20
 _BITS = np.left_shift(1, np.arange(7, -1, -1)).astype(np.uint8)
 
 
@@ -45,21 +46,27 @@ class _Local:
         self.n = 0
 
     def add(self, h: np.ndarray) -> None:
-        self.waiting.append(h)
-        self.n += len(h)
-        if self.n >= (1 << 20 if self.once else _FEW):
-            self.flush()
-
-    def _parts(self, h: np.ndarray):
-        """Of hashes by row and slice: (row, key, seen here, seen here again)."""
+        for k in range(0, len(h), _CHUNK):
+            self.waiting.append(h[k : k + _CHUNK])
+            self.n += len(self.waiting[-1])
+            if self.n >= (_CHUNK if self.once else _FEW):
+                self.flush()
+
+    def _parts(self, waiting: list[np.ndarray]):
+        """Of hashes by row and slice: (row, key, seen here, seen here again). Takes half the hashes' bytes besides them."""
+        at = np.empty(sum(map(len, waiting)), np.uint32)
+        lows = np.arange(1 << (self.bits - self.width), dtype=np.uint32) << np.uint32(self.width)
         for row in range(self.rows):
-            at = np.sort(cells(h, row, self.bits))
-            new = np.r_[True, at[1:] != at[:-1]]
-            more = np.zeros(len(at), bool)
-            more[:-1] = ~new[1:]
-            first, second = at[new], at[more & new]
-            for key in np.unique(first >> np.uint32(self.width)).tolist():
-                yield row, key, _pack(first, key, self.width), _pack(second, key, self.width)
+            done = 0
+            for h in waiting:
+                at[done : done + len(h)] = cells(h, row, self.bits)
+                done += len(h)
+            at.sort()
+            bounds = [*np.searchsorted(at, lows).tolist(), len(at)]
+            for key, low in enumerate(lows):
+                if bounds[key] < bounds[key + 1]:
+                    own = at[bounds[key] : bounds[key + 1]] - low
+                    yield row, key, _pack(own, self.width), _pack(own[1:][own[1:] == own[:-1]], self.width)
 
     def flush(self) -> None:
         if not self.once:
@@ -68,17 +75,16 @@ class _Local:
             self.again = [np.zeros(size, np.uint8) for _ in range(self.rows)] if self.least > 1 else []
         waiting, self.waiting, self.n = self.waiting, [], 0
         size = 1 << (self.width - 3)
-        for h in [np.concatenate(waiting)[k : k + (1 << 20)] for k in range(0, sum(map(len, waiting)), 1 << 20)]:
-            for row, key, a, b in self._parts(h):
-                part = slice(key * size, (key + 1) * size)
-                if self.again:
-                    self.again[row][part] |= b | (self.once[row][part] & a)
-                self.once[row][part] |= a
-                self.touched.add(row << 12 | key)
+        for row, key, a, b in self._parts(waiting) if waiting else ():
+            part = slice(key * size, (key + 1) * size)
+            if self.again:
+                self.again[row][part] |= b | (self.once[row][part] & a)
+            self.once[row][part] |= a
+            self.touched.add(row << 12 | key)
 
     def slices(self):
         if not self.once:
-            for row, key, a, b in self._parts(np.concatenate(self.waiting)) if self.n else ():
+            for row, key, a, b in self._parts(self.waiting) if self.n else ():
                 yield row << 12 | key, a, b if self.least > 1 else a[:0]
             return
         self.flush()
@@ -88,11 +94,9 @@ class _Local:
             yield own, self.once[own >> 12][part], self.again[own >> 12][part] if self.again else self.once[0][:0]
 
 
-def _pack(sorted_cells: np.ndarray, key: int, width: int) -> np.ndarray:
-    low = int(np.searchsorted(sorted_cells, np.uint32(key << width)))
-    high = int(np.searchsorted(sorted_cells, np.uint32(((key + 1) << width) - 1), side="right"))
+def _pack(own: np.ndarray, width: int) -> np.ndarray:
     flags = np.zeros(1 << width, bool)
-    flags[sorted_cells[low:high] - np.uint32(key << width)] = True
+    flags[own] = True
     return np.packbits(flags)
 
 
@@ -140,7 +144,7 @@ def merged(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "slice": [int(pdf["slice"].iloc[0])], "once": [zlib.compress(once, 1)], "again": [zlib.compress(again, 1)]})
 
     schema = "part int, slice int, once binary, again binary"
-    slices = few_files(df, per_core).mapInArrow(build, schema)
+    slices = few_files(df, per_core).mapInArrow(lean(build), schema)
     if most_partitions(df.sparkSession, per_core) > _AT_ONCE:  # in steps, as each slice comes from every partition
         slices = slices.withColumn("part", (F.col("part") % _GROUPS).cast("int")).groupBy("slice", "part").applyInPandas(merge, schema)
     slices = slices.groupBy("slice").applyInPandas(merge, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import sketch, textscan
-from .shared import discard, runs, small_batches, splittable, text_buffers, written
+from .shared import discard, lean, runs, small_batches, splittable, text_buffers, written
 
 def _scan(data: np.ndarray, offsets: np.ndarray):
     """For runs of texts: (first text number, bytes, word starts, word ends, first word of each text, hashes of words)."""
@@ -48,7 +48,7 @@ def _judged(docs: DataFrame, n: int, sketch_bits: int, most_broadcast: int):
     """
     spark = docs.sparkSession
     small_batches(spark)
-    profile = written(docs.mapInArrow(_digests, "doc_id long, n_words long, d1 long, d2 long"), "digests")
+    profile = written(docs.mapInArrow(lean(_digests), "doc_id long, n_words long, d1 long, d2 long"), "digests")
     some = profile.where("doc_id is not null").where(F.col("n_words") >= n)
     firsts = some.groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     copies = some.join(splittable(firsts), ["d1", "d2", "n_words"]).where("doc_id > least").select("doc_id").distinct()
@@ -83,7 +83,7 @@ def _judged(docs: DataFrame, n: int, sketch_bits: int, most_broadcast: int):
                 on = held.maybe(w1) & valid[i + doc]
                 yield pa.RecordBatch.from_arrays([pa.array(w1[on].view(np.int64)), pa.array((w2[on] >> np.uint64(32)).astype(np.uint32).view(np.int32)), keys.take(pa.array(i + doc[on]))], ["h1", "h2", "doc_id"])
 
-    found = live.mapInArrow(candidates, "h1 long, h2 int, doc_id long")
+    found = live.mapInArrow(lean(candidates), "h1 long, h2 int, doc_id long")
     found = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
     found = written(found, "repeated")
     repeated.unpersist()
@@ -105,7 +105,7 @@ def _judged(docs: DataFrame, n: int, sketch_bits: int, most_broadcast: int):
                 place = (_tags(h, first)[doc[on]] >> np.uint64(32) << np.uint64(32)) | position[on].astype(np.uint64)  # the text's tag tells texts of one id apart
                 yield pa.RecordBatch.from_arrays([pa.array(w1[on].view(np.int64)), pa.array((w2[on] >> np.uint64(32)).astype(np.uint32).view(np.int32)), keys.take(pa.array(i + doc[on])), pa.array(place.view(np.int64))], ["h1", "h2", "doc_id", "place"])
 
-    hits = live.mapInArrow(occurrences, "h1 long, h2 int, doc_id long, place long").join(found, ["h1", "h2"]).where("doc_id > least").select("doc_id", F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("position"))
+    hits = live.mapInArrow(lean(occurrences), "h1 long, h2 int, doc_id long, place long").join(found, ["h1", "h2"]).where("doc_id > least").select("doc_id", F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("position"))
     cuts = hits.groupBy("doc_id", "tag").agg(F.collect_set("position").alias("positions"))  # at most a document's own windows
     cuts = written(cuts, "cuts")
     surely.unpersist()
@@ -142,7 +142,7 @@ def deduplicated(docs: DataFrame, n: int = 13, sketch_bits: int = 28, with_text:
             yield _finished(batch.select(["doc_id", "text"]), batch.column("positions"), batch.column("whole"), n, with_text)
 
     joined = rest.join(cuts, ["doc_id", "tag"], "left").join(whole, "doc_id", "left")
-    return untouched.mapInArrow(keep, shape).union(joined.select("doc_id", "text", "positions", "whole").mapInArrow(remove, shape))
+    return untouched.mapInArrow(lean(keep), shape).union(joined.select("doc_id", "text", "positions", "whole").mapInArrow(lean(remove), shape))
 
 
 def _parted(docs: DataFrame, touched) -> tuple[DataFrame, DataFrame]:
@@ -163,7 +163,7 @@ def _parted(docs: DataFrame, touched) -> tuple[DataFrame, DataFrame]:
                 some = some.append_column("tag", pa.array(tags.view(np.int64) >> 32))
             yield some
 
-    return docs.mapInArrow(lambda b: part(b, False), docs.schema), docs.mapInArrow(lambda b: part(b, True), StructType([*docs.schema.fields, StructField("tag", LongType())]))
+    return docs.mapInArrow(lean(lambda b: part(b, False)), docs.schema), docs.mapInArrow(lean(lambda b: part(b, True)), StructType([*docs.schema.fields, StructField("tag", LongType())]))
 
 
 def cleaned(docs: DataFrame, n: int = 13, sketch_bits: int = 28, most_broadcast: int = 32 << 20) -> DataFrame:
@@ -189,7 +189,7 @@ def cleaned(docs: DataFrame, n: int = 13, sketch_bits: int = 28, most_broadcast:
                 out[at] = pa.array([len(t) if x else old for x, t, old in zip(lost, texts, out[at].to_pylist())], out[at].type)
             yield pa.RecordBatch.from_arrays(out, inner).filter(pa.array([not x or t != "" for x, t in zip(lost, texts)]))
 
-    return untouched.union(joined.mapInArrow(remove, docs.schema)).toDF(*columns)
+    return untouched.union(joined.mapInArrow(lean(remove), docs.schema)).toDF(*columns)
 
 
 def _tags(h: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .shared import discard, runs, text_buffers, written
+from .shared import discard, lean, runs, text_buffers, written
 
 # Small word lists of the grammar, in English, German, Spanish and French.
 THREATS = "kill hurt destroy beat stab shoot töten umbringen schlagen matar golpear tuer frapper"
@@ -421,4 +421,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: i
                     keep[i + k] = scorer.score(evidence) < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
