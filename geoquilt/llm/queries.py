@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_vectors, ngram_join, substrings, topk, warc
+from . import fim, mixing, near_vectors, ngram_join, spelling, substrings, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -90,6 +104,9 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_hnsw_neighbours": op12_hnsw_neighbours,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": ngram_join.ORACLE,
@@ -98,4 +115,6 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": substrings.ORACLE,
     "op7_warc_round_trip": warc.ORACLE,
     "op8_exact_top_k": topk.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
