@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bessel import matern
+
 EARTH_SCALE_KM = 2523.64  # fixed value: what great-circle distances are divided by, by default
 
 
@@ -77,14 +79,25 @@ KERNELS = {
     )
 }
 
+def _no_expression(*_):
+    raise ValueError("the Matern covariance of any smoothness is no Spark or SQL expression")
+
+
+#: Any smoothness above 0; the named ones above are its values at 0.5, 1.5 and 2.5.
+MATERN_ANY = Kernel("matern", "euclidean", _no_expression, lambda d, t: t.sigma2 * matern(d / t.range, t.nu), _no_expression, ("sigma2", "range", "nu"))
+
 #: The names users give, and how many parameters each has.
-FAMILIES = {"univariate_matern_stationary_no_nugget": 3, "univariate_powexp_stationary_no_nugget": 3, "univariate_powexp_nugget_stationary": 4}
+FAMILIES = {"univariate_matern_stationary_no_nugget": 3, "univariate_powexp_stationary_no_nugget": 3, "univariate_powexp_nugget_stationary": 4, "univariate_matern_any_smoothness": 3}
 
 
 def kernel_for(family: str, nu: float, metric: str = "euclidean", earth_scale: float = EARTH_SCALE_KM) -> Kernel:
-    """The covariance function of a family; Matern needs nu in 0.5, 1.5, 2.5 exactly."""
+    """The covariance function of a family; Matern needs nu in 0.5, 1.5, 2.5 exactly, unless any smoothness is asked for."""
     if family not in FAMILIES:
         raise ValueError(f"kernel must be one of {', '.join(FAMILIES)}")
+    if family == "univariate_matern_any_smoothness":
+        if not nu > 0:
+            raise ValueError("the smoothness must be positive")
+        return MATERN_ANY
     if family.startswith("univariate_matern"):
         try:
             return KERNELS[{0.5: "matern12", 1.5: "matern32", 2.5: "matern52"}[nu]]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import EARTH_RADIUS_KM, deg2rad, distance
 from ..sources.work import cut
+from .cells import knn_cells
 
 
 def first_block(points: DataFrame, m: int) -> DataFrame:
@@ -97,6 +98,6 @@ def gathered(points: DataFrame, edges: DataFrame) -> DataFrame:
 def conditioning(points: DataFrame, m: int, how: str = "knn", metric: str = "euclidean", n: int | None = None) -> DataFrame:
     if how == "sequential":
         return gathered(points, sequential(points, m))
-    if how != "knn":
-        raise ValueError("conditioning must be knn or sequential")
-    return gathered(points, knn_grid(points, m, metric, n))
+    if how not in ("knn", "knn_grid"):
+        raise ValueError("conditioning must be knn, knn_grid or sequential")
+    return gathered(points, (knn_cells if how == "knn" else knn_grid)(points, m, metric, n))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import flops
 from ..functions.kernels import EARTH_SCALE_KM, FAMILIES, Kernel, Theta, kernel_for
 from ..operators import likelihood
+from ..operators.exact import joint_term
 from ..operators.neighbors import conditioning, first_block
 from ..operators.ordering import ordered
 from ..sources import points as sources
@@ -26,7 +27,8 @@ class GPConfig:
     """What a run is told.
 
     kernel: a family of functions.kernels.FAMILIES. theta0: sigma2, range, smoothness[, nugget], None for the default
-    (1, 0.1, 0.5, 0). m: conditioning size. how: knn or sequential. order: morton, random or none. metric: euclidean, or
+    (1, 0.1, 0.5, 0). m: conditioning size. how: knn (cells that follow the density), knn_grid (uniform cells, fewer jobs,
+    for sites that are spread evenly) or sequential. tile: points taken jointly in one process; more are factored by tiles. order: morton, random or none. metric: euclidean, or
     earth for latitude and longitude. quantise: keep Morton's 16-bit coordinates. lower and upper: bounds, one
     number for every parameter or one for each. tol: relative change at which a fit stops, or its negative power of ten if 1 or more.
     """
@@ -44,11 +46,12 @@ class GPConfig:
     tol: float = 1e-5
     maxiter: int = 1000
     earth_scale: float = EARTH_SCALE_KM
+    tile: int = 1024
 
     def __post_init__(self):
         checks = [
             (self.kernel in FAMILIES, f"kernel must be one of {', '.join(FAMILIES)}"), (isinstance(self.m, int) and self.m >= 1, "m must be a positive integer"),
-            (self.how in ("knn", "sequential"), "how must be knn or sequential"), (self.order in ("morton", "random", "none"), "order must be morton, random or none"),
+            (self.how in ("knn", "knn_grid", "sequential"), "how must be knn, knn_grid or sequential"), (self.tile >= 1, "tile must be positive"), (self.order in ("morton", "random", "none"), "order must be morton, random or none"),
             (self.metric in ("euclidean", "earth"), "metric must be euclidean or earth"), (all(0 < a <= b for a, b in zip(*self.bounds)) and len(self.bounds[0]) == len(self.bounds[1]) == FAMILIES.get(self.kernel, 3), "bounds must be positive, in order and one or as many as parameters"),
             (len(self.theta0) in (0, FAMILIES.get(self.kernel, 3)), f"theta0 must have {FAMILIES.get(self.kernel)} values"), (self.maxiter >= 1 and self.tol > 0, "maxiter and tol must be positive"),
         ]
@@ -83,7 +86,7 @@ class Plan:
     first: object = None
 
     def _block(self, z_zero: bool = False):
-        """The first block's m points, fetched once."""
+        """The first block's m points, `tile` at most, fetched once."""
         if self.first is None:
             self.first = first_block(self.ranked, self.m).select("rank", "x", "y", "z").toPandas().sort_values("rank")
         rows = self.first
@@ -94,13 +97,23 @@ class Plan:
         if not self.n:
             return [0.0] * len(thetas)
         kernel = self.config.covariance(thetas[0].nu if self.config.kernel.startswith("univariate_matern") else None)
-        first = [likelihood.block_term(kernel, t, *self._block(z_zero))["ll"] for t in thetas]
+        first = [self.joint_term(t, z_zero, kernel)["ll"] for t in thetas]
+        if self.m >= self.n:
+            return first
         rows = self.neighbors
         if z_zero:
             rows = rows.withColumn("z", F.lit(0.0)).withColumn("nz", F.transform("nz", lambda _: F.lit(0.0)))
         sums = {x["theta_id"]: x for x in likelihood.partial_sums(rows, self.m, kernel, thetas).collect()}
         return [math.nan if i in sums and sums[i]["bad"] else f + (sums[i]["ll"] if i in sums else 0.0) for i, f in enumerate(first)]
 
+    def joint_term(self, theta: Theta, z_zero: bool = False, kernel: Kernel | None = None) -> dict:
+        """The first block's term; the driver factors it only if it is no larger than a tile."""
+        kernel = kernel or self.config.covariance(theta.nu)
+        if self.m <= self.config.tile:
+            return likelihood.block_term(kernel, theta, *self._block(z_zero))
+        rows = first_block(self.ranked, self.m)
+        return joint_term(rows.withColumn("z", F.lit(0.0)) if z_zero else rows, self.m, kernel, theta, self.config.tile)
+
     def loglik(self, theta: Theta | None = None, z_zero: bool = False) -> float:
         return self.loglik_many([theta or self.config.theta], z_zero)[0]
 
@@ -145,12 +158,12 @@ def _theta(values: list[float], kernel: str) -> Theta:
 
 
 def fit(points: DataFrame | Plan, config: GPConfig) -> FitResult:
-    """Maximum likelihood within the bounds; Matern keeps its smoothness. Without theta0 the search begins at the lower bounds."""
+    """Maximum likelihood within the bounds; Matern keeps its smoothness unless its family is of any smoothness. Without theta0 the search begins at the lower bounds."""
     plan = points if isinstance(points, Plan) else prepare(points, config)
     began = time.perf_counter()
     low, high = config.bounds
     start = [b if v is None else float(v) for v, b in zip(config.theta0 or [None] * len(low), low)]
-    if config.kernel.startswith("univariate_matern"):
+    if config.kernel == "univariate_matern_stationary_no_nugget":
         config.covariance()  # raises for an unknown smoothness
         low[2] = high[2] = start[2] = config.theta.nu
     tol = 10.0**-config.tol if config.tol >= 1 else config.tol
@@ -177,7 +190,7 @@ def perf(spark: SparkSession, n: int, config: GPConfig) -> tuple[float, DataFram
 
 
 def kl_divergence(points: DataFrame, config: GPConfig) -> float:
-    """Of the approximation from the exact model: the difference of both log-likelihoods at z = 0. The exact one is n x n, for small sets."""
+    """Of the approximation from the exact model: the difference of both log-likelihoods at z = 0. The exact one is factored by tiles."""
     approximate = prepare(points, config)
     exact = prepare(points, replace(config, m=max(1, approximate.n)))
     return exact.loglik(z_zero=True) - approximate.loglik(z_zero=True)

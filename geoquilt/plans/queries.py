@@ -9,12 +9,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns, flops
-from ..functions.kernels import FAMILIES, KERNELS, Theta
+from ..functions.kernels import FAMILIES, KERNELS, MATERN_ANY, Theta
 from ..operators import neighbors
+from ..operators.cells import knn_cells
 from ..operators.ordering import ordered
 from ..sources import points as sources
 from ..sources.work import work_folder
@@ -25,7 +28,7 @@ THETA = Theta(1.5, 0.1, 0.5, 0.2)
 SHORT = Theta(1.5, 0.02, 0.5, 0.2)
 #: Parameters for the great-circle kernels and those compared in one pass.
 GRID = [Theta(s, b, 0.5) for s in (0.5, 1.0, 1.5, 2.0) for b in (0.05, 0.1, 0.5, 2.0)]
-MATERN, POWER, NUGGET = FAMILIES
+MATERN, POWER, NUGGET, ANY_NU = FAMILIES
 
 
 def _sites(spark: SparkSession, sf_dir: str, earth: bool = False) -> DataFrame:
@@ -149,12 +152,31 @@ def _cov(name: str):
     return lambda spark, sf_dir: _steps(spark, sf_dir, metric).select("rank", "self", _r(KERNELS[name].column(F.col("d"), THETA)).alias("value"))
 
 
-def _knn(metric: str = "euclidean", order: str = "morton", m: int = 4):
-    def query(spark, sf_dir):
-        p = ordered(_sites(spark, sf_dir, metric == "earth"), order, rescale=metric == "earth")
-        return neighbors.knn_grid(p, m, metric).select("rank", F.col("k").cast("int").alias("k"), "nrank", _r("dist").alias("dist"))
+def _edges(points: DataFrame, m: int, metric: str = "euclidean", search=knn_cells) -> DataFrame:
+    return search(points, m, metric).select("rank", F.col("k").cast("int").alias("k"), "nrank", _r("dist").alias("dist"))
+
+
+def _knn(metric: str = "euclidean", order: str = "morton", m: int = 4, search=knn_cells):
+    return lambda spark, sf_dir: _edges(ordered(_sites(spark, sf_dir, metric == "earth"), order, rescale=metric == "earth"), m, metric, search)
+
+
+def knn_clustered(spark, sf_dir):
+    """The events crowded towards one corner, by the fourth powers of their coordinates: densities differ by orders of magnitude."""
+    p = sources.event_sites(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    x, y = (F.col(c) * F.col(c) * (F.col(c) * F.col(c)) for c in "xy")
+    return _edges(ordered(p.select("id", x.alias("x"), y.alias("y"), "z"), "random"), 4)
 
-    return query
+
+def cov_matern_nu(spark, sf_dir):
+    """The covariance of any smoothness over the steps of dist_euclid, at four smoothnesses that have closed forms."""
+
+    def run(batches):
+        for b in batches:
+            d = np.asarray(b.column(2))
+            for nu in (0.5, 1.5, 2.5, 3.5):
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(d), nu)), pa.array(MATERN_ANY.array(d, Theta(THETA.sigma2, THETA.range, nu)))], ["rank", "self", "nu", "value"])
+
+    return _steps(spark, sf_dir, "euclidean").mapInArrow(run, "rank long, self int, nu double, value double").withColumn("value", _r("value"))
 
 
 def seq_conditioning(spark, sf_dir):
@@ -172,26 +194,30 @@ def gathered_neighbors(spark, sf_dir):
 # --- likelihoods ------------------------------------------------------------------------------------------------------
 
 
-def _config(kernel: str, m: int, how: str = "knn", theta: Theta = THETA) -> engine.GPConfig:
+def _config(kernel: str, m: int, how: str = "knn_grid", theta: Theta = THETA, tile: int = 1024) -> engine.GPConfig:
     family = MATERN if kernel.startswith("matern") else NUGGET if "nugget" in kernel else POWER
     nu = {"matern32": 1.5, "matern52": 2.5}.get(kernel, 0.5)
     values = (theta.sigma2, theta.range, nu, theta.nugget)[: FAMILIES[family]]
-    return engine.GPConfig(family, values, m, how, metric="earth" if kernel.endswith("earth") else "euclidean")
+    return engine.GPConfig(family, values, m, how, metric="earth" if kernel.endswith("earth") else "euclidean", tile=tile)
 
 
-def _plan(spark, sf_dir, kernel: str, m: int, how: str = "knn", theta: Theta = THETA) -> engine.Plan:
+def _plan(spark, sf_dir, kernel: str, m: int, how: str = "knn_grid", theta: Theta = THETA) -> engine.Plan:
     return engine.prepare(_sites(spark, sf_dir, kernel.endswith("earth")), _config(kernel, m, how, theta))
 
 
-def _terms(kernel: str, m: int, how: str = "knn", theta: Theta = THETA):
+def _terms(kernel: str, m: int, how: str = "knn_grid", theta: Theta = THETA, digits: int = 6):
     def query(spark, sf_dir):
         rows = _plan(spark, sf_dir, kernel, m, how, theta).terms()
-        return rows.select("rank", *[_r(c, 5).alias(c) for c in ("mu", "var")], *[x for c in ("quad", "logdet", "ll") for x in _digits(c)], "status")
+        return rows.select("rank", *[_r(c, digits - 1).alias(c) for c in ("mu", "var")], *[x for c in ("quad", "logdet", "ll") for x in _digits(c, digits)], "status")
 
     return query
 
 
-_TERMS_OUT = "SELECT rank, round(mu, 5) + 0.0::DOUBLE AS mu, round(var, 5) + 0.0::DOUBLE AS var, " + ", ".join(map(_digits_sql, ("quad", "logdet", "ll"))) + ", 'ok' AS status FROM terms"
+def _terms_out(digits: int = 6) -> str:
+    return f"SELECT rank, round(mu, {digits - 1}) + 0.0::DOUBLE AS mu, round(var, {digits - 1}) + 0.0::DOUBLE AS var, " + ", ".join(_digits_sql(c, digits) for c in ("quad", "logdet", "ll")) + ", 'ok' AS status FROM terms"
+
+
+_TERMS_OUT = _terms_out()
 
 
 def _terms_sql(kernel: str, m: int, how: str = "knn", theta: Theta | None = None, tail: str | None = None) -> str:
@@ -257,7 +283,7 @@ def _kl_sql() -> str:
 _SUM = "SELECT round((SELECT ll FROM block) + sum(ll), 4) + 0.0::DOUBLE AS loglik FROM terms"
 
 
-def _loglik(m: int, how: str = "knn"):
+def _loglik(m: int, how: str = "knn_grid"):
     def query(spark, sf_dir):
         return spark.createDataFrame([(_plan(spark, sf_dir, "matern12", m, how).loglik(),)], "loglik double").select(_r("loglik", 4).alias("loglik"))
 
@@ -272,12 +298,12 @@ def first_block(spark, sf_dir):
 
 def loglik_exact(spark, sf_dir):
     sites = _sites(spark, sf_dir)
-    return spark.createDataFrame([(engine.prepare(sites, _config("matern12", max(1, sites.count()))).loglik(),)], "loglik double").select(_r("loglik", 4).alias("loglik"))
+    return spark.createDataFrame([(engine.prepare(sites, _config("matern12", max(1, sites.count()), tile=256)).loglik(),)], "loglik double").select(_r("loglik", 4).alias("loglik"))
 
 
 def kl_divergence(spark, sf_dir):
     sites = _sites(spark, sf_dir)
-    rows = [(m, engine.kl_divergence(sites, _config("matern12", m))) for m in (10, 60)]
+    rows = [(m, engine.kl_divergence(sites, _config("matern12", m, tile=256))) for m in (10, 60)]
     return spark.createDataFrame(rows, "m int, kl double").withColumn("kl", _r("kl"))
 
 
@@ -300,6 +326,40 @@ def _theta_grid_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
+#: Two grids of variance and range: a wide one, and factors about the best of it.
+_WIDE = [(0.25 * 2.0**i, 0.005 * 2.0**j) for i in range(7) for j in range(9)]
+_CLOSE = [(2.0 ** (i / 4), 2.0 ** (j / 4)) for i in range(-4, 5) for j in range(-4, 5)]
+
+
+def mle_refined(spark, sf_dir):
+    """The likelihood's maximum over two grids, the second about the first one's best, and whether the fit is as high."""
+    plan = _plan(spark, sf_dir, "matern12", 1)
+    best = lambda grid: max(zip(plan.loglik_many([Theta(s, b, 0.5) for s, b in grid]), grid))
+    _, (s, b) = best(_WIDE)
+    value, (s, b) = best([(s * f, b * g) for f, g in _CLOSE])
+    fitted = engine.fit(plan, engine.GPConfig(MATERN, (1.0, 0.1, 0.5), 1, lower=(0.1, 0.001, 0.5), upper=(40.0, 4.0, 0.5), tol=1e-8))
+    rows = [(s, b, value, fitted.loglik >= value - 1e-6 * abs(value))]
+    return spark.createDataFrame(rows, "sigma2 double, range double, loglik double, fit_as_high boolean").select(_r("sigma2").alias("sigma2"), _r("range", 9).alias("range"), _r("loglik", 3).alias("loglik"), "fit_as_high")
+
+
+def _mle_refined_sql() -> str:
+    """Closed form of one neighbour, over a table of parameters."""
+    table = lambda grid: "(VALUES " + ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE)" for a, b in grid) + ")"
+    sums = lambda grid: f"""SELECT s, b, sum(ll) AS ll FROM (
+    SELECT s, b, -0.5 * ((z - c / s * z1) * (z - c / s * z1) / (s - c / s * c) + ln(s - c / s * c) + ln(2 * pi())) AS ll FROM (SELECT s, b, z, z1, s * exp(-(d / b)) AS c FROM w, {grid})
+    UNION ALL SELECT s, b, -0.5 * (ln(s) + z * z / s + ln(2 * pi())) FROM ranked, {grid} WHERE rank = 0) GROUP BY s, b ORDER BY ll DESC LIMIT 1"""
+    return f"""WITH {_SITES}, {_MORTON}, {_knn_sql(1, _euclid)},
+w AS (SELECT t.z, n.z AS z1, {_euclid('t', 'n')} AS d FROM edges e JOIN ranked t ON t.rank = e.rank JOIN ranked n ON n.rank = e.nrank),
+wide AS ({sums(f'(SELECT s, b FROM {table(_WIDE)} v(s, b))')}), close AS ({sums(f'(SELECT wide.s * f AS s, wide.b * g AS b FROM wide, {table(_CLOSE)} v(f, g))')})
+SELECT round(s, 6) AS sigma2, round(b, 9) AS range, round(ll, 3) AS loglik, true AS fit_as_high FROM close"""
+
+
+def fit_smoothness(spark, sf_dir):
+    """A fit that leaves the smoothness free, from the best of the fixed ones."""
+    config = engine.GPConfig(ANY_NU, (1.0, 0.05, 0.5), 5, lower=(0.05, 0.002, 0.2), upper=(20.0, 2.0, 3.0), tol=1e-4, maxiter=120)
+    return engine.fit(_sites(spark, sf_dir), config).fit_log
+
+
 def _fitted(spark, sf_dir) -> engine.FitResult:
     config = engine.GPConfig(MATERN, (1.0, 0.1, 0.5), 10, upper=20.0)
     return engine.fit(_sites(spark, sf_dir), config)
@@ -400,6 +460,14 @@ _EVENTS_SQL = """WITH t AS (SELECT event_id AS id, epoch_us(ts) AS t, CAST(value
 SELECT id, round((t - low)::DOUBLE / (high - low)::DOUBLE, 6) + 0.0::DOUBLE AS x, round(v / 600, 6) + 0.0::DOUBLE AS y, round(ln(1 + v), 6) + 0.0::DOUBLE AS z FROM t, s"""
 
 
+_EVENT_SITES = "SELECT event_id AS id, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events))::DOUBLE / (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events)::DOUBLE AS x, CAST(value AS DOUBLE) / 600 AS y, ln(1 + CAST(value AS DOUBLE)) AS z FROM events"
+
+
+def _near_sql(m: int) -> str:
+    """As _knn_sql, but each point's nearest ones are kept while its distances are formed, as there are many points."""
+    return f"kept AS (SELECT t.rank, min({{'dist': {_euclid('t', 'c')}, 'nrank': c.rank}}, {m}) AS best FROM ranked t JOIN ranked c ON c.rank < t.rank WHERE t.rank >= {m} GROUP BY t.rank), edges AS (SELECT rank, CAST(k AS INTEGER) AS k, best[k].nrank AS nrank, best FROM kept, range(1, {m} + 1) r(k))"
+
+
 def loglik_events(spark, sf_dir):
     """The whole event table as sites: grid neighbours, a nugget for coinciding sites, ten neighbours each."""
     p = sources.event_sites(spark.read.parquet(f"{sf_dir}/events.parquet"))
@@ -412,22 +480,21 @@ def _gentle(kernel: str) -> Theta:
 
 
 def _loglik_events_sql() -> str:
-    """As _knn_sql, but each point's nearest ones are kept while its distances are formed, as there are many points."""
-    sites = "sites AS (SELECT event_id AS id, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events))::DOUBLE / (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events)::DOUBLE AS x, CAST(value AS DOUBLE) / 600 AS y, ln(1 + CAST(value AS DOUBLE)) AS z FROM events)"
-    near = f"kept AS (SELECT t.rank, min({{'dist': {_euclid('t', 'c')}, 'nrank': c.rank}}, 10) AS best FROM ranked t JOIN ranked c ON c.rank < t.rank WHERE t.rank >= 10 GROUP BY t.rank), edges AS (SELECT rank, CAST(k AS INTEGER) AS k, best[k].nrank AS nrank FROM kept, range(1, 11) r(k))"
-    inner = _elimination_sql("powexp_nugget", 10, head=f"{sites}, {_MORTON}, {near}", tail=_PIVOTS_SUM.format(m=10))
+    inner = _elimination_sql("powexp_nugget", 10, head=f"sites AS ({_EVENT_SITES}), {_MORTON}, {_near_sql(10)}", tail=_PIVOTS_SUM.format(m=10))
     return f"SELECT (SELECT count(*) FROM events) AS n, loglik FROM ({inner})"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "grid_locations": grid_locations, "morton_encode": morton_encode, "morton_decode": morton_decode, "morton_order": morton_order, "random_order": random_order,
     "dist_euclid": _dist("euclidean"), "dist_haversine": _dist("earth"), **{f"cov_{k}": _cov(k) for k in KERNELS},
-    "knn_euclid": _knn(), "knn_earth": _knn("earth"), "knn_random_order": _knn(order="random"), "knn_grid": _knn(), "knn_grid_earth": _knn("earth"),
+    "knn_euclid": _knn(), "knn_earth": _knn("earth"), "knn_random_order": _knn(order="random"), "knn_clustered": knn_clustered, "cov_matern_nu": cov_matern_nu,
+    "knn_grid": _knn(order="random", m=10, search=neighbors.knn_grid), "knn_grid_earth": _knn("earth", m=7, search=neighbors.knn_grid),
     "seq_conditioning": seq_conditioning, "gathered_neighbors": gathered_neighbors, "first_block": first_block,
     **{f"terms_m{m}_{k}": _terms(k, m, theta=_gentle(k)) for m in (1, 2, 10) for k in KERNELS},
-    "terms_seq_m10": _terms("matern32", 10, "sequential"), "terms_m30_matern52": _terms("matern52", 30, theta=SHORT),
-    "loglik_m1": _loglik(1), "loglik_m2": _loglik(2), "loglik_seq_m2": _loglik(2, "sequential"), "loglik_m30": _loglik(30), "loglik_exact": loglik_exact,
-    "kl_divergence": kl_divergence, "theta_grid": theta_grid, "mle_grid": mle_grid, "mle_fit": mle_fit, "opt_trace": opt_trace, "perf_log": perf_log,
+    "terms_m1_matern52_far": _terms("matern52", 1), "terms_m2_matern52_far": _terms("matern52", 2), "terms_m10_matern52_far": _terms("matern52", 10, digits=3),
+    "terms_seq_m10": _terms("matern32", 10, "sequential"), "terms_m30_matern52": _terms("matern52", 30, "knn", SHORT),
+    "loglik_m1": _loglik(1), "loglik_m2": _loglik(2), "loglik_seq_m2": _loglik(2, "sequential"), "loglik_m30": _loglik(30, "knn"), "loglik_exact": loglik_exact,
+    "kl_divergence": kl_divergence, "theta_grid": theta_grid, "mle_grid": mle_grid, "mle_refined": mle_refined, "fit_smoothness": fit_smoothness, "mle_fit": mle_fit, "opt_trace": opt_trace, "perf_log": perf_log,
     "flops_model": flops_model, "flops_all": flops_all, "csv_roundtrip": csv_roundtrip, "event_sites": event_sites, "loglik_events": loglik_events,
 }
 
@@ -444,17 +511,20 @@ ORACLES: dict[str, str] = {
     "knn_euclid": f"WITH {_SITES}, {_MORTON}, {_knn_sql(4, _euclid)} {_KNN_OUT}",
     "knn_earth": f"WITH {_EARTH}, {_MORTON_EARTH}, {_knn_sql(4, _haversine)} {_KNN_OUT}",
     "knn_random_order": f"WITH {_SITES}, {_RANDOM}, {_knn_sql(4, _euclid)} {_KNN_OUT}",
-    "knn_grid": f"WITH {_SITES}, {_MORTON}, {_knn_sql(4, _euclid)} {_KNN_OUT}",
-    "knn_grid_earth": f"WITH {_EARTH}, {_MORTON_EARTH}, {_knn_sql(4, _haversine)} {_KNN_OUT}",
+    "knn_clustered": f"WITH sites AS (SELECT id, x * x * (x * x) AS x, y * y * (y * y) AS y, z FROM ({_EVENT_SITES})), {_RANDOM}, {_near_sql(4)} SELECT rank, k, nrank, round(best[k].dist, 6) + 0.0::DOUBLE AS dist FROM edges",
+    "cov_matern_nu": _steps_sql("euclidean") + f", s AS (SELECT rank, self, d / {THETA.range!r}::DOUBLE AS s FROM steps), m AS (SELECT *, unnest([{{'nu': 0.5::DOUBLE, 'f': 1.0::DOUBLE}}, {{'nu': 1.5::DOUBLE, 'f': 1 + s}}, {{'nu': 2.5::DOUBLE, 'f': 1 + s + s * s / 3}}, {{'nu': 3.5::DOUBLE, 'f': 1 + s + 0.4::DOUBLE * s * s + s * s * s / 15}}]) AS v FROM s) SELECT rank, self, v.nu, round({THETA.sigma2!r}::DOUBLE * v.f * exp(-s), 6) + 0.0::DOUBLE AS value FROM m",
+    "knn_grid": f"WITH {_SITES}, {_RANDOM}, {_knn_sql(10, _euclid)} {_KNN_OUT}",
+    "knn_grid_earth": f"WITH {_EARTH}, {_MORTON_EARTH}, {_knn_sql(7, _haversine)} {_KNN_OUT}",
     "seq_conditioning": f"WITH {_SITES}, {_MORTON}, {_seq_sql(3)} SELECT rank, k, nrank FROM edges",
     "gathered_neighbors": f"WITH {_SITES}, {_MORTON}, {_seq_sql(3)} SELECT e.rank, e.k, e.nrank, round(r.x, 6) + 0.0::DOUBLE AS x, round(r.y, 6) + 0.0::DOUBLE AS y, round(r.z, 6) + 0.0::DOUBLE AS z FROM edges e JOIN ranked r ON r.rank = e.nrank",
     "first_block": _terms_sql("matern12", 2, tail="SELECT round(ll, 6) + 0.0::DOUBLE AS ll FROM block"),
-    **{f"terms_m{m}_{k}": _terms_sql(k, m, theta=_gentle(k)) for m in (1, 2) for k in KERNELS},
-    **{f"terms_m10_{k}": _elimination_sql(k, 10, theta=_gentle(k)) for k in KERNELS},
+    **{f"terms_m1_{k}": _terms_sql(k, 1, theta=_gentle(k)) for k in KERNELS},
+    **{f"terms_m{m}_{k}": _elimination_sql(k, m, theta=_gentle(k)) for m in (2, 10) for k in KERNELS},
+    "terms_m1_matern52_far": _terms_sql("matern52", 1), "terms_m2_matern52_far": _elimination_sql("matern52", 2), "terms_m10_matern52_far": _elimination_sql("matern52", 10, tail=_terms_out(3)),
     "terms_seq_m10": _elimination_sql("matern32", 10, "sequential"), "terms_m30_matern52": _elimination_sql("matern52", 30, theta=SHORT),
     "loglik_m30": _elimination_sql("matern12", 30, tail=_PIVOTS_SUM.format(m=30)), "loglik_exact": _elimination_sql("matern12", _EVERY, tail=_PIVOTS_SUM.format(m=_EVERY), head=_ALL), "kl_divergence": _kl_sql(),
     "loglik_m1": _terms_sql("matern12", 1, tail=_SUM), "loglik_m2": _terms_sql("matern12", 2, tail=_SUM), "loglik_seq_m2": _terms_sql("matern12", 2, "sequential", tail=_SUM),
-    "theta_grid": _theta_grid_sql(), "mle_grid": f"SELECT * FROM ({_theta_grid_sql()}) ORDER BY loglik DESC, theta_id LIMIT 1",
+    "theta_grid": _theta_grid_sql(), "mle_refined": _mle_refined_sql(), "mle_grid": f"SELECT * FROM ({_theta_grid_sql()}) ORDER BY loglik DESC, theta_id LIMIT 1",
     "flops_model": _FLOPS_SQL, "flops_all": _flops_all_sql(),
     "csv_roundtrip": f"WITH {_SITES} SELECT round(x, 9) + 0.0::DOUBLE AS x, round(y, 9) + 0.0::DOUBLE AS y, round(z, 9) + 0.0::DOUBLE AS z FROM sites",
     "event_sites": _EVENTS_SQL, "loglik_events": _loglik_events_sql(),
