@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import runs, text_buffers, written
+from .shared import lean, runs, text_buffers, written
 
 
 @lru_cache(maxsize=2)
@@ -28,6 +28,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
+    @lean
     def run(batches):
         codec = _codec(tokenizer_path, fine_units)
         for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokens
-from .shared import runs, text_buffers
+from .shared import lean, runs, text_buffers
 
 _SPACE = frozenset(" \t\n\v\f\r")
 
@@ -91,6 +91,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, huge: i
     The tokenizer's special strings inside a text count as the library counts them by default: one token each.
     """
 
+    @lean
     def run(batches):
         codec = _codec(tokenizer_path)
         for batch in batches:

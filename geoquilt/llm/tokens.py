@@ -68,14 +68,16 @@ def fine_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class UnitCodec:
-    """Ids of units, kept by hash. Memory is bounded: beyond `most` units everything kept is forgotten.
+    """Ids of units, kept by 64-bit hash in sorted arrays: some 40 bytes a unit and 4 an id. Memory is bounded: beyond `most`
+    units, or four ids for each of these, everything kept is forgotten. Two of k distinct units share a hash, and so get
+    the same ids, with a probability of about k**2 / 2**65: 3e-8 for a million.
 
     fine=True is for tokenizers that drop white space, lower-case, and part letters, digits and other characters: their
     units are smaller and fewer are distinct. Such units of letters alone are one pre-token each, so many are encoded
     as one text and told apart by the tokens that end a word.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000, fine: bool = False):
+    def __init__(self, path: str, most: int = 1_000_000, fine: bool = False):
         self.tokenizer, self.most, self.fine = load(path), most, fine
         self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) if fine else None
@@ -85,10 +87,10 @@ class UnitCodec:
         self._forget()
 
     def _forget(self) -> None:
-        self.row: dict[int, int] = {}
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.rows_used = 0
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def _add(self, ids) -> int:
         n, k = len(ids), self.rows_used
@@ -118,17 +120,22 @@ class UnitCodec:
             ends = np.append(starts[1:], len(data))
         keys = textscan.span_hashes(data, starts, ends)
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.row) + len(distinct) > self.most:
+        if len(self.keys) + len(distinct) > self.most or self.used > 4 * self.most:
             self._forget()
-        found = np.array(list(map(self.row.get, distinct.tolist())), np.float64)  # None becomes nan
-        missing = np.flatnonzero(np.isnan(found))
+        place = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inner = place < len(self.keys)
+        known[inner] = self.keys[place[inner]] == distinct[inner]
+        found = np.zeros(len(distinct), np.int64)
+        found[known] = self.row[place[known]]
+        missing = np.flatnonzero(~known)
         lost = where[missing]
         texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[lost].tolist(), ends[lost].tolist())]
         if len(texts):
-            rows = np.array([self._add(x) for x in self._encoded(texts, fine)])
-            self.row.update(zip(distinct[missing].tolist(), rows.tolist()))
-            found[missing] = rows
-        return found.astype(np.int64)[back], np.searchsorted(starts, offsets)
+            found[missing] = [self._add(x) for x in self._encoded(texts, fine)]
+            self.keys = np.insert(self.keys, place[missing], distinct[missing])
+            self.row = np.insert(self.row, place[missing], found[missing].astype(np.int32))
+        return found[back], np.searchsorted(starts, offsets)
 
     def _encoded(self, texts: list[str], fine: bool) -> list:
         out: list = [None] * len(texts)
@@ -149,13 +156,13 @@ class UnitCodec:
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
         rows, first = self.rows(data, offsets)
-        sums = np.concatenate([[0], np.cumsum(self.size[rows])])
+        sums = np.concatenate([[0], np.cumsum(self.size[rows], dtype=np.int64)])
         return sums[first[1:]] - sums[first[:-1]]
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each text's first (one more than texts)."""
         rows, first = self.rows(data, offsets)
-        size = self.size[rows]
+        size = self.size[rows].astype(np.int64)
         sums = np.concatenate([[0], np.cumsum(size)])
         places = np.arange(sums[-1]) + np.repeat(self.at[rows] - sums[:-1], size)
         return self.pool[places], sums[first]
