@@ -83,11 +83,11 @@ def mixed(docs: DataFrame, share_percent: int = 150, most_epochs: int = 2, weigh
 def drawn(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it whole; rows of no words are taken by no mix and go.
 
-    A row is told by its hash over doc_id, source and text, so repeated rows are drawn alike.
+    A row is told by a 64-bit hash over doc_id, source and text and which of them are null, so repeated rows are drawn alike.
     """
     columns = docs.columns
     inner = [c if c in ("doc_id", "source", "text") else f"c{i}" for i, c in enumerate(columns)]  # no column of docs meets one of ours
-    name = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+    name = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("text"), F.lit("")), *[F.col(c).isNull() for c in ("doc_id", "source", "text")])
     marked = docs.toDF(*inner).withColumn("row", name)
     times = mixed(docs, whole=True, mark=name, **options).where("taken > 0").select(F.col("mark").alias("row"), F.floor(F.col("taken") / F.col("size")).cast("int").alias("times"))
     times = times.groupBy("row").agg(F.max("times").alias("times"))

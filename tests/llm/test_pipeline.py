@@ -44,6 +44,15 @@ def test_drawn_as_the_mix_says(spark):
     assert mixing.drawn(d).columns == d.columns
 
 
+def test_null_and_empty_keys_are_drawn_apart(spark):
+    rows = [(i, f"w{i} " * ((i or 0) % 9 + 1), "en", s, 1) for i in [*range(60), None] for s in (None, "", "a")]
+    d = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = collections.Counter((x.doc_id, x.source) for x in mixing.drawn(d).collect())
+    name = mixing.F.concat_ws("|", mixing.F.coalesce(mixing.F.col("doc_id").cast("string"), mixing.F.lit("none")), mixing.F.coalesce(mixing.F.concat(mixing.F.lit("s"), "source"), mixing.F.lit("none")))
+    want = {x.mark: x.taken // x.size for x in mixing.mixed(d, whole=True, mark=name).collect() if x.taken}
+    assert {f"{'none' if i is None else i}|{'none' if s is None else 's' + s}": n for (i, s), n in got.items()} == want
+
+
 def test_stages_keep_columns_of_any_name(spark):
     rows = [(i, f"word{i} " * (i % 7 + 1) + " ".join(f"w{k}" for k in range(20 if i % 2 else 3)), i) for i in range(30)]
     names = ["doc_id", "text", "tag", "positions", "whole", "row", "times", "k", "source", "c0", "__row", "mark", "size"]
