@@ -13,7 +13,7 @@ from geoquilt.plans import engine, optimize
 from geoquilt.sources import points as sources
 from geoquilt.sources import sinks
 
-MATERN, POWER, NUGGET = kernels.FAMILIES
+MATERN, POWER, NUGGET, _ = kernels.FAMILIES
 P6 = [(0, 0.10, 0.20, 0.5), (1, 0.40, 0.25, -0.3), (2, 0.35, 0.70, 1.1), (3, 0.80, 0.60, 0.2), (4, 0.55, 0.90, -0.7), (5, 0.90, 0.15, 0.4)]
 
 
