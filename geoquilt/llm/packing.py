@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import lean, runs, text_buffers, written
+from .shared import arrow_rows, lean, runs, text_buffers, written
 
 
 @lru_cache(maxsize=2)
@@ -214,7 +214,8 @@ def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     Each sequence holds its pieces gapless from offset 0. An empty table gives no rows; repeated rows are packed each;
     null ids stay null; other columns are not read.
     """
-    cut = written(pieces(docs, tokenizer_path, capacity, end_id, with_ids, fine_units).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    with arrow_rows(docs.sparkSession, 1000):  # whole texts: 10,000 a batch take several times their bytes
+        cut = written(pieces(docs, tokenizer_path, capacity, end_id, with_ids, fine_units).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     places = pack(cut.select("uid", "length"), capacity, **search)
     out = cut.join(places, "uid").drop("uid")
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)
