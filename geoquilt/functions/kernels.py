@@ -38,6 +38,7 @@ class Kernel:
     sql: Callable[[str, Theta], str]
     parameters: tuple[str, ...]
     nugget: bool = False
+    unit: float = 1.0  # what distances are divided by
 
     def marginal(self, t: Theta) -> float:
         return t.sigma2 + (t.nugget if self.nugget and t.nugget > 0 else 0.0)
@@ -63,7 +64,7 @@ def _power(name: str, earth: bool, nugget: bool, scale: float = EARTH_SCALE_KM)
         value = f"{t.sigma2!r} * exp(-pow(({d}) / {unit!r}::DOUBLE, {t.nu!r}::DOUBLE) / {t.range!r}::DOUBLE)"
         return f"(CASE WHEN ({d}) = 0 THEN {t.sigma2 + t.nugget!r} ELSE {value} END)" if nugget else f"({value})"
 
-    return Kernel(name, "earth" if earth else "euclidean", column, array, sql, ("sigma2", "range", "nu", "nugget")[: 3 + nugget], nugget)
+    return Kernel(name, "earth" if earth else "euclidean", column, array, sql, ("sigma2", "range", "nu", "nugget")[: 3 + nugget], nugget, unit)
 
 
 KERNELS = {

@@ -82,8 +82,9 @@ def block_term(kernel: Kernel, theta: Theta, x: np.ndarray, y: np.ndarray, z: np
     return {"quad": quad, "logdet": logdet, "ll": ll, "status": "ok" if good[0] else "singular"}
 
 
-def _chunks(batch: pa.RecordBatch, m: int):
-    step = max(1, _TILE_BYTES // (8 * m * m))
+def _chunks(batch: pa.RecordBatch, m: int, stacks: int = 1):
+    """A batch's points in parts whose tiles, so many stacks of them, take _TILE_BYTES at most (one point at least)."""
+    step = max(1, _TILE_BYTES // (8 * m * m * stacks))
     for low in range(0, batch.num_rows, step):
         part = batch.slice(low, step)
         yield np.asarray(part.column(0)), *(np.asarray(part.column(i), np.float64) for i in (1, 2, 3)), *(_stack(part.column(i), m) for i in (4, 5, 6))

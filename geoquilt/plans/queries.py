@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from ..operators.cells import knn_cells
 from ..operators.ordering import ordered
 from ..sources import points as sources
 from ..sources.work import work_folder
-from . import engine
+from . import engine, scoring
 
 THETA = Theta(1.5, 0.1, 0.5, 0.2)
 #: For smooth kernels with many neighbours, whose tiles are all but singular at a longer range.
@@ -334,24 +335,103 @@ _CLOSE = [(2.0 ** (i / 4), 2.0 ** (j / 4)) for i in range(-4, 5) for j in range(
 def mle_refined(spark, sf_dir):
     """The likelihood's maximum over two grids, the second about the first one's best, and whether the fit is as high."""
     plan = _plan(spark, sf_dir, "matern12", 1)
-    best = lambda grid: max(zip(plan.loglik_many([Theta(s, b, 0.5) for s, b in grid]), grid))
-    _, (s, b) = best(_WIDE)
-    value, (s, b) = best([(s * f, b * g) for f, g in _CLOSE])
+    value, theta = _best_on_grids(plan)
     fitted = engine.fit(plan, engine.GPConfig(MATERN, (1.0, 0.1, 0.5), 1, lower=(0.1, 0.001, 0.5), upper=(40.0, 4.0, 0.5), tol=1e-8))
-    rows = [(s, b, value, fitted.loglik >= value - 1e-6 * abs(value))]
+    rows = [(theta.sigma2, theta.range, value, fitted.loglik >= value - 1e-6 * abs(value))]
     return spark.createDataFrame(rows, "sigma2 double, range double, loglik double, fit_as_high boolean").select(_r("sigma2").alias("sigma2"), _r("range", 9).alias("range"), _r("loglik", 3).alias("loglik"), "fit_as_high")
 
 
-def _mle_refined_sql() -> str:
-    """Closed form of one neighbour, over a table of parameters."""
+def _grids_sql() -> str:
+    """Closed form of one neighbour, over a table of parameters: w(z, z1, d) and the best row of each grid, wide and close(s, b, ll)."""
     table = lambda grid: "(VALUES " + ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE)" for a, b in grid) + ")"
     sums = lambda grid: f"""SELECT s, b, sum(ll) AS ll FROM (
     SELECT s, b, -0.5 * ((z - c / s * z1) * (z - c / s * z1) / (s - c / s * c) + ln(s - c / s * c) + ln(2 * pi())) AS ll FROM (SELECT s, b, z, z1, s * exp(-(d / b)) AS c FROM w, {grid})
     UNION ALL SELECT s, b, -0.5 * (ln(s) + z * z / s + ln(2 * pi())) FROM ranked, {grid} WHERE rank = 0) GROUP BY s, b ORDER BY ll DESC LIMIT 1"""
     return f"""WITH {_SITES}, {_MORTON}, {_knn_sql(1, _euclid)},
 w AS (SELECT t.z, n.z AS z1, {_euclid('t', 'n')} AS d FROM edges e JOIN ranked t ON t.rank = e.rank JOIN ranked n ON n.rank = e.nrank),
-wide AS ({sums(f'(SELECT s, b FROM {table(_WIDE)} v(s, b))')}), close AS ({sums(f'(SELECT wide.s * f AS s, wide.b * g AS b FROM wide, {table(_CLOSE)} v(f, g))')})
-SELECT round(s, 6) AS sigma2, round(b, 9) AS range, round(ll, 3) AS loglik, true AS fit_as_high FROM close"""
+wide AS ({sums(f'(SELECT s, b FROM {table(_WIDE)} v(s, b))')}), close AS ({sums(f'(SELECT wide.s * f AS s, wide.b * g AS b FROM wide, {table(_CLOSE)} v(f, g))')})"""
+
+
+def _mle_refined_sql() -> str:
+    return _grids_sql() + " SELECT round(s, 6) AS sigma2, round(b, 9) AS range, round(ll, 3) AS loglik, true AS fit_as_high FROM close"
+
+
+def _gradient(kernel: str, m: int):
+    """The likelihood's gradient by each free parameter, as leading digits."""
+
+    def query(spark, sf_dir):
+        at = scoring.information(_plan(spark, sf_dir, kernel, m))
+        rows = spark.createDataFrame([(p, float(g)) for p, g in zip(at.names, at.gradient)], "parameter string, gradient double")
+        return rows.select("parameter", *_digits("gradient", 5))
+
+    return query
+
+
+def _gradient_sql(kernel: str, m: int, names: tuple[str, ...]) -> str:
+    """Five-point differences of the likelihood by elimination; the points' neighbours do not depend on the parameters."""
+    theta = _config(kernel, m).theta
+
+    def at(p: str, by: float) -> str:
+        moved = replace(theta, **{p: getattr(theta, p) * (1 + by)})
+        return "(SELECT l FROM (" + _elimination_sql(kernel, m, theta=moved, tail=f"SELECT sum(-0.5 * (ln(d) + u * u / d + ln(2 * pi()))) AS l FROM pivots WHERE t = -1 OR i = {m} + 1") + "))"
+
+    h = 1e-3
+    rows = [f"SELECT '{p}' AS parameter, ({at(p, -2 * h)} - 8 * {at(p, -h)} + 8 * {at(p, h)} - {at(p, 2 * h)}) / {12 * h * getattr(theta, p)!r}::DOUBLE AS gradient" for p in names]
+    return f"SELECT parameter, {_digits_sql('gradient', 5)} FROM ({' UNION ALL '.join(rows)})"
+
+
+def information_m1(spark, sf_dir):
+    """Observed and expected information at THETA, an entry for each pair of parameters."""
+    at = scoring.information(_plan(spark, sf_dir, "matern12", 1))
+    rows = [(at.names[i], at.names[j], float(at.observed[i, j]), float(at.expected[i, j])) for i in range(2) for j in range(i, 2)]
+    return spark.createDataFrame(rows, "p string, q string, observed double, expected double").select("p", "q", *_digits("observed"), *_digits("expected"))
+
+
+#: Of one neighbour under matern12, from w(z, z1, d) and one row here(s, b): with r = exp(-d / b), g = 1 - r**2 and h = (z - r z1)**2 / g
+#: a term is -(ln s + ln g + h / s + ln 2 pi) / 2. Gives info(oss, osb, obb, ess, esb, ebb), the first site's term included.
+_INFO_M1 = """e0 AS (SELECT s, b, z, z1, d, exp(-(d / b)) AS r FROM w, here),
+e1 AS (SELECT *, r * d / (b * b) AS r1, r * (d * d / (b * b * b * b) - 2 * d / (b * b * b)) AS r2, 1 - r * r AS g, z - r * z1 AS e FROM e0),
+e2 AS (SELECT *, -2 * r * r1 AS g1, -2 * (r1 * r1 + r * r2) AS g2, -r1 * z1 AS f1, -r2 * z1 AS f2 FROM e1),
+e3 AS (SELECT *, e * e / g AS h, 2 * e * f1 / g - e * e * g1 / (g * g) AS h1,
+  2 * (f1 * f1 + e * f2) / g - 4 * e * f1 * g1 / (g * g) - e * e * g2 / (g * g) + 2 * e * e * g1 * g1 / (g * g * g) AS h2 FROM e2),
+info AS (SELECT sum(oss) AS oss, sum(osb) AS osb, sum(obb) AS obb, sum(ess) AS ess, sum(esb) AS esb, sum(ebb) AS ebb FROM (
+  SELECT 0.5 * (2 * h / (s * s * s) - 1 / (s * s)) AS oss, -0.5 * h1 / (s * s) AS osb, 0.5 * (g2 / g - g1 * g1 / (g * g) + h2 / s) AS obb,
+    0.5 / (s * s) AS ess, 0.5 * g1 / (s * g) AS esb, 0.5 * g1 * g1 / (g * g) + r1 * r1 / g AS ebb FROM e3
+  UNION ALL SELECT 0.5 * (2 * z * z / (s * s * s) - 1 / (s * s)), 0, 0, 0.5 / (s * s), 0, 0 FROM ranked, here WHERE rank = 0))"""
+
+
+def _information_sql() -> str:
+    rows = [f"SELECT '{p}' AS p, '{q}' AS q, o{k} AS observed, e{k} AS expected FROM info" for p, q, k in (("sigma2", "sigma2", "ss"), ("sigma2", "range", "sb"), ("range", "range", "bb"))]
+    return f"""WITH {_SITES}, {_MORTON}, {_knn_sql(1, _euclid)},
+w AS (SELECT t.z, n.z AS z1, {_euclid('t', 'n')} AS d FROM edges e JOIN ranked t ON t.rank = e.rank JOIN ranked n ON n.rank = e.nrank),
+here AS (SELECT {THETA.sigma2!r}::DOUBLE AS s, {THETA.range!r}::DOUBLE AS b), {_INFO_M1}
+SELECT p, q, {_digits_sql('observed')}, {_digits_sql('expected')} FROM ({' UNION ALL '.join(rows)})"""
+
+
+def _best_on_grids(plan: engine.Plan) -> tuple[float, Theta]:
+    best = lambda grid: max(zip(plan.loglik_many([Theta(s, b, 0.5) for s, b in grid]), grid))
+    _, (s, b) = best(_WIDE)
+    value, (s, b) = best([(s * f, b * g) for f, g in _CLOSE])
+    return value, Theta(s, b, 0.5)
+
+
+def fit_errors(spark, sf_dir):
+    """Standard errors at the best parameters of two grids (mle_refined), and whether a fit by Fisher scoring is as high."""
+    plan = _plan(spark, sf_dir, "matern12", 1)
+    value, theta = _best_on_grids(plan)
+    at = scoring.information(plan, theta)
+    fitted = scoring.fit_scoring(plan, engine.GPConfig(MATERN, (1.0, 0.1, 0.5), 1, lower=(0.1, 0.001, 0.5), upper=(40.0, 4.0, 0.5), tol=1e-10, maxiter=60))
+    rows = [(p, *map(float, x), fitted.loglik >= value - 1e-6 * abs(value)) for p, *x in zip(at.names, theta.values(at.names), at.errors("observed"), at.errors("expected"))]
+    shaped = spark.createDataFrame(rows, "parameter string, estimate double, observed_error double, expected_error double, scoring_as_high boolean")
+    return shaped.select("parameter", *_digits("estimate"), *_digits("observed_error", 5), *_digits("expected_error", 5), "scoring_as_high")
+
+
+def _fit_errors_sql() -> str:
+    """Inverses of two-by-two informations, by their determinants."""
+    error = lambda k, over: f"sqrt({k}{over} / ({k}ss * {k}bb - {k}sb * {k}sb))"
+    rows = [f"SELECT '{p}' AS parameter, {v} AS estimate, {error('o', over)} AS observed_error, {error('e', over)} AS expected_error FROM info, here" for p, v, over in (("sigma2", "s", "bb"), ("range", "b", "ss"))]
+    return f"""{_grids_sql()}, here AS (SELECT s, b FROM close), {_INFO_M1}
+SELECT parameter, {_digits_sql('estimate')}, {_digits_sql('observed_error', 5)}, {_digits_sql('expected_error', 5)}, true AS scoring_as_high FROM ({' UNION ALL '.join(rows)})"""
 
 
 def fit_smoothness(spark, sf_dir):
@@ -494,7 +574,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "terms_m1_matern52_far": _terms("matern52", 1), "terms_m2_matern52_far": _terms("matern52", 2), "terms_m10_matern52_far": _terms("matern52", 10, digits=3),
     "terms_seq_m10": _terms("matern32", 10, "sequential"), "terms_m30_matern52": _terms("matern52", 30, "knn", SHORT),
     "loglik_m1": _loglik(1), "loglik_m2": _loglik(2), "loglik_seq_m2": _loglik(2, "sequential"), "loglik_m30": _loglik(30, "knn"), "loglik_exact": loglik_exact,
-    "kl_divergence": kl_divergence, "theta_grid": theta_grid, "mle_grid": mle_grid, "mle_refined": mle_refined, "fit_smoothness": fit_smoothness, "mle_fit": mle_fit, "opt_trace": opt_trace, "perf_log": perf_log,
+    "kl_divergence": kl_divergence, "theta_grid": theta_grid, "mle_grid": mle_grid, "mle_refined": mle_refined, "gradient_m10_matern32": _gradient("matern32", 10), "gradient_m2_powexp_nugget": _gradient("powexp_nugget", 2), "information_m1": information_m1, "fit_errors": fit_errors, "fit_smoothness": fit_smoothness, "mle_fit": mle_fit, "opt_trace": opt_trace, "perf_log": perf_log,
     "flops_model": flops_model, "flops_all": flops_all, "csv_roundtrip": csv_roundtrip, "event_sites": event_sites, "loglik_events": loglik_events,
 }
 
@@ -524,7 +604,8 @@ ORACLES: dict[str, str] = {
     "terms_seq_m10": _elimination_sql("matern32", 10, "sequential"), "terms_m30_matern52": _elimination_sql("matern52", 30, theta=SHORT),
     "loglik_m30": _elimination_sql("matern12", 30, tail=_PIVOTS_SUM.format(m=30)), "loglik_exact": _elimination_sql("matern12", _EVERY, tail=_PIVOTS_SUM.format(m=_EVERY), head=_ALL), "kl_divergence": _kl_sql(),
     "loglik_m1": _terms_sql("matern12", 1, tail=_SUM), "loglik_m2": _terms_sql("matern12", 2, tail=_SUM), "loglik_seq_m2": _terms_sql("matern12", 2, "sequential", tail=_SUM),
-    "theta_grid": _theta_grid_sql(), "mle_refined": _mle_refined_sql(), "mle_grid": f"SELECT * FROM ({_theta_grid_sql()}) ORDER BY loglik DESC, theta_id LIMIT 1",
+    "theta_grid": _theta_grid_sql(), "mle_refined": _mle_refined_sql(), "gradient_m10_matern32": _gradient_sql("matern32", 10, ("sigma2", "range")), "gradient_m2_powexp_nugget": _gradient_sql("powexp_nugget", 2, ("sigma2", "range", "nu", "nugget")),
+    "information_m1": _information_sql(), "fit_errors": _fit_errors_sql(), "mle_grid": f"SELECT * FROM ({_theta_grid_sql()}) ORDER BY loglik DESC, theta_id LIMIT 1",
     "flops_model": _FLOPS_SQL, "flops_all": _flops_all_sql(),
     "csv_roundtrip": f"WITH {_SITES} SELECT round(x, 9) + 0.0::DOUBLE AS x, round(y, 9) + 0.0::DOUBLE AS y, round(z, 9) + 0.0::DOUBLE AS z FROM sites",
     "event_sites": _EVENTS_SQL, "loglik_events": _loglik_events_sql(),
