@@ -24,7 +24,7 @@ _STEP = 4  # levels that one pass over the points makes
 def _axes(metric: str) -> list[Column]:
     """Coordinates in which nearness is Euclidean: great-circle distances grow with chords on the unit sphere."""
     if metric != "earth":
-        return [F.col("x"), F.col("y")]
+        return [F.col(c) for c in ("xyt" if metric == "spacetime" else "xy")]
     lat, lon = deg2rad(F.col("x")), deg2rad(F.col("y"))
     return [F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)]
 
@@ -32,10 +32,12 @@ def _axes(metric: str) -> list[Column]:
 class _Grid:
     """Names of a cell and its parents: a level and one long that packs its numbers along the axes."""
 
-    def __init__(self, dims: int):
-        self.dims, self.bits = dims, 26 if dims == 2 else 20
-        self.a = [f"a{i}" for i in range(dims)]
-        self.q = [f"q{i}" for i in range(dims)]
+    def __init__(self, metric: str):
+        self.timed = metric == "spacetime"
+        self.dims = 2 if metric == "euclidean" else 3
+        self.bits = 26 if self.dims == 2 else 20
+        self.a = [f"a{i}" for i in range(self.dims)]
+        self.q = [f"q{i}" for i in range(self.dims)]
 
     def cell(self, level: Column) -> Column:
         """Of a point, at a level."""
@@ -61,7 +63,7 @@ def _tree(candidates: DataFrame, grid: _Grid, m: int, most: int) -> tuple[DataFr
     active, nodes, heads, placed = candidates, None, None, None
     base, deepest = 0, 0
     box = [f(c).alias(k + c[1:]) for c in grid.a for k, f in (("lo", F.min), ("hi", F.max))]
-    same = (F.min("x") == F.max("x")) & (F.min("y") == F.max("y"))
+    same = reduce(Column.__and__, [F.min(c) == F.max(c) for c in ("x", "y", *grid.a[2:] * grid.timed)])
     join = lambda one, two: two if one is None else one.union(two)
     while True:
         levels = list(range(base, min(base + _STEP, grid.bits + 1)))
@@ -99,17 +101,18 @@ def _kept(pairs: DataFrame, m: int) -> DataFrame:
 
 
 def knn_cells(points: DataFrame, m: int, metric: str = "euclidean", n: int | None = None, tally: dict | None = None) -> DataFrame:
-    """edges (rank, k, nrank, dist), exact, ties to the smaller rank; ranks are 0 to n - 1.
+    """edges (rank, k, nrank, dist), exact, ties to the smaller rank; ranks are 0 to n - 1. metric: euclidean, earth, or
+    spacetime, which is Euclidean over x, y and a third column t, in units that the caller chose.
 
     Cells hold 2 m points at most, or more that lie on one spot (of which the m of lowest rank are all that can be
     neighbours) or within 2**-26 of the extent of each other. Null, NaN or infinite coordinates raise ValueError. tally, if
     given, gets the pairs of targets and candidates that were compared.
     """
     spark = points.sparkSession
-    grid = _Grid(3 if metric == "earth" else 2)
+    grid = _Grid(metric)
     axes = _axes(metric)
     span = [f(a).alias(f"{k}{i}") for i, a in enumerate(axes) for k, f in (("lo", F.min), ("hi", F.max))]
-    finite = F.coalesce(F.abs("x") + F.abs("y") < float("inf"), F.lit(False))
+    finite = F.coalesce(sum(F.abs(c) for c in ("xyt" if grid.timed else "xy")) < float("inf"), F.lit(False))
     about = points.agg(F.count("*").alias("n"), F.count_if(~finite).alias("odd"), *span).first()
     if about["odd"]:
         raise ValueError(f"{about['odd']} points have no finite coordinates")
@@ -176,9 +179,10 @@ def knn_cells(points: DataFrame, m: int, metric: str = "euclidean", n: int | Non
     # and of the points in them
     some = targets.select(*key, "rank", "x", "y", "reach", *grid.a).join(pairs, key)
     some = some.where((grid.apart("a{}", "a{}", "c_lo{}", "c_hi{}") <= F.col("reach") * F.col("reach")) & (F.col("c_first") < F.col("rank")))
-    some = some.select("block", F.col("c_level").alias("level"), F.col("c_cell").alias("cell"), "rank", "x", "y")
-    both = some.join(within.select(*key, "nrank", "cx", "cy"), key).where(F.col("nrank") < F.col("rank"))
+    some = some.select("block", F.col("c_level").alias("level"), F.col("c_cell").alias("cell"), "rank", "x", "y", *grid.a * grid.timed)
+    both = some.join(within.select(*key, "nrank", "cx", "cy", *["b" + c[1:] for c in grid.a] * grid.timed), key).where(F.col("nrank") < F.col("rank"))
     if tally is not None:
         tally["pairs"] = tally.get("pairs", 0) + both.count()
-    both = both.select("rank", "nrank", distance(metric, F.col("x"), F.col("y"), F.col("cx"), F.col("cy")).alias("dist"))
+    far = _far(grid) if grid.timed else distance(metric, F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
+    both = both.select("rank", "nrank", far.alias("dist"))
     return cut(_kept(both, m).select("rank", "k", "nrank", "dist"))

@@ -244,6 +244,16 @@ block AS (SELECT -0.5 * (ln({v} * {v} - k * k) + ({v} * z1 * z1 - 2 * k * z1 * z
     return f"WITH {head}, {body} " + (tail or _TERMS_OUT)
 
 
+#: From cells(t, i, z, j, c), each point's covariances, to the pivots of their rows: d, and u, the observation less its mean given the rows before.
+ELIMINATE = """lines AS (SELECT t, i, any_value(z) AS z, list_append(list(c ORDER BY j), any_value(z)) AS r FROM cells GROUP BY t, i),
+step(p, t, i, z, r) AS (
+  SELECT 1, t, i, z, r FROM lines
+  UNION ALL
+  SELECT s.p + 1, s.t, s.i, s.z, list_transform(s.r, lambda x, n: x - s.r[s.p] / k.r[s.p] * k.r[n]) FROM step s JOIN step k ON k.t = s.t AND k.i = s.p AND k.p = s.p WHERE s.i > s.p
+),
+pivots AS (SELECT t, i, z, r[i] AS d, r[len(r)] AS u FROM step WHERE p = i),"""
+
+
 def _elimination_sql(kernel: str, m: int | str, how: str = "knn", tail: str = _TERMS_OUT, head: str | None = None, theta: Theta = THETA) -> str:
     """Any m: rows of each point's covariances, with its neighbours' before it and the observation behind them, are
     eliminated pivot by pivot. A last row then holds the conditional variance and the observation less the conditional
@@ -257,13 +267,7 @@ near AS (SELECT e.rank AS t, e.k AS i, n.x, n.y, n.z FROM edges e JOIN ranked n
   UNION ALL SELECT rank, {m} + 1, x, y, z FROM ranked WHERE rank >= {m}
   UNION ALL SELECT -1, rank + 1, x, y, z FROM ranked WHERE rank < {m}),
 cells AS (SELECT a.t, a.i, a.z, b.i AS j, CASE WHEN a.i = b.i THEN {v} ELSE {k.sql(d('a', 'b'), theta)} END AS c FROM near a JOIN near b ON a.t = b.t),
-lines AS (SELECT t, i, any_value(z) AS z, list_append(list(c ORDER BY j), any_value(z)) AS r FROM cells GROUP BY t, i),
-step(p, t, i, z, r) AS (
-  SELECT 1, t, i, z, r FROM lines
-  UNION ALL
-  SELECT s.p + 1, s.t, s.i, s.z, list_transform(s.r, lambda x, n: x - s.r[s.p] / k.r[s.p] * k.r[n]) FROM step s JOIN step k ON k.t = s.t AND k.i = s.p AND k.p = s.p WHERE s.i > s.p
-),
-pivots AS (SELECT t, i, z, r[i] AS d, r[len(r)] AS u FROM step WHERE p = i),
+{ELIMINATE}
 terms AS (SELECT t AS rank, z - u AS mu, d AS var, u * u / d AS quad, ln(d) AS logdet, -0.5 * (u * u / d + ln(d) + ln(2 * pi())) AS ll FROM pivots WHERE t >= 0 AND i = {m} + 1)
 {tail}"""
 
