@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.models import Multivariate, NonStationary, SpaceTime
+from ..functions.tukey import Tukey
+from . import queries
 from .modelled import ModelPlan, prepare
 from .queries import _MORTON, ELIMINATE, _digits, _digits_sql, _euclid, _knn_sql, _r
+from .transformed import loglik_transformed
 
 #: Smoothnesses whose means have closed forms, so that SQL can check them.
 TWO = Multivariate((1.5, 0.8), 0.1, (0.5, 2.5), ((1.0, 0.5), (0.5, 1.0)), 0.05)
@@ -16,6 +19,8 @@ EVENTS = SpaceTime(1.5, 0.2, 0.5, 0.05, 0.8, 0.6, 0.1)
 #: Time by this is as far as space by 1.
 TIME_SCALE = 3.0
 LOCAL = NonStationary(1.5, 0.05)
+#: The first changes nothing: its row is that of loglik_m2.
+BENT = [Tukey(), Tukey(0.1, 2.0, 0.3), Tukey(0.1, 2.0, 0.0, 0.15), Tukey(0.0, 1.5, -0.2, 0.1)]
 
 
 def vector_sites(vectors: DataFrame, variables: int) -> DataFrame:
@@ -92,12 +97,36 @@ def _vectors_sql(model, m: int, tail: str) -> str:
     return _eliminated(model, m, f"{_sites_sql(model.variables)}, {_MORTON}, {_knn_sql(m, _euclid)}", tail)
 
 
+def loglik_tukey_m2(spark, sf_dir):
+    """The likelihood of the sites' observations as g-and-h transforms of a Gaussian field, for several g and h in one pass."""
+    values = loglik_transformed(queries._plan(spark, sf_dir, "matern12", 2), [(queries.THETA, t) for t in BENT])
+    return spark.createDataFrame([(t.g, t.h, v) for t, v in zip(BENT, values)], "g double, h double, loglik double").withColumn("loglik", _r("loglik", 4))
+
+
+def _tukey_sql() -> str:
+    """Each value is inverted by halving an interval 64 times; then as for Gaussian values, less the logs of the slopes."""
+    rows = []
+    for t in BENT:
+        bend = lambda u: f"({f'(exp({t.g!r}::DOUBLE * {u}) - 1) / {t.g!r}::DOUBLE' if t.g else u}) * exp({t.h!r}::DOUBLE * {u} * {u} / 2)"  # noqa: E731, B023
+        head = f"""raw AS (SELECT * FROM ({{sites}})),
+halved(p, id, w, low, high) AS (SELECT 0, id, (z - {t.xi!r}::DOUBLE) / {t.omega!r}::DOUBLE, -32.0::DOUBLE, 32.0::DOUBLE FROM raw
+  UNION ALL SELECT p + 1, id, w, CASE WHEN {bend('((low + high) / 2)')} < w THEN (low + high) / 2 ELSE low END, CASE WHEN {bend('((low + high) / 2)')} < w THEN high ELSE (low + high) / 2 END FROM halved WHERE p < 64),
+sites AS (SELECT raw.id, x, y, (low + high) / 2 AS z FROM raw JOIN halved ON halved.id = raw.id AND p = 64)"""
+        head = head.format(sites=queries._SITES.removeprefix("sites AS (").removesuffix(")"))
+        slope = f"ln({t.omega!r}::DOUBLE * (exp({t.g!r}::DOUBLE * z + {t.h!r}::DOUBLE * z * z / 2) + {t.h!r}::DOUBLE * z * {bend('z')}))"
+        tail = f"SELECT {t.g!r}::DOUBLE AS g, {t.h!r}::DOUBLE AS h, round((SELECT sum(-0.5 * (ln(d) + u * u / d + ln(2 * pi()))) FROM pivots WHERE t = -1 OR i = 3) - (SELECT sum({slope}) FROM sites), 4) + 0.0::DOUBLE AS loglik"
+        rows.append("SELECT * FROM (" + queries._elimination_sql("matern12", 2, head=f"{head}, {_MORTON}, {_knn_sql(2, _euclid)}", tail=tail) + ")")
+    return " UNION ALL ".join(rows)
+
+
 QUERIES = {
     "terms_bivariate_m2": _terms(TWO, 2), "loglik_bivariate_m10": _loglik(TWO, 10), "terms_trivariate_m2": _terms(THREE, 2),
     "terms_nonstationary_m2": _terms(LOCAL, 2), "loglik_nonstationary_m10": _loglik(LOCAL, 10), "loglik_spacetime": loglik_spacetime,
+    "loglik_tukey_m2": loglik_tukey_m2,
 }
 
 ORACLES = {
     "terms_bivariate_m2": _vectors_sql(TWO, 2, _TERMS_OUT), "loglik_bivariate_m10": _vectors_sql(TWO, 10, _SUM_OUT), "terms_trivariate_m2": _vectors_sql(THREE, 2, _TERMS_OUT),
     "terms_nonstationary_m2": _vectors_sql(LOCAL, 2, _TERMS_OUT), "loglik_nonstationary_m10": _vectors_sql(LOCAL, 10, _SUM_OUT), "loglik_spacetime": _loglik_spacetime_sql(),
+    "loglik_tukey_m2": _tukey_sql(),
 }
