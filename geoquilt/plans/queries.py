@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns, flops
 from ..functions.kernels import FAMILIES, KERNELS, MATERN_ANY, Theta
-from ..operators import neighbors
+from ..operators import mixed, neighbors
 from ..operators.cells import knn_cells
 from ..operators.ordering import ordered
 from ..sources import points as sources
@@ -214,6 +214,17 @@ def _terms(kernel: str, m: int, how: str = "knn_grid", theta: Theta = THETA, dig
     return query
 
 
+def _mixed(kernel: str, m: int, theta: Theta = THETA, digits: int = 6):
+    """_terms with single-precision factors, refined."""
+
+    def query(spark, sf_dir):
+        plan = _plan(spark, sf_dir, kernel, m, "knn", theta)
+        rows = mixed.terms(plan.neighbors, plan.m, plan.config.covariance(), plan.config.theta)
+        return rows.select("rank", *[_r(c, digits - 1).alias(c) for c in ("mu", "var")], *[x for c in ("quad", "logdet", "ll") for x in _digits(c, digits)], "status")
+
+    return query
+
+
 def _terms_out(digits: int = 6) -> str:
     return f"SELECT rank, round(mu, {digits - 1}) + 0.0::DOUBLE AS mu, round(var, {digits - 1}) + 0.0::DOUBLE AS var, " + ", ".join(_digits_sql(c, digits) for c in ("quad", "logdet", "ll")) + ", 'ok' AS status FROM terms"
 
@@ -576,7 +587,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seq_conditioning": seq_conditioning, "gathered_neighbors": gathered_neighbors, "first_block": first_block,
     **{f"terms_m{m}_{k}": _terms(k, m, theta=_gentle(k)) for m in (1, 2, 10) for k in KERNELS},
     "terms_m1_matern52_far": _terms("matern52", 1), "terms_m2_matern52_far": _terms("matern52", 2), "terms_m10_matern52_far": _terms("matern52", 10, digits=3),
-    "terms_seq_m10": _terms("matern32", 10, "sequential"), "terms_m30_matern52": _terms("matern52", 30, "knn", SHORT),
+    "terms_seq_m10": _terms("matern32", 10, "sequential"), "terms_m30_matern52": _terms("matern52", 30, "knn", SHORT), "terms_mixed_m30_matern12": _mixed("matern12", 30), "terms_mixed_m30_matern52": _mixed("matern52", 30, SHORT, 5),
     "loglik_m1": _loglik(1), "loglik_m2": _loglik(2), "loglik_seq_m2": _loglik(2, "sequential"), "loglik_m30": _loglik(30, "knn"), "loglik_exact": loglik_exact,
     "kl_divergence": kl_divergence, "theta_grid": theta_grid, "mle_grid": mle_grid, "mle_refined": mle_refined, "gradient_m10_matern32": _gradient("matern32", 10), "gradient_m2_powexp_nugget": _gradient("powexp_nugget", 2), "information_m1": information_m1, "fit_errors": fit_errors, "fit_smoothness": fit_smoothness, "mle_fit": mle_fit, "opt_trace": opt_trace, "perf_log": perf_log,
     "flops_model": flops_model, "flops_all": flops_all, "csv_roundtrip": csv_roundtrip, "event_sites": event_sites, "loglik_events": loglik_events,
@@ -605,7 +616,7 @@ ORACLES: dict[str, str] = {
     **{f"terms_m1_{k}": _terms_sql(k, 1, theta=_gentle(k)) for k in KERNELS},
     **{f"terms_m{m}_{k}": _elimination_sql(k, m, theta=_gentle(k)) for m in (2, 10) for k in KERNELS},
     "terms_m1_matern52_far": _terms_sql("matern52", 1), "terms_m2_matern52_far": _elimination_sql("matern52", 2), "terms_m10_matern52_far": _elimination_sql("matern52", 10, tail=_terms_out(3)),
-    "terms_seq_m10": _elimination_sql("matern32", 10, "sequential"), "terms_m30_matern52": _elimination_sql("matern52", 30, theta=SHORT),
+    "terms_seq_m10": _elimination_sql("matern32", 10, "sequential"), "terms_m30_matern52": _elimination_sql("matern52", 30, theta=SHORT), "terms_mixed_m30_matern12": _elimination_sql("matern12", 30), "terms_mixed_m30_matern52": _elimination_sql("matern52", 30, tail=_terms_out(5), theta=SHORT),
     "loglik_m30": _elimination_sql("matern12", 30, tail=_PIVOTS_SUM.format(m=30)), "loglik_exact": _elimination_sql("matern12", _EVERY, tail=_PIVOTS_SUM.format(m=_EVERY), head=_ALL), "kl_divergence": _kl_sql(),
     "loglik_m1": _terms_sql("matern12", 1, tail=_SUM), "loglik_m2": _terms_sql("matern12", 2, tail=_SUM), "loglik_seq_m2": _terms_sql("matern12", 2, "sequential", tail=_SUM),
     "theta_grid": _theta_grid_sql(), "mle_refined": _mle_refined_sql(), "gradient_m10_matern32": _gradient_sql("matern32", 10, ("sigma2", "range")), "gradient_m2_powexp_nugget": _gradient_sql("powexp_nugget", 2, ("sigma2", "range", "nu", "nugget")),
