@@ -4,7 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from geoquilt.plans.queries import ORACLES, QUERIES
+from geoquilt.plans import model_queries
+from geoquilt.plans import queries as plain
+
+QUERIES, ORACLES = plain.QUERIES | model_queries.QUERIES, plain.ORACLES | model_queries.ORACLES
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,7 +24,7 @@ def rows(table, names):
     return sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in table), key=str)
 
 
-@pytest.mark.parametrize("name", ["morton_order", "random_order", "dist_haversine", "cov_powexp_nugget_earth", "knn_grid", "seq_conditioning", "terms_m2_matern12", "loglik_seq_m2", "mle_grid", "flops_model", "csv_roundtrip"])
+@pytest.mark.parametrize("name", ["morton_order", "random_order", "dist_haversine", "cov_powexp_nugget_earth", "knn_grid", "seq_conditioning", "terms_m2_matern12", "loglik_seq_m2", "mle_grid", "flops_model", "csv_roundtrip", "gradient_m2_powexp_nugget", "information_m1", "fit_errors", "terms_bivariate_m2", "terms_nonstationary_m2", "loglik_spacetime", "loglik_tukey_m2", "terms_mixed_m30_matern12"])
 def test_query_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
     want = duck.execute(ORACLES[name])
