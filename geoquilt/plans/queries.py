@@ -431,19 +431,20 @@ def _best_on_grids(plan: engine.Plan) -> tuple[float, Theta]:
 
 
 def fit_errors(spark, sf_dir):
-    """Standard errors at the best parameters of two grids (mle_refined), and whether a fit by Fisher scoring is as high."""
+    """Standard errors at the best parameters of two grids (mle_refined), null where the information gives none, and
+    whether a fit by Fisher scoring is as high."""
     plan = _plan(spark, sf_dir, "matern12", 1)
     value, theta = _best_on_grids(plan)
     at = scoring.information(plan, theta)
     fitted = scoring.fit_scoring(plan, engine.GPConfig(MATERN, (1.0, 0.1, 0.5), 1, lower=(0.1, 0.001, 0.5), upper=(40.0, 4.0, 0.5), tol=1e-10, maxiter=60))
     rows = [(p, *map(float, x), fitted.loglik >= value - 1e-6 * abs(value)) for p, *x in zip(at.names, theta.values(at.names), at.errors("observed"), at.errors("expected"))]
-    shaped = spark.createDataFrame(rows, "parameter string, estimate double, observed_error double, expected_error double, scoring_as_high boolean")
+    shaped = spark.createDataFrame([tuple(None if x != x else x for x in row) for row in rows], "parameter string, estimate double, observed_error double, expected_error double, scoring_as_high boolean")
     return shaped.select("parameter", *_digits("estimate"), *_digits("observed_error", 5), *_digits("expected_error", 5), "scoring_as_high")
 
 
 def _fit_errors_sql() -> str:
     """Inverses of two-by-two informations, by their determinants."""
-    error = lambda k, over: f"sqrt({k}{over} / ({k}ss * {k}bb - {k}sb * {k}sb))"
+    error = lambda k, over: f"CASE WHEN {k}{over} / ({k}ss * {k}bb - {k}sb * {k}sb) > 0 THEN sqrt({k}{over} / ({k}ss * {k}bb - {k}sb * {k}sb)) END"
     rows = [f"SELECT '{p}' AS parameter, {v} AS estimate, {error('o', over)} AS observed_error, {error('e', over)} AS expected_error FROM info, here" for p, v, over in (("sigma2", "s", "bb"), ("range", "b", "ss"))]
     return f"""{_grids_sql()}, here AS (SELECT s, b FROM close), {_INFO_M1}
 SELECT parameter, {_digits_sql('estimate')}, {_digits_sql('observed_error', 5)}, {_digits_sql('expected_error', 5)}, true AS scoring_as_high FROM ({' UNION ALL '.join(rows)})"""
