@@ -53,14 +53,27 @@ class Tables:
         self.held = []
 
 
-def most_partitions(spark: SparkSession, per_core: int = 2) -> int:
-    return per_core * spark.sparkContext.defaultParallelism
+_PART_BYTES = 128 << 20
+
+
+def bytes_read(df: DataFrame) -> int | None:
+    """Bytes of the stored tables that df reads, as Spark's statistics have them; None where one is of unknown size."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(x >= 1 << 62 for x in sizes) else sum(sizes)
+
+
+def most_partitions(df: DataFrame, per_core: int = 2) -> int | None:
+    """Partitions that df needs at most: one for each 128 MB that it reads, and so many a core at least; None if unknown."""
+    size = bytes_read(df)
+    return None if size is None else max(per_core * df.sparkSession.sparkContext.defaultParallelism, -(-size // _PART_BYTES))
 
 
 def few_files(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """df in so many partitions a core at most: on some file systems each file costs a process. Parts that meet in one task
-    follow each other there, so none needs more memory."""
-    return df.coalesce(most_partitions(df.sparkSession, per_core))
+    """df in most_partitions() partitions, as on some file systems each file costs a process. A task's share of the input
+    stays about 128 MB however much there is. Parts that meet in one task follow each other there, so none needs more memory."""
+    most = most_partitions(df, per_core)
+    return df if most is None else df.coalesce(min(most, (1 << 31) - 1))
 
 
 @contextmanager

@@ -1,7 +1,7 @@
 """Fixed-size count-min sketches of hashes, with counters that saturate at two, merged over partitions.
 
 A sketch has `rows` rows of 2**bits counters. A counter is two bits in two bitmaps: seen once, seen again. A partition
-builds its own, sends the slices it touched (compressed), and slices merge in one step or two: once = or,
+builds its own, sends the slices it touched (compressed), and slices merge in steps: once = or,
 again = or of again's and of what both have once. The estimate never falls below the true count, so a hash that two
 documents hold always passes `maybe_repeated`.
 """
@@ -23,7 +23,6 @@ from .textscan import mix
 
 _SLICE = 20
 _AT_ONCE = 64
-_GROUPS = 16
 _FEW = 1 << 22  # hashes that a partition holds as they are
 _CHUNK = 1 << 20
 _BITS = np.left_shift(1, np.arange(7, -1, -1)).astype(np.uint8)
@@ -124,7 +123,8 @@ def merged(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
     """The sketch of all hashes that `hashes` yields from the batches of df; each document must give each hash once.
 
     The driver gets rows * 2**bits / 8 bytes at most, whatever the input's size. least=2 keeps counters of two and more,
-    least=1 all that were touched (a Bloom filter). df is read in per_core partitions a core.
+    least=1 all that were touched (a Bloom filter). df is read in per_core partitions a
+    core, or in as many as keep a task's share near 128 MB if that is more.
     """
 
     def build(batches):
@@ -145,8 +145,10 @@ def merged(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
 
     schema = "part int, slice int, once binary, again binary"
     slices = few_files(df, per_core).mapInArrow(lean(build), schema)
-    if most_partitions(df.sparkSession, per_core) > _AT_ONCE:  # in steps, as each slice comes from every partition
-        slices = slices.withColumn("part", (F.col("part") % _GROUPS).cast("int")).groupBy("slice", "part").applyInPandas(merge, schema)
+    parts = most_partitions(df, per_core) or _AT_ONCE**2
+    while parts > _AT_ONCE:  # each slice comes from every partition: they meet in steps, about _AT_ONCE to a group
+        parts = -(-parts // _AT_ONCE)
+        slices = slices.withColumn("part", (F.col("part") % parts).cast("int")).groupBy("slice", "part").applyInPandas(merge, schema)
     slices = slices.groupBy("slice").applyInPandas(merge, schema)
     width = min(_SLICE, bits)
     maps = [np.zeros(max(1, 1 << (bits - 3)), np.uint8) for _ in range(rows)]

@@ -102,3 +102,33 @@ def test_a_worker_gives_memory_back_after_a_task():
     assert shared.lean(iter).__wrapped__ is iter
     if sys.platform == "linux":
         subprocess.run([sys.executable, "-c", GIVES_BACK], check=True, timeout=120)
+
+
+def test_partitions_follow_bytes(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(40000).selectExpr("id", "hash(id) as h").repartition(30).write.parquet(path)
+    df = spark.read.parquet(path)
+    size = shared.bytes_read(df)
+    assert size == sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert shared.bytes_read(df.where("id > 3").groupBy("h").count().join(df, "h")) >= size  # a join counts what it reads
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // 25))
+    try:
+        assert shared.few_files(df, 1).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        monkeypatch.setattr(shared, "_PART_BYTES", size // 10)
+        assert 10 <= shared.few_files(df, 1).rdd.getNumPartitions() <= 11
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert shared.most_partitions(spark.range(3)) == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_slices_that_meet_in_steps(spark, monkeypatch):
+    h = np.random.Generator(np.random.PCG64(3)).integers(-(2**62), 2**62, 3000)
+    df = spark.createDataFrame([(int(x),) for x in np.concatenate([h, h[:900]])], "h long").repartition(7)
+
+    def hashes(batch):
+        yield np.asarray(batch.column(0), np.int64).view(np.uint64)
+
+    whole = sketch.merged(df, hashes, 14, 2)
+    monkeypatch.setattr(sketch, "_AT_ONCE", 2)
+    assert all((a == b).all() for a, b in zip(whole.maps, sketch.merged(df, hashes, 14, 2).maps))
