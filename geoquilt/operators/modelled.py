@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import nearest
 from .likelihood import _TILE_BYTES, _factor, _forward
 
 TERMS = "rank long, quad double, logdet double, ll double, status string"
@@ -36,6 +37,18 @@ def gathered(sites: DataFrame, edges: DataFrame, columns: tuple[str, ...]) -> Da
     return sites.select("rank", *columns, "z").join(lists.select("rank", *[F.col(f"s.{x}").alias(x) for x in names]), "rank")
 
 
+def nearby(sites: DataFrame, m: int, columns: tuple[str, ...], time_scale: float | None = None) -> DataFrame:
+    """gathered() for the m nearest sites before each, with time in units of time_scale if it is given, cut from its lineage."""
+    if time_scale is None:
+        rows = nearest(sites, m, "euclidean", (*columns[2:], "z"), tuple(f"n_{c}" for c in (*columns, "z")))
+        kept = columns
+    else:
+        kept = tuple("at" if c == "t" else c for c in columns)
+        rest = tuple(c for c in kept if c not in ("x", "y"))
+        rows = nearest(sites.withColumn("at", F.col("t")).withColumn("t", F.col("t") * time_scale), m, "spacetime", (*rest, "z"), tuple(f"n_{c}" for c in (*kept, "z")))
+    return rows.select("rank", *[F.col(k).alias(c) for k, c in zip(kept, columns)], "z", *[F.col(f"n_{k}").alias(f"n_{c}") for k, c in zip(kept, columns)], F.col("n_z").alias("nz"))
+
+
 def _covariances(model, a, b, same: bool) -> np.ndarray:
     """Between all of (B, p) and all of (B, q) sites, as (B, p V, q V); the nugget joins the diagonal where they are the same."""
     a, b = [x[:, :, None] for x in a], [x[:, None, :] for x in b]

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import modelled as operators
-from ..operators.cells import knn_cells
 from ..operators.neighbors import first_block, knn_grid
 from ..operators.ordering import morton_code, ranked
 from ..sources.work import cut
@@ -54,9 +53,9 @@ def prepare(sites: DataFrame, model, m: int, how: str = "knn", time_scale: float
         raise ValueError(f"the first block would have {m * model.variables} rows, more than {most_block}")
     if "t" in model.columns:
         placed = cut(ranked(sites, "t", "id", n=n))
-        edges = knn_cells(placed.select("rank", "x", "y", (F.col("t") * (1.0 if time_scale is None else time_scale)).alias("t")), m, "spacetime", n)
+        near = operators.nearby(placed, m, model.columns, 1.0 if time_scale is None else time_scale)
     else:
         box = sites.agg(F.min(F.least("x", "y")).alias("low"), F.max(F.greatest("x", "y")).alias("high")).first()
         placed = cut(ranked(morton_code(sites, n > 0 and (box["low"] < 0 or box["high"] > 1)), "code", "id", n=n).drop("code"))
-        edges = (knn_cells if how == "knn" else knn_grid)(placed, m, "euclidean", n)
-    return ModelPlan(placed, cut(operators.gathered(placed, edges, model.columns)), n, m, model.columns)
+        near = operators.nearby(placed, m, model.columns) if how == "knn" else cut(operators.gathered(placed, knn_grid(placed, m, "euclidean", n), model.columns))
+    return ModelPlan(placed, near, n, m, model.columns)
