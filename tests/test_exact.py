@@ -45,3 +45,18 @@ def test_matern_has_its_closed_forms():
         kernel_for("univariate_matern_any_smoothness", 0.0)
     with pytest.raises(ValueError):
         MATERN_ANY.sql("d", Theta(1.0, 1.0))
+
+
+def test_the_factor_is_written_once_and_goes(spark):
+    """Nothing but the points is shuffled, and no tile stays."""
+    from geoquilt.sources.work import work_folder
+
+    import os
+
+    r = np.random.Generator(np.random.PCG64(5))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(r.random((640, 3)))], "rank long, x double, y double, z double")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert joint_term(df, 640, KERNELS["matern12"], Theta(1.5, 0.1), 16)["status"] == "ok"
+    assert written() - before < 640 * 640 * 8 / 2 / 10
+    assert not [x for x in os.listdir(work_folder(spark).removeprefix("file://")) if x.startswith("tiles-")]
