@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.kernels import Kernel, Theta, pair_distances
 from .information import _backward
-from .likelihood import TERMS, _chunks, _factor, _forward
+from .likelihood import TERMS, _chunks, _factor, _forward, _tiles
 
 MIXED_TERMS = TERMS + ", steps int, factor_bytes long"
 
@@ -61,7 +61,7 @@ def refined(tiles: np.ndarray, right: np.ndarray, most: int = 12) -> tuple[np.nd
 
 def conditional(kernel: Kernel, theta: Theta, x, y, z, nx, ny, nz) -> dict[str, np.ndarray]:
     """likelihood.conditional by refined(), with `steps` and the bytes of each target's factor."""
-    tiles = kernel.array(pair_distances(kernel.metric, nx[:, :, None], ny[:, :, None], nx[:, None, :], ny[:, None, :]), theta)
+    tiles = _tiles(kernel, theta, nx, ny)
     cross = kernel.array(pair_distances(kernel.metric, nx, ny, x[:, None], y[:, None]), theta)
     solved, steps, good = refined(tiles, np.stack([cross, nz], 2))
     mu, var = np.einsum("bi,bi->b", cross, solved[:, :, 1]), kernel.marginal(theta) - np.einsum("bi,bi->b", cross, solved[:, :, 0])
