@@ -42,3 +42,42 @@ def test_terms_through_spark(spark):
     assert got[7]["status"] == want[7]["status"] == "singular" and got[7]["steps"] == -1
     assert all(got[i]["ll"] == pytest.approx(want[i]["ll"], rel=1e-9) for i in range(30) if i != 7)
     assert mixed.terms(df.limit(0), 5, kernel, theta).count() == 0
+
+
+def test_memory_of_a_batch():
+    """However many rows a batch has, its stacks take about 100 MB together."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from geoquilt.functions.kernels import KERNELS, Theta
+    from geoquilt.operators import likelihood, mixed
+
+    r, m, n = np.random.Generator(np.random.PCG64(7)), 30, 4000
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(r.random(n * m))) for _ in range(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), *(pa.array(r.random(n)) for _ in range(3)), *lists], ["rank", "x", "y", "z", "nx", "ny", "nz"])
+    for run, stacks in ((likelihood.conditional, 1), (mixed.conditional, 2)):
+        tracemalloc.start()
+        for _, *arrays in likelihood._chunks(batch, m, stacks):
+            run(KERNELS["matern12"], Theta(1.5, 0.1), *arrays)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100 << 20
+
+
+def test_a_pair_is_formed_once():
+    from geoquilt.functions.kernels import KERNELS, Theta, pair_distances
+    from geoquilt.operators import likelihood
+
+    class Counted:
+        metric, pairs = "euclidean", 0
+
+        def array(self, d, theta):
+            self.pairs += d.size
+            return KERNELS["powexp_nugget"].array(d, theta)
+
+    r = np.random.Generator(np.random.PCG64(8))
+    x, y = r.random((2, 40, 5))
+    kernel, theta = Counted(), Theta(1.5, 0.1, 0.5, 0.2)
+    want = KERNELS["powexp_nugget"].array(pair_distances("euclidean", x[:, :, None], y[:, :, None], x[:, None], y[:, None]), theta)
+    assert (likelihood._tiles(kernel, theta, x, y) == want).all() and kernel.pairs == 40 * 10 + 1
