@@ -96,7 +96,7 @@ def copies(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["terms_m10_matern52_far", "terms_m30_matern52", "terms_mixed_m30_matern52"])
+@pytest.mark.parametrize("name", ["terms_m10_matern52_far", "terms_m30_matern52", "terms_mixed_m30_matern52", "terms_seq_m10"])
 def test_query_equals_sql_on_near_copies(spark, copies, name):
     got = QUERIES[name](spark, str(copies))
     duck = duckdb.connect()
