@@ -60,3 +60,28 @@ def test_the_factor_is_written_once_and_goes(spark):
     assert joint_term(df, 640, KERNELS["matern12"], Theta(1.5, 0.1), 16)["status"] == "ok"
     assert written() - before < 640 * 640 * 8 / 2 / 10
     assert not [x for x in os.listdir(work_folder(spark).removeprefix("file://")) if x.startswith("tiles-")]
+
+
+def test_no_task_works_alone_along_a_row(spark, monkeypatch):
+    """Ten panels: what runs by itself reads a tile or two, and each task reads its tiles by few scans."""
+    from pyspark.sql import readwriter
+
+    from geoquilt.operators import exact
+
+    monkeypatch.setattr(exact, "_WIDE", 16)
+    r = np.random.Generator(np.random.PCG64(9))
+    rows = [(i, *map(float, v)) for i, v in enumerate(r.random((160, 3)))]
+    df = spark.createDataFrame(rows, "rank long, x double, y double, z double")
+    scans, read = [], readwriter.DataFrameReader.parquet
+    monkeypatch.setattr(readwriter.DataFrameReader, "parquet", lambda self, *paths, **more: (scans.append(len(paths)), read(self, *paths, **more))[1])
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+    stages = lambda: store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    seen = max((stages().apply(i).stageId() for i in range(stages().size())), default=-1)
+    got = joint_term(df, 160, KERNELS["matern12"], Theta(1.5, 0.1), 16)
+    want = block_term(KERNELS["matern12"], Theta(1.5, 0.1), *np.array(rows)[:, 1:].T)
+    assert got["ll"] == pytest.approx(want["ll"], rel=1e-10)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    new = [s for s in (stages().apply(i) for i in range(stages().size())) if s.stageId() > seen]
+    alone = [s.inputRecords() for s in new if s.numTasks() == 1 and s.inputRecords()]
+    assert max(alone) <= 4  # a row has up to ten
+    assert len(scans) < 10**3 / 6
