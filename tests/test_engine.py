@@ -227,3 +227,13 @@ def test_flops_and_matrices():
     assert np.linalg.eigvalsh(matrices.make_hpd(matrices.random_matrix(6, 6))).min() > 0 and matrices.hilbert(2, 2)[1, 1] == pytest.approx(1 / 3)
     assert matrices.max_norm(np.array([[1.0, -5.0]])) == 5 and math.isnan(matrices.max_norm(np.array([1.0, np.nan]))) and matrices.magnitude(3 + 4j) == 5
     assert matrices.axpy(2.0, np.ones(2), np.ones(2)).tolist() == [3, 3] and matrices.ceil_div(7, 3) == 3
+
+
+def test_divergences_order_the_points_once(spark, monkeypatch):
+    grid = spark.createDataFrame([(i, (i * 37 % 64 + 0.5) / 64, (i * 23 % 61 + 0.5) / 64, 0.0) for i in range(64)], "id long, x double, y double, z double")
+    calls, ordered = [], engine.ordered
+    monkeypatch.setattr(engine, "ordered", lambda *a, **k: (calls.append(a), ordered(*a, **k))[1])
+    config = engine.GPConfig(MATERN, (1.0, 0.1, 0.5), 3)
+    both = engine.kl_divergences(grid, config, (3, 64))
+    assert len(calls) == 1
+    assert both[0] == pytest.approx(engine.kl_divergence(grid, config)) and both[0] > 0 and both[1] == pytest.approx(0, abs=1e-9)
